@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lithograph.llm import bpe, langid, packing, secrets_scan, substrings, toxicity
+from lithograph.llm import bpe, jaccard, langid, packing, secrets_scan, substrings, toxicity
 
-MODULES = (bpe, langid, packing, secrets_scan, substrings, toxicity)
+MODULES = (bpe, jaccard, langid, packing, secrets_scan, substrings, toxicity)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
