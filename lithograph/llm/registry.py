@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lithograph.llm import bpe, jaccard, langid, lattice, packing, secrets_scan, substrings, toxicity, urls
+from lithograph.llm import bpe, hilbert, jaccard, langid, lattice, packing, secrets_scan, substrings, toxicity, urls
 
-MODULES = (bpe, jaccard, langid, lattice, packing, secrets_scan, substrings, toxicity, urls)
+MODULES = (bpe, hilbert, jaccard, langid, lattice, packing, secrets_scan, substrings, toxicity, urls)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
