@@ -48,6 +48,7 @@ class Chunk:
 
     def __init__(self, rows: pa.Table, window: int):
         rows = rows.take(pc.sort_indices(rows, [("k", "ascending"), ("t", "ascending")], null_placement="at_start"))
+        self.rows = rows
         key = rows.column("k").combine_chunks()
         self.null_key = np.asarray(key.is_null())
         self.key = np.asarray(key.fill_null(0), dtype=np.int64)
@@ -120,15 +121,16 @@ def _gathered(packets: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray
 _PREFIX = np.dtype([("hash", "<u8"), ("more", "u1")])
 
 
-def repeats(docs: DataFrame, window: int = 20, text: str = "text", key: str = "doc_id", chunk_bytes: int = 3 << 20) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 20, text: str = "text", key: str = "doc_id", chunk_bytes: int = 3 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Find the words covered by a window of `window` words that also starts earlier, and take them out.
 
     Earlier means a smaller key, or the same text and an earlier start; a null key comes before all others, and
     rows that share a key are in the order of their texts.  Returns key, n_words, n_removed, kept_sha256 (of the
     kept words joined by one space), kept (the kept text; whole runs keep their white space) and spans (start and
-    end of each maximal removed run, in words), one row per row of docs.  A null or empty text has no words.
+    end of each maximal removed run, in words), one row per row of docs, and the columns of carry as they are.  A null
+    or empty text has no words; its kept text is itself.
     """
-    bare = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"))
+    bare = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"), *(docs[c].alias(f"carry{i}") for i, c in enumerate(carry)))
     size = bare.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     dealt = bare.withColumn("chunk", F.pmod(F.xxhash64("k"), F.lit(chunks)))
@@ -166,12 +168,14 @@ def repeats(docs: DataFrame, window: int = 20, text: str = "text", key: str = "d
         return _replies(chunk[order][later], e["at"][order][later], 1)
 
     kept_type = "k long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:long,end:long>>"
+    kept_type += "".join(f", carry{i} {bare.schema[f'carry{i}'].dataType.simpleString()}" for i in range(len(carry)))
+    carried = [f"carry{i}" for i in range(len(carry))]
 
     def finish(rows: pa.Table, replies: pa.Table) -> pa.Table:
         names = ["k", "n_words", "n_removed", "kept_sha256", "kept", "spans"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
         if not rows.num_rows:
-            return pa.table([pa.array([], t) for t in types], names=names)
+            return pa.table([*(pa.array([], t) for t in types), *(rows.column(n) for n in carried)], names=names + carried)
         c = Chunk(rows, window)
         level = np.asarray(replies.column("level"))
         data = replies.column("data").to_pylist()
@@ -196,12 +200,12 @@ def repeats(docs: DataFrame, window: int = 20, text: str = "text", key: str = "d
             text = c.text[i].as_py()
             for col, v in zip(out, (None if c.null_key[i] else int(c.key[i]), b - a, int(off.sum()), hashlib.sha256(joined).hexdigest(), text if not len(spans) else b" ".join(runs).decode(), [{"start": int(x), "end": int(y)} for x, y in spans])):
                 col.append(v)
-        return pa.table([pa.array(v, t) for v, t in zip(out, types)], names=names)
+        return pa.table([*(pa.array(v, t) for v, t in zip(out, types)), *(c.rows.column(n) for n in carried)], names=names + carried)
 
     first = dealt.groupBy("chunk").applyInArrow(prefixes, _PACKET).groupBy("bucket").applyInArrow(shared, _REPLY)
     second = dealt.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(nodes, _PACKET).groupBy("bucket").applyInArrow(deep, _REPLY)
     done = dealt.groupBy("chunk").cogroup(first.union(second).groupBy("chunk")).applyInArrow(finish, kept_type)
-    return done.withColumnRenamed("k", key)
+    return done.withColumnsRenamed({"k": key} | dict(zip(carried, carry)))
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
