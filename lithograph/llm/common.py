@@ -30,37 +30,25 @@ def cut(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id that each endpoint of edges (a, b) reaches; ids without an edge don't appear.
 
-    Large-star and small-star rounds: each round is two grouped minima and two joins, so that a hub's
-    neighbours are never gathered in one place.  Each round is checkpointed; the driver sees one number a round.
+    Each id points to the least of its smaller neighbours.  A round hooks an id's other smaller neighbours to that one
+    and lets every id jump to where its own points, until nothing moves.  A round is a grouped minimum and two joins,
+    so a hub's neighbours are never gathered in one place; it is checkpointed, and the driver sees two numbers of it.
     """
-    pairs = cut(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    )
+    pairs = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    state = None
     for _ in range(most_rounds):
-        # large star: every larger neighbour of u points to the least id around u
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
-        # small star: the smaller neighbours of u, and u, point to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("w")), F.struct(F.col("v").alias("u"), F.col("m").alias("w")))).alias("e"))
-            .select(F.col("e.u").alias("u"), F.col("e.w").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
-        after = cut(small)
-        moved = pairs.exceptAll(after).limit(1).count() + after.exceptAll(pairs).limit(1).count()
-        pairs = after
-        if not moved:
+        points = pairs.groupBy("u").agg(F.min("v").alias("p"))
+        hooked = pairs.join(points, "u").where("v <> p").select(F.col("v").alias("u"), F.col("p").alias("v")).distinct()
+        ahead = points.select(F.col("u").alias("p"), F.col("p").alias("further"))
+        jumped = points.join(ahead, "p", "left").select("u", F.coalesce("further", "p").alias("v"))
+        pairs = cut(jumped.union(hooked))
+        before, state = state, pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if state == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     stars = pairs.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return stars.union(pairs.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    return stars.union(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -111,7 +111,7 @@ def trie_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", block_sets: int = 1500, block_grams: int = 1_500_000) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", block_sets: int = 800, block_grams: int = 800_000) -> DataFrame:
     """Group the whole texts whose sets of n-grams have a Jaccard similarity of percent/100 at least.
 
     Returns key, n_shingles, class_id (equal for texts of one set; null without words), n_links (links found
@@ -148,6 +148,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key
         .select("component", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "c", F.col("rep").alias("k"))
     )
     texts = bare.join(member, bare["k"].eqNullSafe(member["k"])).select("component", "x", "y", "c", "t")
+    # groups differ much in work: as many tasks as the session says, whatever their bytes
+    texts = texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "component", "x", "y")
 
     def run(rows: pa.Table) -> pa.Table:
         names = np.asarray(rows.column("c"))
