@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,23 +24,3 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    "top_authors",
-    """SELECT c_mktsegment AS name, count(*) AS entity_count, max(o_orderkey) AS last_change
-       FROM orders JOIN customer ON o_custkey = c_custkey
-       WHERE c_mktsegment IS NOT NULL
-       GROUP BY c_mktsegment ORDER BY entity_count DESC, name LIMIT 10""",
-)
-def top_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = table(spark, sf_dir, "orders").join(
-        table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
-    )
-    return (
-        entities.where(F.col("c_mktsegment").isNotNull())
-        .groupBy(F.col("c_mktsegment").alias("name"))
-        .agg(F.count("*").alias("entity_count"), F.max("o_orderkey").alias("last_change"))
-        .orderBy(F.desc("entity_count"), "name")
-        .limit(10)
-    )
