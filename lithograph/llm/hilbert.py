@@ -79,7 +79,7 @@ def _dots(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, curves: int = 4, window: int = 64, block: int = 4096, query_block: int = 1024, key: str = "vec_id", embedding: str = "embedding", exact: bool = True
+    vectors: DataFrame, queries: DataFrame, k: int = 20, curves: int = 4, window: int = 64, block: int = 4096, query_block: int = 512, key: str = "vec_id", embedding: str = "embedding", exact: bool = True
 ) -> DataFrame:
     """The k nearest vectors, by inner product in double precision, of each query but the query's own key.
 
@@ -149,7 +149,7 @@ def nearest(
                     radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))
                     yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([x.tobytes()]), pa.array([centre.tobytes()]), pa.array([radius])], names=["ids", "rows", "centre", "radius"])
 
-    data = cut(ordered.where("curve = 0").mapInArrow(packed, "ids binary, rows binary, centre binary, radius double")).coalesce(ranges)
+    data = cut(ordered.where("curve = 0").mapInArrow(packed, "ids binary, rows binary, centre binary, radius double")).coalesce(min(64, -(-ranges // 16)))
 
     def asked(rows: pa.Table) -> pa.Table:
         x, usable = matrix(rows.column("v"), dim)
@@ -165,33 +165,61 @@ def nearest(
         .applyInArrow(asked, "qids binary, qrows binary, least binary")
         .coalesce(min(groups, 256))
     )
-    # the stated queries against all rows, block by block: a pair of blocks is one matrix product
+    # The stated queries against all rows, block by block: a task meets each of its query blocks with one slice of the
+    # ranges after the other and keeps k a query, so that at most 64 slices times k rows of a query leave it.
     pairs = question.crossJoin(data)
 
     def searched(batches):
+        own, held = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rows"]).reshape(-1, dim)
-                qids, qx, least = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["qrows"]).reshape(-1, dim), np.frombuffer(row["least"])
-                bound = qx @ np.frombuffer(row["centre"]) + np.sqrt((qx**2).sum(axis=1)) * row["radius"]
-                some = np.flatnonzero(bound >= least - _SLACK)
-                scores = qx[some] @ x.T
-                out = []
-                for s, i in zip(scores, some):
-                    s = np.where(ids == qids[i], -np.inf, s)
-                    cut_at = least[i]
-                    if len(s) > k:
-                        cut_at = max(cut_at, np.partition(s, len(s) - k)[len(s) - k])
-                    hit = np.flatnonzero((s >= cut_at - _SLACK) & (s > -np.inf))
-                    exact_ = _dots(qx[i], x[hit])
-                    out += [(qids[i], ids[hit[j]], exact_[j]) for j in _top(ids[hit], exact_, k)]
-                a, b, c = zip(*out) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "vec_id", "score"])
+                if row["qids"] != own:
+                    if held:
+                        yield held.kept()
+                    own, held = row["qids"], _Best(row, dim, k)
+                held.meet(row)
+        if held:
+            yield held.kept()
 
     found = pairs.mapInArrow(searched, "query_id long, vec_id long, score double")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class _Best:
+    """A block of queries with the k best of what it has met."""
+
+    def __init__(self, row: dict, dim: int, k: int):
+        self.ids, self.dim, self.k = np.frombuffer(row["qids"], np.int64), dim, k
+        self.rows, self.least = np.frombuffer(row["qrows"]).reshape(-1, dim), np.frombuffer(row["least"]).copy()
+        self.norm = np.sqrt((self.rows**2).sum(axis=1))
+        self.best = [(np.zeros(0, np.int64), np.zeros(0))] * len(self.ids)
+
+    def meet(self, row: dict) -> None:
+        """Look at a range, unless its centre and radius say that it holds nothing good enough."""
+        ids, x, k = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rows"]).reshape(-1, self.dim), self.k
+        bound = self.rows @ np.frombuffer(row["centre"]) + self.norm * row["radius"]
+        some = np.flatnonzero(bound >= self.least - _SLACK)
+        for s, i in zip(self.rows[some] @ x.T, some):
+            s[ids == self.ids[i]] = -np.inf
+            floor = self.least[i]
+            if len(s) > k:
+                floor = max(floor, np.partition(s, len(s) - k)[len(s) - k])
+            hit = np.flatnonzero((s >= floor - _SLACK) & (s > -np.inf))
+            if not len(hit):
+                continue
+            found = np.concatenate([self.best[i][0], ids[hit]])
+            score = np.concatenate([self.best[i][1], _dots(self.rows[i], x[hit])])
+            top = _top(found, score, k)
+            self.best[i] = found[top], score[top]
+            if len(top) == k:
+                self.least[i] = max(self.least[i], score[top[-1]])
+
+    def kept(self) -> pa.RecordBatch:
+        n = [len(b[0]) for b in self.best]
+        columns = [np.repeat(self.ids, n), *(np.concatenate([b[j] for b in self.best]) if n else np.zeros(0) for j in (0, 1))]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1].astype(np.int64)), pa.array(columns[2])], names=["query_id", "vec_id", "score"])
+
+
 def _by_curve(batches, block: int):
     """A sorted partition as tables of one curve and of at most about two blocks of rows."""
     held, rows = [], 0
