@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithograph.llm import words as W
@@ -52,6 +52,41 @@ def ngram_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "k long, size long, h1 long, h2 long, sketch array<long>")
 
 
+def _grams(rows: DataFrame, n: int) -> DataFrame:
+    """(group, c, size, gram): the whole sets of rows (component, c, size, t); rows whose text isn't class c's are left out."""
+
+    def run(batches):
+        for batch in small_batches(batches, "t", 1 << 20):
+            c, size = np.asarray(batch.column("c")), np.asarray(batch.column("size"))
+            sets = W.shingle_sets(W.split(batch.column("t"), lower=True), n)
+            sets = [s if _digest(s)[0] == x else s[:0] for s, x in zip(sets, c.tolist())]
+            times = [len(s) for s in sets]
+            columns = (np.asarray(batch.column("component")), c, size)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(x, times)) for x in columns), pa.array(np.concatenate(sets).view(np.int64))], names=["group", "c", "size", "gram"])
+
+    return rows.mapInArrow(run, "group long, c long, size long, gram long").dropDuplicates(["c", "gram"])
+
+
+def _sharing(held: DataFrame, within: list[str], first: Column, total: Column) -> DataFrame:
+    """(c, component) of the classes that an n-gram of their first parts connects, within one group where that is given.
+
+    held has c and gram.  A class's n-grams are ordered by how many classes hold them, the rarest first; `first` of its
+    `total` count.  Those that one class alone holds come first and match nothing, so only the others are ordered.
+    """
+    often = held.groupBy(*within, "gram").agg(F.count("*").alias("df")).where("df > 1")
+    common = held.join(often, [*within, "gram"])
+    mine = Window.partitionBy("c")
+    part = (
+        common.withColumn("at", F.row_number().over(mine.orderBy("df", "gram")))
+        .withColumn("once", total - F.count("*").over(mine))
+        .where(F.col("at") + F.col("once") <= first)
+        .select(*within, "c", "gram")
+    )
+    least = part.groupBy(*within, "gram").agg(F.min("c").alias("m"), F.count("*").alias("n")).where("n > 1")
+    edges = part.join(least, [*within, "gram"]).where("c <> m").select(F.col("c").alias("a"), F.col("m").alias("b"))
+    return components(edges).withColumnRenamed("id", "c")
+
+
 def trie_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect all sets whose Jaccard similarity is percent/100 at least, directly or through others.
 
@@ -114,30 +149,28 @@ def trie_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 def join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", block_sets: int = 800, block_grams: int = 800_000) -> DataFrame:
     """Group the whole texts whose sets of n-grams have a Jaccard similarity of percent/100 at least.
 
-    Returns key, n_shingles, class_id (equal for texts of one set; null without words), n_links (links found
-    between this class and others; enough to connect each group) and component_id (the least key that links reach),
-    one row per row of docs.  Words are lower-cased in A to Z; a text of fewer words is one n-gram.  A text that
+    Returns key, n_shingles, class_id (equal for texts of one set; null without words) and component_id (the least key
+    that links reach), one row per row of docs.  Words are lower-cased in A to Z; a text of fewer words is one n-gram.  A text that
     is null, empty or blank has an empty set and is linked with nothing.  A null key is a row of its own and
     the least key only where there is no other.  Groups above block_sets sets or block_grams n-grams
-    are compared block by block, each block with every other, by the same trie.
+    are split by the first parts of the whole sets; what stays together above that is compared block by block, each
+    block with every other, by the same trie.
     """
     bare = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"))
     base = cut(ngram_sets(bare, n))
     classes = base.where("size > 0").groupBy(F.col("h1").alias("c"), "h2").agg(F.min("k").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     held = classes.select("c", "size", F.size("sketch").alias("low"), F.explode("sketch").alias("gram"))
-    often = held.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    common = held.join(often, "gram")
-    # the first part of a sketch of m n-grams, half of which must be shared: all but ceil(m / 2) - 1; those held once stand first and match nothing
-    mine = Window.partitionBy("c")
-    first = (
-        common.withColumn("at", F.row_number().over(mine.orderBy("df", "gram")))
-        .withColumn("once", F.col("low") - F.count("*").over(mine))
-        .where(F.col("at") + F.col("once") <= F.col("low") - F.ceil(F.col("low") / 2) + 1)
-        .select("c", "gram", "size")
-    )
-    least = first.groupBy("gram").agg(F.min("c").alias("m"), F.count("*").alias("n")).where("n > 1")
-    near = components(first.join(least, "gram").where("c <> m").select(F.col("c").alias("a"), F.col("m").alias("b")))
-    groups = cut(near.withColumnRenamed("id", "c").join(classes.select("c", "size", "rep"), "c"))
+    # of a sketch's m n-grams half must be shared: the first part is all but ceil(m / 2) - 1
+    near = _sharing(held, [], F.col("low") - F.ceil(F.col("low") / 2) + 1, F.col("low"))
+    groups = cut(near.join(classes.select("c", "size", "rep"), "c"))
+    sized = groups.groupBy("component").agg(((F.count("*") > block_sets) | (F.sum("size") > block_grams)).alias("large"))
+    marked = cut(groups.join(sized, "component"))
+    # Groups above a block are mostly texts that share a passage and little else.  There the whole sets are ordered, by how
+    # many of the group hold an n-gram, and only those that share one in the first part that the similarity needs stay together.
+    suspects = marked.where("large").select("component", "c", "size", "rep")
+    grams = _grams(bare.join(suspects, bare["k"].eqNullSafe(suspects["rep"])).select("component", "c", "size", "t"), n)
+    kept = _sharing(grams, ["group"], F.col("size") - F.ceil(F.col("size") * percent / 100) + 1, F.col("size"))
+    groups = cut(marked.where("not large").drop("large").unionByName(kept.join(suspects.drop("component"), "c")))
     blocks = groups.groupBy("component").agg(
         F.greatest(F.lit(1), F.ceil(F.count("*") / block_sets), F.ceil(F.sum("size") / block_grams)).cast("int").alias("blocks")
     )
@@ -163,20 +196,35 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key
 
     links = cut(texts.groupBy("component", "x", "y").applyInArrow(run, "a long, b long").distinct())
     joined = components(links).withColumnRenamed("id", "c")
-    degree = links.select(F.col("a").alias("c")).unionAll(links.select("b")).groupBy("c").agg(F.count("*").alias("n_links"))
     linked = groups.select("c", "rep").join(joined, "c")
     least_key = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    tops = linked.join(least_key, "component").join(degree, "c").select("c", "component_id", "n_links")
-    ids = classes.select("c", "rep").join(tops, "c", "left").select("c", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    tops = linked.join(least_key, "component").select("c", "component_id")
+    ids = classes.select("c", "rep").join(tops, "c", "left").select("c", F.coalesce("component_id", "rep").alias("component_id"))
     out = base.drop("sketch").join(ids, (F.col("h1") == F.col("c")) & (F.col("size") > 0), "left")
     return out.select(
-        F.col("k").alias(key), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("h1")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "k").alias("component_id")
+        F.col("k").alias(key), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("h1")).alias("class_id"), F.coalesce("component_id", "k").alias("component_id")
     )
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
-
+    return join(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+#: The same in SQL, every pair that shares a shingle compared: for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE [array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)] END) AS s FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1
+), rare AS (SELECT doc_id, s FROM g WHERE s IN (SELECT s FROM g GROUP BY s HAVING count(*) > 1)
+), shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM rare a JOIN rare b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)
+), reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1) USING (doc_id)
+"""
 
 QUERIES = {"op2_ngram_join": op2_ngram_join}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_ngram_join": SQL}

@@ -212,5 +212,17 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+#: The same in SQL, with a row for each window: for small tables.
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, unnest([md5_number(array_to_string(ws[j:j + 19], ' ')) FOR j IN range(1, len(ws) - 18)]) AS h FROM w
+), later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS rn FROM win) WHERE rn > 1
+), gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) AS off FROM later GROUP BY doc_id
+), word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w
+), off AS (SELECT doc_id, unnest(off) AS i, true AS removed FROM gone
+), kept AS (SELECT doc_id, count(*) AS n_words, count(removed) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (removed IS NULL) AS t FROM word LEFT JOIN off USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES = {"op6_substrings": op6_substrings}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_substrings": SQL}
