@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,12 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without lineage: a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
-    A folder of our own is set only where the session names none, as in tests on one machine.
+    A folder of our own is set only where the session names none, as in tests on one machine.  The shuffle files that led
+    to the checkpoint go once it is written, as nothing reads them again.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lithograph-"))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        out = df.select("*")  # a query takes the setting when it is made
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return out.checkpoint(eager=True)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
