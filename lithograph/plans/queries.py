@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithograph.functions import scalars as S
 from lithograph.operators import catalog, graph, history, impact, inconsistency, maintenance, search
 from lithograph.plans.registry import query, table
+from lithograph.sources import java
 
 
 # --- lookups, lists and counts ---------------------------------------------------------------------------------
@@ -260,15 +261,27 @@ def similar_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "inconsistency_topk",
     f"""SELECT * FROM (SELECT a.fqn AS entity1_fqn, b.fqn AS entity2_fqn, 'DIVERGENT_SIGNATURE' AS kind, 1.0::DOUBLE AS similarity_score FROM {_METHODS} a JOIN {_METHODS} b ON a.p_name = b.p_name AND a.ord < b.ord
-        WHERE (a.p_type IS DISTINCT FROM b.p_type OR a.p_size IS DISTINCT FROM b.p_size) AND a.ord % 50 = 0 UNION ALL {_BODIES}) ORDER BY similarity_score DESC, kind, entity1_fqn, entity2_fqn LIMIT 200""",
+        WHERE a.p_type IS DISTINCT FROM b.p_type OR a.p_size IS DISTINCT FROM b.p_size UNION ALL {_BODIES}) ORDER BY similarity_score DESC, kind, entity1_fqn, entity2_fqn LIMIT 200""",
 )
 def inconsistency_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report's first 200: here of the pairs whose earlier method is a fiftieth one, the operator's own filter aside."""
-    reports = inconsistency.divergent_signatures(part_methods(spark, sf_dir)).where(F.element_at(F.split("entity1_fqn", "#"), -1).cast("long") % 50 == 0)
-    both = reports.unionByName(inconsistency.similar_bodies(document_methods(spark, sf_dir)))
+    """The report's first 200, of all pairs, without making the others."""
+    both = inconsistency.first_divergent(part_methods(spark, sf_dir)).unionByName(inconsistency.first_similar_bodies(document_methods(spark, sf_dir)))
     return inconsistency.top_reports(both).select("entity1_fqn", "entity2_fqn", "kind", "similarity_score")
 
 
+@query("first_similar_bodies", f"{_BODIES} ORDER BY entity1_fqn, entity2_fqn LIMIT 200")
+def first_similar_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inconsistency.first_similar_bodies(document_methods(spark, sf_dir)).select("entity1_fqn", "entity2_fqn", "kind", "similarity_score")
+
+
+@query(
+    "body_classes",
+    "SELECT source AS declaring_type_fqn, sha256(text) AS body_hash, count(*) AS members, min(source || '.' || doc_id) AS first_fqn FROM documents WHERE text IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1",
+)
+def body_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inconsistency.body_classes(document_methods(spark, sf_dir))
+
+
 # --- history ---------------------------------------------------------------------------------------------------
 
 
@@ -479,17 +492,88 @@ _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+(\.[\p{L}\p{N}_]+)*')"
 
 @query(
     "ranked_search",
-    f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), q AS (SELECT item_id AS query_id, unnest(list_distinct(list_slice({_WORDS}, 1, 3))) AS token FROM benchmark),
+    f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), q AS (SELECT item_id AS query_id, unnest(list_distinct({_WORDS})) AS token FROM benchmark),
         t AS (SELECT doc_id, len(w) AS size, unnest(w) AS token FROM d), h AS (SELECT doc_id, size, token, count(*) AS tf FROM t WHERE token IN (SELECT token FROM q) GROUP BY ALL),
-        f AS (SELECT token, count(*) AS df FROM h GROUP BY 1), a AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d)
-        SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score
-        FROM h JOIN f USING (token) JOIN q USING (token), a GROUP BY 1, 2""",
+        f AS (SELECT token, count(*) AS df FROM h GROUP BY 1), a AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+        s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score
+        FROM h JOIN f USING (token) JOIN q USING (token), a GROUP BY 1, 2)
+        SELECT query_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 30""",
 )
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark text's first three words against the documents."""
-    first = F.array_join(F.slice(search.tokens(F.col("text")), 1, 3), " ")
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("text"))
-    return search.bm25(table(spark, sf_dir, "documents"), queries).withColumn("score", F.round("score", 6))
+    """Each whole benchmark text against the documents: its 30 best."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    scored = search.bm25(table(spark, sf_dir, "documents"), queries).withColumn("score", F.round("score", 6))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("place", F.row_number().over(best)).where("place <= 30").drop("place")
+
+
+# --- extraction ------------------------------------------------------------------------------------------------
+
+
+def supplier_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a class for each nation, with a field and a method for each of its suppliers, one a line."""
+    key = lambda c: F.col(c).cast("string")
+    members = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_suppkey")).alias("keys"))
+    rows = table(spark, sf_dir, "nation").join(members, F.col("s_nationkey") == F.col("n_nationkey"), "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<bigint>")))
+    fields = F.transform("keys", lambda k: F.concat(F.lit("  int f"), k.cast("string"), F.lit(" = "), k.cast("string"), F.lit(";\n")))
+    methods = F.transform(
+        "keys",
+        lambda k: F.concat(F.lit("  void m"), k.cast("string"), F.lit("(int a) { if (a > 0 && a < 9) { this.f"), k.cast("string"), F.lit(" = a; } m"), k.cast("string"), F.lit("(a); other.go(f"), k.cast("string"), F.lit("); }\n")),
+    )
+    head = F.concat(F.lit("package r"), key("n_regionkey"), F.lit(";\npublic class N"), key("n_nationkey"), F.lit(" extends Base implements One, Two {\n"))
+    return rows.select(
+        F.concat(F.lit("/src/r"), key("n_regionkey"), F.lit("/N"), key("n_nationkey"), F.lit(".java")).alias("path"),
+        F.concat(head, F.array_join(fields, ""), F.array_join(methods, ""), F.lit("}\n")).alias("content"),
+    )
+
+
+_MEMBERS = """(SELECT 'r' || n_regionkey || '.N' || n_nationkey AS type, s_suppkey AS k, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS i, count(*) OVER (PARTITION BY n_nationkey) AS n
+               FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+
+@query(
+    "extract_types",
+    """SELECT 'r' || n_regionkey || '.N' || n_nationkey AS fqn, 'r' || n_regionkey AS package_fqn, 'CLASS' AS kind, 'public' AS modifiers, 'Base' AS super_class, 'One,Two' AS interfaces, 2 AS start_line,
+       (3 + 2 * count(s_suppkey))::INT AS end_line, (2 + 2 * count(s_suppkey))::INT AS line_count FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey""",
+)
+def extract_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = java.extract(supplier_sources(spark, sf_dir))["types"]
+    return found.select("fqn", "package_fqn", "kind", "modifiers", "super_class", F.array_join("interfaces", ",").alias("interfaces"), "start_line", "end_line", "line_count")
+
+
+@query("extract_fields", f"SELECT type || '.f' || k AS fqn, type AS declaring_type_fqn, 'int' AS field_type, k::VARCHAR AS initializer, (2 + i)::INT AS start_line FROM {_MEMBERS}")
+def extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return java.extract(supplier_sources(spark, sf_dir))["fields"].select("fqn", "declaring_type_fqn", "field_type", "initializer", "start_line")
+
+
+@query(
+    "extract_methods",
+    f"SELECT type || '.m' || k || '(int)' AS fqn, type AS declaring_type_fqn, 'void' AS return_type, 1 AS n_parameters, (2 + n + i)::INT AS start_line, (2 + n + i)::INT AS end_line, 3 AS cyclomatic_complexity FROM {_MEMBERS}",
+)
+def extract_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = java.extract(supplier_sources(spark, sf_dir))["methods"]
+    return found.select("fqn", "declaring_type_fqn", "return_type", F.size("parameters").alias("n_parameters"), "start_line", "end_line", "cyclomatic_complexity")
+
+
+@query(
+    "extract_relationships",
+    f"""WITH m AS {_MEMBERS}, t AS (SELECT 'r' || n_regionkey || '.N' || n_nationkey AS type FROM nation)
+        SELECT type || '.m' || k || '(int)' AS from_entity_fqn, type || '.f' || k AS to_entity_fqn, 'WRITES_FIELD' AS kind, 0 AS source_line FROM m
+        UNION ALL SELECT type || '.m' || k || '(int)', type || '.f' || k, 'READS_FIELD', 0 FROM m
+        UNION ALL SELECT type || '.m' || k || '(int)', type || '.m' || k, 'CALLS', (2 + n + i)::INT FROM m
+        UNION ALL SELECT type || '.m' || k || '(int)', '~other.go', 'CALLS', (2 + n + i)::INT FROM m
+        UNION ALL SELECT type, 'Base', 'EXTENDS', 0 FROM t UNION ALL SELECT type, 'One', 'IMPLEMENTS', 0 FROM t UNION ALL SELECT type, 'Two', 'IMPLEMENTS', 0 FROM t""",
+)
+def extract_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return java.extract(supplier_sources(spark, sf_dir))["relationships"].select("from_entity_fqn", "to_entity_fqn", "kind", "source_line")
+
+
+@query(
+    "extract_packages",
+    """SELECT 'r' || n_regionkey AS fqn, NULL AS parent_fqn, count(*)::INT AS file_count, count(*)::INT AS type_count FROM nation GROUP BY n_regionkey""",
+)
+def extract_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return java.extract(supplier_sources(spark, sf_dir))["packages"].select("fqn", "parent_fqn", "file_count", "type_count")
 
 
 # --- scalars ---------------------------------------------------------------------------------------------------

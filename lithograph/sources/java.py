@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lithograph.functions.scalars import entity_id, package_name, package_parent
 from lithograph.operators import catalog
+from lithograph.operators.state import cut
 
 #: Comments, text blocks, strings, characters, names, numbers, operators of two and more signs, line ends, any other sign.
 TOKEN = (
@@ -171,8 +172,8 @@ def member_rows(toks: list[str], lines: list[int], type_name: str, type_fqn: str
 
 def _method_rows(rest, lines, first_line, stop, modifiers, type_name, type_fqn, known) -> Iterator[dict]:
     name, kind = rest[stop - 1], rest[: stop - 1]
-    if not name.isidentifier() or (not kind and name != type_name):
-        return  # an enum constant, or an initializer's call
+    if not name.isidentifier() or (not kind and name != type_name) or kind[-1:] == [","]:
+        return  # enum constants, or an initializer's call
     close = _balanced(rest, stop, "(", ")")
     params = []
     for part in _split(rest[stop + 1 : close - 1]):
@@ -219,6 +220,18 @@ def _scope_start(body: list[str], i: int) -> int:
     return 0
 
 
+def _ends_type(body: list[str], i: int) -> bool:
+    """Whether the > at i closes type arguments: nothing but types stands between it and its <."""
+    depth = 0
+    for j in range(i, -1, -1):
+        depth += (body[j] == ">") - (body[j] == "<")
+        if depth == 0:
+            return True
+        if not (body[j].isidentifier() or body[j] in "<>,.?&[]@"):
+            return False
+    return False
+
+
 def _uses(body: list[str], lines: list[int], method: str, type_fqn: str, known: frozenset[str]) -> Iterator[dict]:
     """Calls, writes and reads in a body; a bag, one row for each occurrence."""
     made = lambda kind, to, line: {"row": "relationship", "source": method, "target": to, "kind": kind, "start_line": line}
@@ -237,7 +250,7 @@ def _uses(body: list[str], lines: list[int], method: str, type_fqn: str, known:
             elif before != "new" and not (before.isidentifier() and before not in KEYWORDS | {"else", "do"}):
                 yield made("CALLS", f"{type_fqn}.{t}", lines[i])
             continue
-        typed = (before.isidentifier() and before not in KEYWORDS) or before in (">", "]")
+        typed = (before.isidentifier() and before not in KEYWORDS) or before == "]" or (before == ">" and _ends_type(body, i - 1))
         if after in ASSIGNS and before == "." and body[i - 2 : i - 1] == ["this"] and body[i - 3 : i - 2] != ["."]:
             yield made("WRITES_FIELD", f"{type_fqn}.{t}", 0)
         if t in known and before not in (".", "::", "new", "@") and not typed and after != "->":
@@ -261,7 +274,7 @@ def extract(files: DataFrame) -> dict[str, DataFrame]:
     Rows as the scan finds them: a name that occurs twice is there twice, and a snapshot keeps the last.  Files
     with errors give no rows.  Null or empty content gives no rows and is no error.
     """
-    every = tokens(files)
+    every = cut(tokens(files))
     status = parsed_files(files, every)
     code = every.join(status.where("ok").select("path"), "path", "left_semi")
     file = Window.partitionBy("path").orderBy("k")
@@ -320,7 +333,7 @@ def extract(files: DataFrame) -> dict[str, DataFrame]:
     names = fields.groupBy("path", "open", "member").agg(F.collect_list("name").alias("names"))
     before = Window.partitionBy("path", "open").orderBy("member").rowsBetween(Window.unboundedPreceding, -1)
     aware = plain.join(names, ["path", "open", "member"], "left").withColumn("known", F.flatten(F.collect_list(F.coalesce("names", F.array().cast("array<string>"))).over(before))).drop("names")
-    found_rows = aware.mapInPandas(rows, _MEMBER)
+    found_rows = cut(aware.mapInPandas(rows, _MEMBER))
     place = types.select("path", "open", F.col("fqn").alias("declaring_type_fqn"))
     order = F.struct("path", "open", "member", "n").alias("ord")
     methods = found_rows.where("row = 'method'").join(place, ["path", "open"])
