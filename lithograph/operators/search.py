@@ -88,7 +88,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     """
     words = tokens(F.col("text"))
     asked = queries.select("query_id", F.explode(F.array_distinct(words)).alias("token"))
-    size = docs.select("doc_id", F.size(words).alias("size"), F.explode(words).alias("token"))
+    # sizes first: beside a generator they would be worked out again for each of its rows
+    split = docs.select("doc_id", words.alias("w"))
+    size = split.select("doc_id", F.size("w").alias("size"), "w").select("doc_id", "size", F.explode("w").alias("token"))
     held = size.join(asked.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "size", "token").agg(F.count("*").alias("tf"))
     total = docs.agg(F.count("*").alias("docs"), F.avg(F.size(words)).alias("mean"))  # one row
     df = held.groupBy("token").agg(F.count("*").alias("df"))
