@@ -61,7 +61,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return stars.union(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about most_bytes of text each; one row may be longer."""
     for batch in batches:
         sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
