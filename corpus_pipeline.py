@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that share a doc_id stay or go together, equal ones once.
     """
-    groups = jaccard.join(docs, n=5, percent=80)
+    groups = jaccard.join(docs, n=5, percent=80, count_links=False)
     kept = groups.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("times"))
     found = docs.select(COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("id")))
     once, more = found.where("times = 1"), found.where("times > 1").dropDuplicates(["doc_id", "text"])

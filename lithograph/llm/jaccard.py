@@ -7,7 +7,8 @@ enough share at least half of the smaller sketch unless chance is against them o
 parts must share an n-gram.  Classes connected by such n-grams form a group.  In each group the whole sets go into one
 trie: common n-grams first, so that near copies share long paths.  A set walks the trie with the overlap so far, and
 leaves a subtree once what remains on both sides cannot make the similarity, or all in it are linked with it already.
-Every link is decided on the whole sets.  Components of the links give the result.
+Every link is decided on the whole sets.  Components of the links give the result.  As all links of a class lie in its
+component, a second pass over each component's tries counts them, with no subtree left out for what is connected already.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def ngram_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(k, size, h1, h2, sketch): each row's set of n-grams by size, digest and least hashes; docs has k and t."""
+    """(k, th, size, h1, h2, sketch): each row's set of n-grams by size, digest and least hashes; docs has k, t and th, a hash of t."""
 
     def run(batches):
         for batch in small_batches(batches, "t"):
@@ -41,15 +42,16 @@ def ngram_sets(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("k"),
+                    batch.column("th"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([d[0] for d in digests], pa.int64()),
                     pa.array([d[1] for d in digests], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(low) if low else np.zeros(0, np.int64))),
                 ],
-                names=["k", "size", "h1", "h2", "sketch"],
+                names=["k", "th", "size", "h1", "h2", "sketch"],
             )
 
-    return docs.mapInArrow(run, "k long, size long, h1 long, h2 long, sketch array<long>")
+    return docs.mapInArrow(run, "k long, th long, size long, h1 long, h2 long, sketch array<long>")
 
 
 def _grams(rows: DataFrame, n: int) -> DataFrame:
@@ -87,14 +89,14 @@ def _sharing(held: DataFrame, within: list[str], first: Column, total: Column) -
     return components(edges).withColumnRenamed("id", "c")
 
 
-def trie_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all sets whose Jaccard similarity is percent/100 at least, directly or through others.
+def _least(a, b, percent: int):
+    """The overlap that sets of sizes a and b need."""
+    return -(-percent * (a + b) // (100 + percent))
 
-    A link within what is connected already may be left out; a link that is given is exact.
-    """
+
+def _paths(sets: list[np.ndarray]) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray, int]:
+    """(which set, path, size, how much of its path each has in common with the one before, distinct n-grams), by path."""
     g = len(sets)
-    if g < 2:
-        return []
     grams, back, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     place = np.empty(len(grams), np.int64)
     place[np.lexsort((grams, -counts))] = np.arange(len(grams))
@@ -103,16 +105,26 @@ def trie_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     by_path = sorted(range(g), key=lambda i: ordered[i].astype(">i8").tobytes())
     seqs = [ordered[i] for i in by_path]
     n = sizes[by_path]
-    shared = np.zeros(g, np.int64)  # how much of its path each has in common with the one before
+    shared = np.zeros(g, np.int64)
     for i in range(1, g):
         m = min(n[i], n[i - 1])
         odd = np.flatnonzero(seqs[i][:m] != seqs[i - 1][:m])
         shared[i] = odd[0] if len(odd) else m
-    least = lambda a, b: -(-percent * (a + b) // (100 + percent))  # noqa: E731  overlap needed for sizes a and b
+    return by_path, seqs, n, shared, len(grams)
+
+
+def trie_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect all sets whose Jaccard similarity is percent/100 at least, directly or through others.
 
+    A link within what is connected already may be left out; a link that is given is exact.
+    """
+    g = len(sets)
+    if g < 2:
+        return []
+    by_path, seqs, n, shared, width = _paths(sets)
     root = np.arange(g)
     links = []
-    member = np.zeros(len(grams), bool)
+    member = np.zeros(width, bool)
     for i in range(1, g):
         mine = seqs[i]
         member[mine] = True
@@ -131,11 +143,11 @@ def trie_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             else:
                 left = len(mine) - (int(np.searchsorted(mine, seqs[lo][depth - 1], side="right")) if depth else 0)
             ends = n[lo:hi]
-            fits = overlap + np.minimum(left, ends - to) >= least(len(mine), ends)
+            fits = overlap + np.minimum(left, ends - to) >= _least(len(mine), ends, percent)
             if not fits.any():
                 continue
             if hi - lo == 1:
-                if overlap >= least(len(mine), int(n[lo])):
+                if overlap >= _least(len(mine), int(n[lo]), percent):
                     links.append((by_path[lo], by_path[i]))
                     root[root == root[lo]] = root[i]
                 continue
@@ -146,68 +158,147 @@ def trie_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", block_sets: int = 800, block_grams: int = 800_000) -> DataFrame:
+def trie_counts(sets: list[np.ndarray], percent: int, weight: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """For each set, the weight of all others whose Jaccard similarity with it is percent/100 at least.
+
+    Where side (0 or 1 for each set) is given, only sets of different sides count.  The trie is walked once for all sets
+    together; a subtree counts as a whole for those whose overlap with its path is enough for any of its sets.
+    """
+    g = len(sets)
+    if g < 2:
+        return np.zeros(g, np.int64)
+    by_path, seqs, n, shared, width = _paths(sets)
+    flat, begin = np.concatenate(seqs), np.concatenate([[0], np.cumsum(n)[:-1]])
+    owner = np.repeat(np.arange(g), n)
+    path_key = owner * width + flat
+    order = np.argsort(flat, kind="stable")
+    holder = owner[order]  # the sets that hold each n-gram, by n-gram
+    first = np.searchsorted(flat[order], np.arange(width + 1))
+    w = np.asarray(weight, np.int64)[by_path]
+    own = np.zeros(g, np.int64) if side is None else np.asarray(side, np.int64)[by_path]
+    sums = np.zeros((2, g + 1), np.int64)
+    for x in (0, 1):
+        np.cumsum(w * (own == x), out=sums[x, 1:])
+    other = own if side is None else 1 - own
+
+    found = -w if side is None else np.zeros(g, np.int64)  # a set meets itself once
+    # (lo, hi, depth, who, overlap): lo..hi share their first depth n-grams; who may still be linked with some of them
+    todo = [(0, g, 0, np.arange(g), np.zeros(g, np.int64))]
+    while todo:
+        lo, hi, depth, who, overlap = todo.pop()
+        to = int(shared[lo + 1 : hi].min()) if hi - lo > 1 else int(n[lo])
+        if to > depth:
+            step = seqs[lo][depth:to]
+            times = first[step + 1] - first[step]
+            at = np.repeat(first[step] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            overlap = overlap + np.bincount(holder[at], minlength=g)
+        passed = np.searchsorted(path_key, who * width + seqs[lo][to - 1], side="right") - begin[who] if to else 0
+        least, most = int(n[lo:hi].min()), int(n[lo:hi].max())
+        have = overlap[who]
+        sure = have >= _least(n[who], most, percent)
+        some = who[sure]
+        found[some] += sums[other[some], hi] - sums[other[some], lo]
+        if hi - lo == 1:
+            continue
+        who = who[~sure & (have + np.minimum(n[who] - passed, most - to) >= _least(n[who], least, percent))]
+        if len(who):
+            cuts = [lo, *(np.flatnonzero(shared[lo + 1 : hi] <= to) + lo + 1).tolist(), hi]
+            todo += [(a, b, to, who, overlap) for a, b in zip(cuts, cuts[1:])]
+    out = np.empty(g, np.int64)
+    out[by_path] = found
+    return out
+
+
+def _class_texts(bare: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (c, rep, th and others) with t, one row a class: the text of the row that stands for it.
+
+    The row is found by its key and its text's hash, so that a key which many rows share brings none of the others.
+    """
+    mine = rows.withColumnRenamed("th", "h")
+    return bare.join(mine, bare["k"].eqNullSafe(mine["rep"]) & (bare["th"] == mine["h"])).drop("k", "h").dropDuplicates(["c"])
+
+
+def _blocked(bare: DataFrame, groups: DataFrame, block_sets: int, block_grams: int) -> DataFrame:
+    """(component, x, y, b, c, times, t): each class's text once for each pair (x, y) of its group's blocks that has its block b."""
+    blocks = groups.groupBy("component").agg(
+        F.greatest(F.lit(1), F.ceil(F.count("*") / block_sets), F.ceil(F.sum("size") / block_grams)).cast("int").alias("blocks")
+    )
+    member = (
+        _class_texts(bare, groups.select("component", "c", "times", "rep", "th"))
+        .join(blocks, "component")
+        .withColumn("b", F.pmod(F.xxhash64("c", F.lit(1)), F.col("blocks")).cast("int"))
+        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("component", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "c", "times", "t")
+    )
+    # groups differ much in work: as many tasks as the session says, whatever their bytes
+    return member.repartition(int(bare.sparkSession.conf.get("spark.sql.shuffle.partitions")), "component", "x", "y")
+
+
+def join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", block_sets: int = 800, block_grams: int = 800_000, count_links: bool = True) -> DataFrame:
     """Group the whole texts whose sets of n-grams have a Jaccard similarity of percent/100 at least.
 
-    Returns key, n_shingles, class_id (equal for texts of one set; null without words) and component_id (the least key
-    that links reach), one row per row of docs.  Words are lower-cased in A to Z; a text of fewer words is one n-gram.  A text that
+    Returns key, n_shingles, class_id (equal for texts of one set; null without words), n_links (other rows linked directly,
+    those of the same class too; not with count_links=False, which saves the pass that counts) and component_id (the
+    least key that links reach), one row per row of docs.  Words are lower-cased in A to Z; a text of fewer words is one n-gram.  A text that
     is null, empty or blank has an empty set and is linked with nothing.  A null key is a row of its own and
     the least key only where there is no other.  Groups above block_sets sets or block_grams n-grams
     are split by the first parts of the whole sets; what stays together above that is compared block by block, each
     block with every other, by the same trie.
     """
-    bare = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"))
+    bare = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).withColumn("th", F.xxhash64("t"))
     base = cut(ngram_sets(bare, n))
-    classes = base.where("size > 0").groupBy(F.col("h1").alias("c"), "h2").agg(F.min("k").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    classes = base.where("size > 0").groupBy(F.col("h1").alias("c"), "h2").agg(F.min("k").alias("rep"), F.coalesce(F.min_by("th", "k"), F.min("th")).alias("th"), F.count("*").alias("times"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     held = classes.select("c", "size", F.size("sketch").alias("low"), F.explode("sketch").alias("gram"))
     # of a sketch's m n-grams half must be shared: the first part is all but ceil(m / 2) - 1
     near = _sharing(held, [], F.col("low") - F.ceil(F.col("low") / 2) + 1, F.col("low"))
-    groups = cut(near.join(classes.select("c", "size", "rep"), "c"))
+    groups = cut(near.join(classes.select("c", "size", "times", "rep", "th"), "c"))
     sized = groups.groupBy("component").agg(((F.count("*") > block_sets) | (F.sum("size") > block_grams)).alias("large"))
     marked = cut(groups.join(sized, "component"))
     # Groups above a block are mostly texts that share a passage and little else.  There the whole sets are ordered, by how
     # many of the group hold an n-gram, and only those that share one in the first part that the similarity needs stay together.
-    suspects = marked.where("large").select("component", "c", "size", "rep")
-    grams = _grams(bare.join(suspects, bare["k"].eqNullSafe(suspects["rep"])).select("component", "c", "size", "t"), n)
+    suspects = marked.where("large").select("component", "c", "size", "times", "rep", "th")
+    grams = _grams(_class_texts(bare, suspects).select("component", "c", "size", "t"), n)
     kept = _sharing(grams, ["group"], F.col("size") - F.ceil(F.col("size") * percent / 100) + 1, F.col("size"))
     groups = cut(marked.where("not large").drop("large").unionByName(kept.join(suspects.drop("component"), "c")))
-    blocks = groups.groupBy("component").agg(
-        F.greatest(F.lit(1), F.ceil(F.count("*") / block_sets), F.ceil(F.sum("size") / block_grams)).cast("int").alias("blocks")
-    )
-    member = (
-        groups.join(blocks, "component")
-        .withColumn("b", F.pmod(F.xxhash64("c", F.lit(1)), F.col("blocks")).cast("int"))
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "c", F.col("rep").alias("k"))
-    )
-    texts = bare.join(member, bare["k"].eqNullSafe(member["k"])).select("component", "x", "y", "c", "t")
-    # groups differ much in work: as many tasks as the session says, whatever their bytes
-    texts = texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "component", "x", "y")
+    texts = _blocked(bare, groups, block_sets, block_grams)
 
     def run(rows: pa.Table) -> pa.Table:
-        names = np.asarray(rows.column("c"))
-        found: dict[int, np.ndarray] = {}
-        for c, s in zip(names.tolist(), W.shingle_sets(W.split(rows.column("t").combine_chunks(), lower=True), n)):
-            if c not in found and _digest(s)[0] == c:  # rows that share the key of another class's text are not it
-                found[c] = s
-        c = list(found)
-        pairs = trie_links(list(found.values()), percent)
-        return pa.table([pa.array([c[i] for i, _ in pairs], pa.int64()), pa.array([c[j] for _, j in pairs], pa.int64())], names=["a", "b"])
+        c = np.asarray(rows.column("c"))
+        pairs = np.array(trie_links(W.shingle_sets(W.split(rows.column("t").combine_chunks(), lower=True), n), percent), np.int64).reshape(-1, 2)
+        return pa.table([pa.array(c[pairs[:, 0]], pa.int64()), pa.array(c[pairs[:, 1]], pa.int64())], names=["a", "b"])
+
+    def count(rows: pa.Table) -> pa.Table:
+        c, block = np.asarray(rows.column("c")), np.asarray(rows.column("b"))
+        x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
+        sets = W.shingle_sets(W.split(rows.column("t").combine_chunks(), lower=True), n)
+        found = trie_counts(sets, percent, np.asarray(rows.column("times")), None if x == y else block == y)
+        return pa.table([pa.array(c, pa.int64()), pa.array(found, pa.int64())], names=["c", "near"])
 
     links = cut(texts.groupBy("component", "x", "y").applyInArrow(run, "a long, b long").distinct())
     joined = components(links).withColumnRenamed("id", "c")
-    linked = groups.select("c", "rep").join(joined, "c")
+    linked = groups.drop("component").join(joined, "c")
     least_key = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     tops = linked.join(least_key, "component").select("c", "component_id")
-    ids = classes.select("c", "rep").join(tops, "c", "left").select("c", F.coalesce("component_id", "rep").alias("component_id"))
-    out = base.drop("sketch").join(ids, (F.col("h1") == F.col("c")) & (F.col("size") > 0), "left")
+    ids = classes.select("c", "rep", "times").join(tops, "c", "left").select("c", "times", F.coalesce("component_id", "rep").alias("component_id"))
+    n_links = []
+    if count_links:
+        linked = cut(linked)
+        near = cut(_blocked(bare, linked, block_sets, block_grams).groupBy("component", "x", "y").applyInArrow(count, "c long, near long"))
+        ids = ids.join(near.groupBy("c").agg(F.sum("near").alias("near")), "c", "left").withColumn("links", F.coalesce("near", F.lit(0)) + F.col("times") - 1)
+        n_links = [F.coalesce("links", F.lit(0)).alias("n_links")]
+    out = base.drop("sketch", "th").join(ids, (F.col("h1") == F.col("c")) & (F.col("size") > 0), "left")
     return out.select(
-        F.col("k").alias(key), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("h1")).alias("class_id"), F.coalesce("component_id", "k").alias("component_id")
+        F.col("k").alias(key), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("h1")).alias("class_id"), *n_links, F.coalesce("component_id", "k").alias("component_id")
     )
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return join(table(spark, sf_dir, "documents"), n=4, percent=85, count_links=False).select("doc_id", "n_shingles", "component_id")
+
+
+def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2_ngram_join, whose three columns its SQL fixes, with each row's class and number of links."""
+    return join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 #: The same in SQL, every pair that shares a shingle compared: for small tables.
@@ -226,5 +317,5 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1) USING (doc_id)
 """
 
-QUERIES = {"op2_ngram_join": op2_ngram_join}
+QUERIES = {"op2_ngram_join": op2_ngram_join, "op2_ngram_links": op2_ngram_links}
 ORACLES = {"op2_ngram_join": SQL}

@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lithograph.llm.jaccard import join, trie_links
+from lithograph.llm.jaccard import join, trie_counts, trie_links
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -85,3 +85,32 @@ def test_repeated_keys_and_empty(spark):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in join(docs, 4, 85).collect())
     assert got == [(False, 0, 0), (False, 1, 0), (False, 1, 1), (False, 1, 1), (True, 0, 1)]
     assert join(docs.limit(0)).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), min_size=1), max_size=12), st.integers(30, 100), st.booleans(), st.randoms())
+def test_counts_against_all_pairs(sets, percent, sides, draw):
+    sets = sorted({tuple(sorted(s)) for s in sets})
+    weight, side = [draw.randrange(1, 5) for _ in sets], [draw.randrange(2) for _ in sets]
+    got = trie_counts([np.array(s, np.uint64) for s in sets], percent, np.array(weight, np.int64), np.array(side, np.int64) if sides else None)
+    near = lambda i, j: 100 * len(set(sets[i]) & set(sets[j])) >= percent * len(set(sets[i]) | set(sets[j]))
+    every = range(len(sets))
+    assert got.tolist() == [sum(weight[j] for j in every if j != i and (side[i] != side[j] or not sides) and near(i, j)) for i in every]
+
+
+def test_every_link_is_counted(spark):
+    rows = _rows() + [(2001, None), (2002, "one TWO")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [ngrams(t, 4) for _, t in rows]
+    for sets in (1500, 3):
+        got = {r.doc_id: r.n_links for r in join(docs, 4, 85, block_sets=sets).collect()}
+        for (k, _), s in zip(rows, want):
+            assert got[k] == (sum(bool(x) and 100 * len(x & s) >= 85 * len(x | s) for x in want) - 1 if s else 0)
+
+
+def test_a_key_that_many_rows_share_brings_only_its_class(spark):
+    from lithograph.llm.jaccard import _class_texts
+
+    bare = spark.createDataFrame([(None, f"text {i}") for i in range(50)] * 2, "k long, t string").selectExpr("*", "xxhash64(t) as th")
+    rows = bare.where("t = 'text 7'").limit(1).selectExpr("1L as c", "k as rep", "th")
+    assert [(r.c, r.t) for r in _class_texts(bare, rows).collect()] == [(1, "text 7")]
