@@ -1,12 +1,13 @@
-"""Operator 6, substring dedup by prefix-partitioned suffix trees.
+"""Operator 6, substring dedup by prefix-partitioned suffixes.
 
-A suffix begins at every word.  Suffixes are split by their first words into groups that fit in memory, a prefix at
-a time: first by a short prefix, sampled so that every window of `window` words holds one (the least hash of its
+A suffix begins at every word.  Suffixes are split by their first words, in two fixed steps: first by a short prefix, sampled so that every window of `window` words holds one (the least hash of its
 short prefixes), and only prefixes that two suffixes share go on.  Their suffixes are split again by all of the
 window's words; a group is then a node of the suffix tree at that depth, and a node with two or more suffixes is a
 repeat.  Runs of such nodes along a text are its maximal repeats.  Nodes are known by 64-bit hashes of their words.
+No trees are built: what is taken out depends only on which suffixes share their first `window` words, which is one
+level of the suffix tree, and the hashes of that level's nodes give it whole.  So groups need no prefixes of other lengths either.
 
-Texts are dealt into chunks by a hash of their key.  A chunk sends one entry for each of its prefixes or nodes,
+Texts are dealt into chunks by a hash of their key and text.  A chunk sends one entry for each of its prefixes or nodes,
 however often it holds it, so a passage that a third of all texts share sends one entry a chunk.
 """
 
@@ -26,7 +27,7 @@ from lithograph.llm.common import table
 _U = np.uint64
 _PACKET = "bucket long, chunk long, data binary"
 _REPLY = "chunk long, level int, data binary"
-_NODE = np.dtype([("hash", "<u8"), ("key", "<i8"), ("at", "<u4")])
+_NODE = np.dtype([("hash", "<u8"), ("key", "<i8"), ("text", "<i8"), ("at", "<u4")])
 
 
 def _sliding(values: np.ndarray, width: int, op) -> np.ndarray:
@@ -44,16 +45,17 @@ def prefix_length(window: int) -> int:
 
 
 class Chunk:
-    """A chunk's texts in the order of their keys, with its suffixes' prefixes and nodes."""
+    """A chunk's texts in the order of their keys and their texts' hashes h, with its suffixes' prefixes and nodes."""
 
     def __init__(self, rows: pa.Table, window: int):
-        rows = rows.take(pc.sort_indices(rows, [("k", "ascending"), ("t", "ascending")], null_placement="at_start"))
+        rows = rows.take(pc.sort_indices(rows, [("k", "ascending"), ("h", "ascending")], null_placement="at_start"))
         self.rows = rows
         key = rows.column("k").combine_chunks()
         self.null_key = np.asarray(key.is_null())
         self.key = np.asarray(key.fill_null(0), dtype=np.int64)
         # a null key counts as before every other
         self.rank = np.where(self.null_key, np.iinfo(np.int64).min, self.key)
+        self.hash = np.asarray(rows.column("h").combine_chunks(), dtype=np.int64)
         self.text = rows.column("t").combine_chunks()
         self.text = self.text.chunk(0) if isinstance(self.text, pa.ChunkedArray) else self.text
         self.words = w = W.split(self.text)
@@ -118,6 +120,11 @@ def _gathered(packets: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray
     return chunk, np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def _chunks(bare: DataFrame, chunks: int) -> DataFrame:
+    """bare (k, t and others) with h, the text's hash, and chunk: by key and text, so that a key which many rows share is dealt out too."""
+    return bare.withColumn("h", F.xxhash64("t")).withColumn("chunk", F.pmod(F.xxhash64("k", "h"), F.lit(chunks)))
+
+
 _PREFIX = np.dtype([("hash", "<u8"), ("more", "u1")])
 
 
@@ -125,7 +132,7 @@ def repeats(docs: DataFrame, window: int = 20, text: str = "text", key: str = "d
     """Find the words covered by a window of `window` words that also starts earlier, and take them out.
 
     Earlier means a smaller key, or the same text and an earlier start; a null key comes before all others, and
-    rows that share a key are in the order of their texts.  Returns key, n_words, n_removed, kept_sha256 (of the
+    rows that share a key are in the order of their texts' hashes.  Returns key, n_words, n_removed, kept_sha256 (of the
     kept words joined by one space), kept (the kept text; whole runs keep their white space) and spans (start and
     end of each maximal removed run, in words), one row per row of docs, and the columns of carry as they are.  A null
     or empty text has no words; its kept text is itself.
@@ -133,7 +140,7 @@ def repeats(docs: DataFrame, window: int = 20, text: str = "text", key: str = "d
     bare = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"), *(docs[c].alias(f"carry{i}") for i, c in enumerate(carry)))
     size = bare.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
-    dealt = bare.withColumn("chunk", F.pmod(F.xxhash64("k"), F.lit(chunks)))
+    dealt = _chunks(bare, chunks)
 
     def prefixes(name: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         c = Chunk(rows, window)
@@ -156,13 +163,14 @@ def repeats(docs: DataFrame, window: int = 20, text: str = "text", key: str = "d
         first, _ = c.nodes(replies.column("data").to_pylist())
         out = np.empty(len(first), _NODE)
         out["hash"], out["at"] = c.node[first], first
-        out["key"] = c.rank[np.searchsorted(c.words.first, c.at[first], side="right") - 1]
+        row = np.searchsorted(c.words.first, c.at[first], side="right") - 1
+        out["key"], out["text"] = c.rank[row], c.hash[row]
         return _dealt(out["hash"], name[0].as_py(), chunks, out)
 
     def deep(packets: pa.Table) -> pa.Table:
         chunk, e = _gathered(packets, _NODE)
-        # a node's suffixes, the earliest first; rows of one key are in one chunk, which sends only the first
-        order = np.lexsort((e["key"], e["hash"]))
+        # a node's suffixes, the earliest first; rows of one key and text are in one chunk, which sends only the first
+        order = np.lexsort((e["text"], e["key"], e["hash"]))
         later = np.zeros(len(e), bool)
         later[1:] = e["hash"][order][1:] == e["hash"][order][:-1]
         return _replies(chunk[order][later], e["at"][order][later], 1)

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from lithograph.llm.substrings import repeats
+from lithograph.llm.substrings import _chunks, repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -53,3 +53,18 @@ def test_repeated_rows_spans_and_empty(spark):
     assert repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     null = repeats(spark.createDataFrame([(None, text), (1, text)], "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_removed for r in null} == {None: 0, 1: 30}
+
+
+def test_rows_of_one_key_are_dealt_out(spark):
+    draw = random.Random(8)
+    passage = [f"p{i}" for i in range(12)]
+    texts = [" ".join(f"{draw.choice('abc')}{draw.randrange(30)}" for _ in range(20)) + " " + " ".join(passage[draw.randrange(4) :]) for _ in range(40)]
+    for key in (None, 7):
+        docs = spark.createDataFrame([(key, t) for t in texts], "doc_id long, text string")
+        bare = docs.selectExpr("doc_id as k", "text as t")
+        assert _chunks(bare, 8).select("chunk").distinct().count() > 4
+        order = [r.t for r in _chunks(bare, 8).orderBy("h").select("t").collect()]
+        want = [(n, gone, kept) for _, n, gone, kept in brute(list(enumerate(order)), 8)]
+        got = repeats(docs, 8, chunk_bytes=400).collect()
+        assert sorted((r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
+        assert {r.doc_id for r in got} == {key}
