@@ -3,6 +3,7 @@
 Three base patterns find assignments, access keys and hexadecimal runs.  The method goes on to candidates in
 base64 and hexadecimal and reports those whose decoded bytes have the structure of a key: a PEM block, a DER
 encoding whose nested lengths add up, an OpenSSH key, or a signed token whose header names an algorithm.
+Line breaks within a key may be real or escaped, as in JSON and .env files, and a key may begin within a run of the alphabet.
 """
 
 from __future__ import annotations
@@ -27,9 +28,13 @@ KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "token")
 LEAST = {"assign": 8, "access": 16}
 
 _ASSIGN_WORDS = ("pass", "secret", "token", "api")
-_ENCODED = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
+_BREAK = re.compile(r"(?:(?:\\+[rn]|\r?\n)[\x20\t]*)+")
+_ENCODED = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK.pattern}[A-Za-z0-9+/_-]+)*={{0,2}}")
+# how the first bytes of a sequence (0x30), of an OpenSSH name's length and of OpenSSH's magic are written
+_START = re.compile(r"(?=M[A-P]|AAAA|b3BlbnNzaC)")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,-]|\\+[rnt/])*?)-----END \1-----")
+_PEM_LINE = re.compile(r"\\+[rn]|[\r\n]+")
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 
 
@@ -74,6 +79,20 @@ def _der_end(raw: bytes, at: int, stop: int) -> int | None:
     return body + n if body + n <= stop else None
 
 
+def _der_size(head: bytes) -> int | None:
+    """How long the value is that begins with head, its own head included."""
+    if len(head) < 6:
+        return None
+    n, k = head[1], head[1] & 0x7F
+    if n < 0x80:
+        return 2 + n
+    return 2 + k + int.from_bytes(head[2 : 2 + k], "big") if 1 <= k <= 4 else None
+
+
+_SSH = (b"ssh-", b"ecdsa-", b"sk-")
+_JSON = json.JSONDecoder()
+
+
 def key_kind(raw: bytes | None) -> str | None:
     """der or openssh where raw is a whole key encoding, else None."""
     if not raw or len(raw) < 16:
@@ -81,7 +100,7 @@ def key_kind(raw: bytes | None) -> str | None:
     if raw.startswith(b"openssh-key-v1\0"):
         return "openssh"
     n = int.from_bytes(raw[:4], "big")
-    if 7 <= n <= 40 and raw[4 : 4 + n].startswith((b"ssh-", b"ecdsa-", b"sk-")):
+    if 7 <= n <= 40 and raw[4 : 4 + n].startswith(_SSH):
         i, fields = 0, 0  # length-prefixed fields to the end
         while i + 4 <= len(raw):
             i += 4 + int.from_bytes(raw[i : i + 4], "big")
@@ -93,16 +112,75 @@ def key_kind(raw: bytes | None) -> str | None:
     return None
 
 
-def signed_header(s: str) -> bool:
-    """Whether s decodes to the JSON header of a signed token."""
-    raw = _unbase64(s)
-    if not raw or raw[:1] != b"{":
-        return False
-    try:
-        head = json.loads(raw)
-    except ValueError:
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
+def signed_header(s: str) -> int | None:
+    """Where in s the JSON header of a signed token begins that goes on to the end of s."""
+    for shift in range(min(4, len(s))):
+        raw = _unbase64(s[shift:])
+        if raw is None:
+            continue
+        chars = raw.decode("latin-1")
+        at = chars.find("{")
+        while at >= 0:
+            if at % 3 == 0:
+                try:
+                    head, end = _JSON.raw_decode(chars, at)
+                    if not chars[end:].strip() and isinstance(head.get("alg"), str):
+                        return shift + at // 3 * 4
+                except (ValueError, RecursionError):
+                    pass
+            at = chars.find("{", at + 1)
+    return None
+
+
+def _encoded_keys(run: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of the keys within a run of the alphabet that may have line breaks, each as decoding finds it.
+
+    A key begins anywhere in the run, and ends at the end of a line or of the run or before one of + / - _.
+    """
+    if not _START.search(run):
+        return
+    done = 0
+    bare = run.rstrip("=")
+    breaks = [m.span() for m in _BREAK.finditer(bare)] if "\n" in bare or "\\" in bare else []
+    clean, place, ends, at = "", [], set(), 0
+    if breaks:
+        parts = []
+        for a, b in [*breaks, (len(bare), len(bare))]:
+            parts.append(bare[at:a])
+            place += range(at, a)
+            ends.add(len(place))
+            at = b
+        clean = "".join(parts)
+    else:
+        clean, place, ends = bare, range(len(bare)), {len(bare)}
+    stop = lambda i: i in ends or clean[i : i + 1] in tuple("+/-_")
+    for m in _START.finditer(clean):
+        i = m.start()
+        if i < done:
+            continue
+        head = _unbase64(clean[i : i + 64][: len(clean[i : i + 64]) // 4 * 4]) or b""
+        found = None
+        if head[:1] == b"0":
+            size = _der_size(head)
+            j = i + (4 * size + 2) // 3 if size else 0
+            if size and j <= len(clean) and stop(j) and key_kind(_unbase64(clean[i:j])) == "der":
+                found = (j, "der")
+        elif head.startswith(b"openssh-key-v1\0"):
+            found = (len(clean), "openssh")
+        elif 7 <= int.from_bytes(head[:4], "big") <= 40 and head[4:].startswith(_SSH):
+            rest = clean[i:]
+            raw = _unbase64(rest[: len(rest) - (len(rest) % 4 == 1)]) or b""
+            k, fields = 0, 0
+            while k + 4 <= len(raw):
+                k += 4 + int.from_bytes(raw[k : k + 4], "big")
+                fields += 1
+                j = i + (4 * k + 2) // 3
+                if k <= len(raw) and fields >= 2 and stop(j):
+                    found = (j, "openssh")
+        if found:
+            done = found[0]
+            last = place[done - 1] + 1
+            yield place[i], len(run) if last == len(bare) else last, found[1]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -122,19 +200,16 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            lines = m[2].strip().splitlines()
+            lines = _PEM_LINE.split(re.sub(r"\\+/", "/", re.sub(r"\\+t", " ", m[2])).strip())
             body = "".join(x.strip() for x in lines if ":" not in x and "," not in x)
             raw = _unbase64(body)
             if raw and ("ENCRYPTED" in m[1] or any(":" in x for x in lines) or key_kind(raw)):
                 out.append((m.start(), m.end(), "pem"))
-    if "eyJ" in text:
-        out += [(m.start(), m.end(), "token") for m in _SIGNED.finditer(text) if m[1].startswith("eyJ") and signed_header(m[1])]
+    for m in _SIGNED.finditer(text):
+        if (at := signed_header(m[1])) is not None:
+            out.append((m.start() + at, m.end(), "token"))
     for m in _ENCODED.finditer(text):
-        s = m[0]
-        # a key's first bytes leave few ways to begin; most long words end here
-        if s[:2] in ("MI", "MC", "MD", "ME", "MF", "MG", "MH", "MF") or s.startswith(("AAAA", "b3BlbnNzaC")):
-            if kind := key_kind(_unbase64(s)):
-                out.append((m.start(), m.end(), kind))
+        out += [(m.start() + a, m.start() + b, kind) for a, b, kind in _encoded_keys(m[0])]
     for m in _HEX_ANY.finditer(text):
         if m[0][:2] == "30" or m[0].lower().startswith(("6f70656e737368", "000000")):
             if kind := key_kind(bytes.fromhex(m[0])):

@@ -51,3 +51,25 @@ def test_table(spark):
     assert {r.base_sha256 for r in got if r.doc_id == 1} == {hashlib.sha256(b"assign:0:16").hexdigest()}
     assert scan(docs.limit(0)).count() == 0
     assert re.fullmatch("assign:0:16", next(r.spans_text for r in got if r.doc_id == 1))
+
+
+def test_keys_as_they_are_written():
+    b64 = base64.b64encode(KEY).decode()
+    found = lambda t: [(k, t[a:b]) for a, b, k in spans(t)[1]]
+    lines = [b64[i : i + 64] for i in range(0, len(b64), 64)]
+    for gap in ("\\n", "\\\\n", "\\r\\n", "\r\n"):
+        pem = gap.join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+        assert found(f'{{"private_key": "{pem}{gap}"}}') == [("pem", pem)]
+        assert "MI" not in masked(f'KEY="{pem}"')
+        assert found(f"at{gap}{gap.join(lines)} end") == [("der", gap.join(lines))]
+    for before in "/-_+":
+        assert found(f"some{before}{b64} x") == [("der", b64)]
+    assert found("\\n" + b64) == [("der", b64)]
+    short = base64.b64encode(_der(0x30, _der(2, b"\0") + _der(2, b"\x07" * 14))).decode()
+    assert short[:2] == "MB" and found(f"x {short} y") == [("der", short)]
+    for head in (b'{ "alg": "HS256"}', b'{\n "alg": "HS256"}', b'{"alg":"none", "typ":"JWT"}'):
+        token = base64.urlsafe_b64encode(head).rstrip(b"=").decode() + ".eyJzdWIi.c2ln"
+        assert found(f"see {token} there") == found(f"see x_{token} there") == [("token", token)]
+    ssh = base64.b64encode(b"\0\0\0\x0bssh-ed25519\0\0\0\x20" + b"\x05" * 32).decode()
+    assert found(f"k {ssh} me") == found(f"k/{ssh} me") == [("openssh", ssh)]
+    assert found("M" * 100_000) == found("MIIE" * 50_000) == found("eyJ7" * 50_000 + ".aa.bb") == []
