@@ -52,19 +52,47 @@ def _ruling(host: Column, path: Column, rules) -> Column:
     return out
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that begins with / without its dot segments, as RFC 3986 removes them."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    ends = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends, F.lit("/")).otherwise(F.lit("")))).otherwise(path)
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """What the reference `to` in the page at url names, by RFC 3986; null where that has no host."""
+    scheme, origin, path = F.regexp_extract(url, r"^([^:]*:)//", 1), F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url)
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    whole = (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(to.contains("://"), to))
+        .when(to.startswith("//"), F.concat(scheme, to))
+        .when(origin == "", F.lit(None))
+        .when(to.startswith("/"), F.concat(origin, to))
+        .when(to.startswith("?"), F.concat(origin, path, to))
+        .when(to.startswith("#"), F.concat(origin, path, query, to))
+        .when(to != "", F.concat(origin, folder, to))
+    )
+    rest = F.regexp_extract(whole, r"(?s)^.*?://[^?#]*([?#].*)$", 1)
+    return F.when(path_of(whole) == "", whole).otherwise(F.concat(F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)", 1), _without_dots(path_of(whole)), rest))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(source, target): each page's url and the url that a canonical link or a refresh in its html names."""
     tags = pages.where("url is not null").select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"))).alias("tag"))
     canonical = F.when(
-        F.col("tag").rlike(r"""(?i)^<link\b.*\brel\s*=\s*["']?canonical\b"""), F.regexp_extract("tag", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
+        F.col("tag").rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b"""), F.regexp_extract("tag", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     )
     refresh = F.when(
-        F.col("tag").rlike(r"""(?i)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("tag", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
+        F.col("tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("tag", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
     )
     to = F.coalesce(canonical, refresh)
-    scheme, origin = F.regexp_extract("url", r"^([^:]*:)//", 1), F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    whole = F.when(to.startswith("//"), F.concat(scheme, to)).when(to.startswith("/"), F.concat(origin, to)).when(to.contains("://"), to)
-    return tags.select(F.col("url").alias("source"), whole.alias("target")).where("target <> ''")
+    return tags.select(F.col("url").alias("source"), resolved(F.col("url"), to).alias("target")).where("target <> ''")
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:

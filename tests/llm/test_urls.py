@@ -1,6 +1,6 @@
 import duckdb
 
-from lithograph.llm.urls import SQL, judge
+from lithograph.llm.urls import SQL, judge, resolved
 
 C = '<link rel="canonical" href="{}">'
 ROWS = [
@@ -51,3 +51,28 @@ def test_long_chain(spark):
     rows = [(i, f"http://h.org/{i}", C.format(f"http://h.org/{i + 1}")) for i in range(n)] + [(n, f"http://h.org/{n}", C.format("http://z.net/fr/"))]
     got = judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.verdict for r in got} == {"block"}
+
+
+def test_references_by_hand(spark):
+    base = "http://a/b/c/d;p?q"  # RFC 3986, 5.4, and some more
+    want = {
+        "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y",
+        "#s": "http://a/b/c/d;p?q#s", "g?y#s": "http://a/b/c/g?y#s", ";x": "http://a/b/c/;x", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/",
+        "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g",
+        "./g/.": "http://a/b/c/g/", "g/../h": "http://a/b/c/h", "g;x=1/../y": "http://a/b/c/y", "g?y/../x": "http://a/b/c/g?y/../x", "http://z/k/../l?u=/../": "http://z/l?u=/../",
+        "g?u=http://x/y": "http://a/b/c/g?u=http://x/y", "mailto:x@y": None, "": None,
+    }
+    rows = spark.createDataFrame([(base, t) for t in want], "url string, t string")
+    assert {r.t: r.target for r in rows.select("t", resolved(rows["url"], rows["t"]).alias("target")).collect()} == want
+    bare = spark.createDataFrame([("http://a", "g"), ("no scheme", "g?u=http://x/")], "url string, t string")
+    assert [r.target for r in bare.select(resolved(bare["url"], bare["t"]).alias("target")).collect()] == ["http://a/g", None]
+
+
+def test_relative_and_broken_tags_join_their_component(spark):
+    rows = [
+        (1, "http://r.org/a/b", C.format("../x?id=3")),
+        (2, "http://r.org/x?id=3", '<link\n  rel="canonical"\n  href="http://z.net/es/"\n>'),
+        (3, "http://s.org/p", '<meta\nhttp-equiv="refresh"\ncontent="0; url=q.html">'),
+        (4, "http://s.org/q.html", C.format("http://z.net/fr/")),
+    ]
+    assert {r.verdict for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"block"}
