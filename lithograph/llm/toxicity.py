@@ -63,11 +63,14 @@ def _repeats() -> Transducer:
     return Transducer(0, 4, step)
 
 
+#: How many words a target and what is aimed at it may be apart, and the factors of a threat and an insult without and with one.
+REACH = 6
+AIMED = {THREAT: (0.1, 1.6), INSULT: (1.0, 1.4)}
 #: The grammar: what each transducer does to a weight.
 GRAMMAR = (
     _repeats(),  # insult
-    _scope(TARGET, 6, (THREAT,), 1.6, before=0.1),  # threat: mostly with someone to aim it at
-    _scope(TARGET, 6, (INSULT,), 1.4),  # target
+    _scope(TARGET, REACH, (THREAT,), AIMED[THREAT][1], before=AIMED[THREAT][0]),  # threat: mostly with someone to aim it at
+    _scope(TARGET, REACH, (INSULT,), AIMED[INSULT][1]),  # target
     _scope(NEGATION, 3, (INSULT, THREAT), 0.45),  # negation
     _scope(REPORT, 12, (INSULT, THREAT), 0.6),  # reported speech
 )
@@ -93,12 +96,27 @@ def composed() -> tuple[list[list[tuple[int, float]]], int]:
 
 
 def clause_score(classes: list[tuple[int, float]]) -> float:
-    """The sum of the weights along the composed machine's path over (class, weight) of a clause's words."""
+    """The sum of the weights along the composed machine's path over (class, weight) of a clause's words.
+
+    A threat or insult without a target in the words before it is held, with what its other states make of it; a target
+    within the next `REACH` words gives it the target's factor.
+    """
     machine, state = composed()
     total = 0.0
-    for c, w in classes:
+    held: list[tuple[int, float]] = []  # (last place for a target, what the target adds)
+    since = REACH  # words since the last target
+    for i, (c, w) in enumerate(classes):
         state, factor = machine[state][c]
         total += w * factor
+        if c == TARGET:
+            since = 0
+            total += sum(more for last, more in held if i <= last)
+            held = []
+            continue
+        if c in AIMED and w and since >= REACH:
+            without, aimed = AIMED[c]
+            held.append((i + REACH, w * factor * (aimed / without - 1)))
+        since += 1
     return total
 
 

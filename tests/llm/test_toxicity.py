@@ -40,3 +40,15 @@ def test_held_out_quality(spark):
     rows = op1_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").collect()
     hit = sum(r.predicted and r.toxic for r in rows)
     assert hit / sum(r.toxic for r in rows) > 0.8 and hit / sum(r.predicted for r in rows) > 0.8  # the tables label some 2 % of rows at random
+
+
+def test_a_target_after_the_verb():
+    before, after = [(TARGET, 0), (THREAT, 2.0)], [(THREAT, 2.0), (TARGET, 0)]
+    assert clause_score(after) == pytest.approx(clause_score(before))
+    assert clause_score([(INSULT, 8.0), (OTHER, 0), (TARGET, 0)]) == pytest.approx(clause_score([(TARGET, 0), (INSULT, 8.0)]))
+    assert clause_score([(THREAT, 2.0)] + [(OTHER, 0)] * 6 + [(TARGET, 0)]) < 1
+    assert clause_score([(TARGET, 0), (THREAT, 2.0), (TARGET, 0)]) == pytest.approx(clause_score(before))
+    assert clause_score([(NEGATION, 0)] + after) == pytest.approx(0.45 * clause_score(after))
+    s = Scorer({})
+    verbs_first = ("i will kill you", "wir werden töten dich", "je vais tuer ton frère", "voy a matar a ustedes")
+    assert all(s.raw(t) == pytest.approx(3.2) and s.score(t) > 0.3 for t in verbs_first)
