@@ -18,16 +18,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what spark.checkpoint.dir names, else the session's checkpoint folder.
+
+    Without either it raises on a cluster; in local mode, where all is one machine, a temporary folder is made.
+    """
+    sc = spark.sparkContext
+    named = sc._jsc.sc().getCheckpointDir()
+    if named.isEmpty():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="lithograph-")
+        sc.setCheckpointDir(folder)
+        named = sc._jsc.sc().getCheckpointDir()
+    return named.get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without lineage: a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
-    A folder of our own is set only where the session names none, as in tests on one machine.  The shuffle files that led
-    to the checkpoint go once it is written, as nothing reads them again.
+    Without that setting the session must have a checkpoint folder already.  The shuffle files that led to the checkpoint
+    go once it is written, as nothing reads them again.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lithograph-"))
+    shared_folder(spark)
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
@@ -61,7 +77,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return stars.union(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about most_bytes of text each; one row may be longer."""
     for batch in batches:
         sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)

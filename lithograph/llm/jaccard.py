@@ -1,14 +1,15 @@
 """Operator 2, n-gram Jaccard join by tries over globally ordered n-gram sets.
 
-Texts with the same set of n-grams are one class, and classes are joined.  For candidates, each class keeps its
-`SKETCH` n-grams with the least hashes; n-grams are ordered by how many classes' sketches hold them, rarest first, and
-a class is a candidate with those that share an n-gram of its sketch's first part.  Two sets that are similar
-enough share at least half of the smaller sketch unless chance is against them once in 10**10 pairs; then the first
-parts must share an n-gram.  Classes connected by such n-grams form a group.  In each group the whole sets go into one
-trie: common n-grams first, so that near copies share long paths.  A set walks the trie with the overlap so far, and
-leaves a subtree once what remains on both sides cannot make the similarity, or all in it are linked with it already.
-Every link is decided on the whole sets.  Components of the links give the result.  As all links of a class lie in its
-component, a second pass over each component's tries counts them, with no subtree left out for what is connected already.
+Texts with the same set of n-grams are one class, and classes are joined.  Candidates come from prefix filters, which
+lose no pair.  Sets of a and b n-grams that are similar enough share at least `need(max(a, b))` of them.  In the order of
+their hashes, the same for all sets, a class files its first a - need(a) + spare(a) n-grams; two similar classes then
+share spare(need(a)) of what they filed.  The filed n-grams are ordered again by how many classes filed them, rarest
+first, and all but the last spare(need(a)) - 1 stay: a similar pair still has one of them in common.  Classes
+connected by such n-grams form a group.  In each group the whole sets go into one trie, the n-grams that most of the group
+hold first, so that near copies share long paths.  The trie is walked once for all sets together: overlaps with a path
+are added up as it is shared, a set leaves a subtree once what remains on both sides cannot make the similarity, and it is
+linked with a whole subtree once its overlap is enough for every set there.  Every link is decided on the whole sets and counted; components of
+the links give the result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,23 @@ from pyspark.sql import functions as F
 from lithograph.llm import words as W
 from lithograph.llm.common import components, cut, small_batches, table
 
-SKETCH = 64
+SPARE = 24
+
+
+def need(size, percent: int):
+    """The overlap that a set of this size needs with any other."""
+    return -(-size * percent // 100)
+
+
+def spare(size, percent: int):
+    """How many n-grams beyond the first size - need(size) + 1 are filed; it doesn't fall as sizes grow."""
+    return np.minimum(need(size, percent), SPARE + size - need(size, percent))
+
+
+def filed(size, percent: int):
+    """(how many n-grams a set of this size files, how many of them stay)."""
+    n = size - need(size, percent) + spare(size, percent)
+    return n, n - spare(need(size, percent), percent) + 1
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -30,43 +47,47 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
 
 
-def ngram_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(k, th, size, h1, h2, sketch): each row's set of n-grams by size, digest and least hashes; docs has k, t and th, a hash of t."""
+def ngram_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(k, th, size, h1, h2, first, filed): each row's set of n-grams by size, digest, how many of those filed stay, and the filed ones.
+
+    docs has k, t and th, a hash of t.
+    """
 
     def run(batches):
         for batch in small_batches(batches, "t"):
             sets = W.shingle_sets(W.split(batch.column("t"), lower=True), n)
             digests = [_digest(s) for s in sets]
-            low = [s[:SKETCH].view(np.int64) for s in sets]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            many, first = filed(sizes, percent)
+            low = [s[:m].view(np.int64) for s, m in zip(sets, np.where(sizes > 0, many, 0))]
             ends = np.cumsum([0, *map(len, low)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("k"),
                     batch.column("th"),
-                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(sizes),
                     pa.array([d[0] for d in digests], pa.int64()),
                     pa.array([d[1] for d in digests], pa.int64()),
+                    pa.array(first),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(low) if low else np.zeros(0, np.int64))),
                 ],
-                names=["k", "th", "size", "h1", "h2", "sketch"],
+                names=["k", "th", "size", "h1", "h2", "first", "filed"],
             )
 
-    return docs.mapInArrow(run, "k long, th long, size long, h1 long, h2 long, sketch array<long>")
+    return docs.mapInArrow(run, "k long, th long, size long, h1 long, h2 long, first long, filed array<long>")
 
 
 def _grams(rows: DataFrame, n: int) -> DataFrame:
-    """(group, c, size, gram): the whole sets of rows (component, c, size, t); rows whose text isn't class c's are left out."""
+    """(group, c, size, gram): the whole sets of rows (component, c, size, t)."""
 
     def run(batches):
-        for batch in small_batches(batches, "t", 1 << 20):
-            c, size = np.asarray(batch.column("c")), np.asarray(batch.column("size"))
+        for batch in small_batches(batches, "t", 1 << 19):
             sets = W.shingle_sets(W.split(batch.column("t"), lower=True), n)
-            sets = [s if _digest(s)[0] == x else s[:0] for s, x in zip(sets, c.tolist())]
             times = [len(s) for s in sets]
-            columns = (np.asarray(batch.column("component")), c, size)
+            columns = (np.asarray(batch.column(x)) for x in ("component", "c", "size"))
             yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(x, times)) for x in columns), pa.array(np.concatenate(sets).view(np.int64))], names=["group", "c", "size", "gram"])
 
-    return rows.mapInArrow(run, "group long, c long, size long, gram long").dropDuplicates(["c", "gram"])
+    return rows.mapInArrow(run, "group long, c long, size long, gram long")
 
 
 def _sharing(held: DataFrame, within: list[str], first: Column, total: Column) -> DataFrame:
@@ -113,60 +134,16 @@ def _paths(sets: list[np.ndarray]) -> tuple[list[int], list[np.ndarray], np.ndar
     return by_path, seqs, n, shared, len(grams)
 
 
-def trie_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all sets whose Jaccard similarity is percent/100 at least, directly or through others.
-
-    A link within what is connected already may be left out; a link that is given is exact.
-    """
-    g = len(sets)
-    if g < 2:
-        return []
-    by_path, seqs, n, shared, width = _paths(sets)
-    root = np.arange(g)
-    links = []
-    member = np.zeros(width, bool)
-    for i in range(1, g):
-        mine = seqs[i]
-        member[mine] = True
-        # (lo, hi, depth, overlap): those in lo..hi share their first depth n-grams, of which overlap are mine
-        todo = [(0, i, 0, 0)]
-        while todo:
-            lo, hi, depth, overlap = todo.pop()
-            if (root[lo:hi] == root[i]).all():
-                continue
-            # the longest path that all of them share, as one step
-            to = int(shared[lo + 1 : hi].min()) if hi - lo > 1 else int(n[lo])
-            if to > depth:
-                step = seqs[lo][depth:to]
-                overlap += int(member[step].sum())
-                left = len(mine) - int(np.searchsorted(mine, step[-1], side="right"))
-            else:
-                left = len(mine) - (int(np.searchsorted(mine, seqs[lo][depth - 1], side="right")) if depth else 0)
-            ends = n[lo:hi]
-            fits = overlap + np.minimum(left, ends - to) >= _least(len(mine), ends, percent)
-            if not fits.any():
-                continue
-            if hi - lo == 1:
-                if overlap >= _least(len(mine), int(n[lo]), percent):
-                    links.append((by_path[lo], by_path[i]))
-                    root[root == root[lo]] = root[i]
-                continue
-            cuts = [lo, *(np.flatnonzero(shared[lo + 1 : hi] <= to) + lo + 1).tolist(), hi]
-            # children in path order, so that the nearest to mine comes off the stack first
-            todo += [(a, b, to, overlap) for a, b in zip(cuts, cuts[1:]) if fits[a - lo : b - lo].any()]
-        member[mine] = False
-    return links
-
-
-def trie_counts(sets: list[np.ndarray], percent: int, weight: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
-    """For each set, the weight of all others whose Jaccard similarity with it is percent/100 at least.
+def trie_join(sets: list[np.ndarray], percent: int, weight: np.ndarray | None = None, side: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(links, counts) of the sets whose Jaccard similarity is percent/100 at least.
 
-    Where side (0 or 1 for each set) is given, only sets of different sides count.  The trie is walked once for all sets
-    together; a subtree counts as a whole for those whose overlap with its path is enough for any of its sets.
+    The links, each of them exact, connect all sets that such links connect, directly or through others; there are fewer than sets.
+    counts has for each set the weight of all others linked with it.  Where side (0 or 1 for each set) is
+    given, only sets of different sides count and are linked.
     """
     g = len(sets)
     if g < 2:
-        return np.zeros(g, np.int64)
+        return [], np.zeros(g, np.int64)
     by_path, seqs, n, shared, width = _paths(sets)
     flat, begin = np.concatenate(seqs), np.concatenate([[0], np.cumsum(n)[:-1]])
     owner = np.repeat(np.arange(g), n)
@@ -174,18 +151,36 @@ def trie_counts(sets: list[np.ndarray], percent: int, weight: np.ndarray, side:
     order = np.argsort(flat, kind="stable")
     holder = owner[order]  # the sets that hold each n-gram, by n-gram
     first = np.searchsorted(flat[order], np.arange(width + 1))
-    w = np.asarray(weight, np.int64)[by_path]
+    w = np.ones(g, np.int64) if weight is None else np.asarray(weight, np.int64)[by_path]
     own = np.zeros(g, np.int64) if side is None else np.asarray(side, np.int64)[by_path]
     sums = np.zeros((2, g + 1), np.int64)
     for x in (0, 1):
         np.cumsum(w * (own == x), out=sums[x, 1:])
     other = own if side is None else 1 - own
+    root, links = np.arange(g), []
+
+    def link(some: np.ndarray, lo: int, hi: int) -> None:
+        """Each of some is linked with all of lo..hi that it may be linked with."""
+        for x in (0, 1):
+            a = some[other[some] == x]
+            b = np.arange(lo, hi)[own[lo:hi] == x]
+            if len(a) and len(b):
+                both = np.concatenate([b, a])
+                roots, at = np.unique(root[both], return_index=True)
+                if len(roots) > 1:
+                    # one of each root: those of b meet a[0], those of a meet b[0]
+                    for i in at:
+                        u, v = (int(both[i]), int(a[0])) if i < len(b) else (int(both[i]), int(b[0]))
+                        if root[u] != root[v]:
+                            links.append((by_path[u], by_path[v]))
+                            root[root == root[u]] = root[v]
 
     found = -w if side is None else np.zeros(g, np.int64)  # a set meets itself once
     # (lo, hi, depth, who, overlap): lo..hi share their first depth n-grams; who may still be linked with some of them
     todo = [(0, g, 0, np.arange(g), np.zeros(g, np.int64))]
     while todo:
         lo, hi, depth, who, overlap = todo.pop()
+        # the longest path that all of them share, as one step
         to = int(shared[lo + 1 : hi].min()) if hi - lo > 1 else int(n[lo])
         if to > depth:
             step = seqs[lo][depth:to]
@@ -197,7 +192,9 @@ def trie_counts(sets: list[np.ndarray], percent: int, weight: np.ndarray, side:
         have = overlap[who]
         sure = have >= _least(n[who], most, percent)
         some = who[sure]
-        found[some] += sums[other[some], hi] - sums[other[some], lo]
+        if len(some):
+            found[some] += sums[other[some], hi] - sums[other[some], lo]
+            link(some, lo, hi)
         if hi - lo == 1:
             continue
         who = who[~sure & (have + np.minimum(n[who] - passed, most - to) >= _least(n[who], least, percent))]
@@ -206,7 +203,7 @@ def trie_counts(sets: list[np.ndarray], percent: int, weight: np.ndarray, side:
             todo += [(a, b, to, who, overlap) for a, b in zip(cuts, cuts[1:])]
     out = np.empty(g, np.int64)
     out[by_path] = found
-    return out
+    return links, out
 
 
 def _class_texts(bare: DataFrame, rows: DataFrame) -> DataFrame:
@@ -234,23 +231,28 @@ def _blocked(bare: DataFrame, groups: DataFrame, block_sets: int, block_grams: i
     return member.repartition(int(bare.sparkSession.conf.get("spark.sql.shuffle.partitions")), "component", "x", "y")
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", block_sets: int = 800, block_grams: int = 800_000, count_links: bool = True) -> DataFrame:
-    """Group the whole texts whose sets of n-grams have a Jaccard similarity of percent/100 at least.
+def join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", block_sets: int = 400, block_grams: int = 400_000) -> DataFrame:
+    """Group the whole texts whose sets of n-grams have a Jaccard similarity of percent/100 at least, for any percent from 1 to 100.
 
-    Returns key, n_shingles, class_id (equal for texts of one set; null without words), n_links (other rows linked directly,
-    those of the same class too; not with count_links=False, which saves the pass that counts) and component_id (the
-    least key that links reach), one row per row of docs.  Words are lower-cased in A to Z; a text of fewer words is one n-gram.  A text that
-    is null, empty or blank has an empty set and is linked with nothing.  A null key is a row of its own and
-    the least key only where there is no other.  Groups above block_sets sets or block_grams n-grams
-    are split by the first parts of the whole sets; what stays together above that is compared block by block, each
-    block with every other, by the same trie.
+    Returns key, n_shingles, class_id (equal for texts of one set, of one call; null without words), n_links (other rows linked directly,
+    those of the same class too) and component_id (the least key that links reach), one row per row of docs.  Words
+    are lower-cased in A to Z; a text of fewer words is one n-gram.  A text that is null, empty or blank has an empty set
+    and is linked with nothing.  A null key is a row of its own and the least key only where there is no other.  Equal rows
+    are linked rows of their own; other columns are not looked at; an empty table gives no rows.  Groups above
+    block_sets sets or block_grams n-grams are split by the first parts of the whole sets; what stays together above that
+    is compared block by block, each block with every other, by the same trie.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is from 1 to 100")
     bare = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).withColumn("th", F.xxhash64("t"))
-    base = cut(ngram_sets(bare, n))
-    classes = base.where("size > 0").groupBy(F.col("h1").alias("c"), "h2").agg(F.min("k").alias("rep"), F.coalesce(F.min_by("th", "k"), F.min("th")).alias("th"), F.count("*").alias("times"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    held = classes.select("c", "size", F.size("sketch").alias("low"), F.explode("sketch").alias("gram"))
-    # of a sketch's m n-grams half must be shared: the first part is all but ceil(m / 2) - 1
-    near = _sharing(held, [], F.col("low") - F.ceil(F.col("low") / 2) + 1, F.col("low"))
+    base = cut(ngram_sets(bare, n, percent))
+    classes = base.where("size > 0").groupBy("h1", "h2").agg(
+        F.min("k").alias("rep"), F.coalesce(F.min_by("th", "k"), F.min("th")).alias("th"), F.count("*").alias("times"), F.first("size").alias("size"), F.first("first").alias("first"), F.first("filed").alias("filed")
+    )
+    # written, so that a class keeps its number
+    classes = cut(classes.withColumn("c", F.monotonically_increasing_id()))
+    held = classes.select("c", "first", F.size("filed").alias("total"), F.explode("filed").alias("gram"))
+    near = _sharing(held, [], F.col("first"), F.col("total"))
     groups = cut(near.join(classes.select("c", "size", "times", "rep", "th"), "c"))
     sized = groups.groupBy("component").agg(((F.count("*") > block_sets) | (F.sum("size") > block_grams)).alias("large"))
     marked = cut(groups.join(sized, "component"))
@@ -260,45 +262,36 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key
     grams = _grams(_class_texts(bare, suspects).select("component", "c", "size", "t"), n)
     kept = _sharing(grams, ["group"], F.col("size") - F.ceil(F.col("size") * percent / 100) + 1, F.col("size"))
     groups = cut(marked.where("not large").drop("large").unionByName(kept.join(suspects.drop("component"), "c")))
-    texts = _blocked(bare, groups, block_sets, block_grams)
 
     def run(rows: pa.Table) -> pa.Table:
-        c = np.asarray(rows.column("c"))
-        pairs = np.array(trie_links(W.shingle_sets(W.split(rows.column("t").combine_chunks(), lower=True), n), percent), np.int64).reshape(-1, 2)
-        return pa.table([pa.array(c[pairs[:, 0]], pa.int64()), pa.array(c[pairs[:, 1]], pa.int64())], names=["a", "b"])
-
-    def count(rows: pa.Table) -> pa.Table:
+        """Links (a, b), and (a, null, near): what a class's row counts in this pair of blocks."""
         c, block = np.asarray(rows.column("c")), np.asarray(rows.column("b"))
         x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
         sets = W.shingle_sets(W.split(rows.column("t").combine_chunks(), lower=True), n)
-        found = trie_counts(sets, percent, np.asarray(rows.column("times")), None if x == y else block == y)
-        return pa.table([pa.array(c, pa.int64()), pa.array(found, pa.int64())], names=["c", "near"])
-
-    links = cut(texts.groupBy("component", "x", "y").applyInArrow(run, "a long, b long").distinct())
-    joined = components(links).withColumnRenamed("id", "c")
-    linked = groups.drop("component").join(joined, "c")
+        links, near = trie_join(sets, percent, np.asarray(rows.column("times")), None if x == y else block == y)
+        pairs = np.array(links, np.int64).reshape(-1, 2)
+        some = np.flatnonzero(near)
+        a, b = np.concatenate([c[pairs[:, 0]], c[some]]), pa.concat_arrays([pa.array(c[pairs[:, 1]], pa.int64()), pa.nulls(len(some), pa.int64())])
+        return pa.table([pa.array(a, pa.int64()), b, pa.array(np.concatenate([np.zeros(len(pairs), np.int64), near[some]]), pa.int64())], names=["a", "b", "near"])
+
+    found = cut(_blocked(bare, groups, block_sets, block_grams).groupBy("component", "x", "y").applyInArrow(run, "a long, b long, near long"))
+    near = found.where("b is null").groupBy(F.col("a").alias("c")).agg(F.sum("near").alias("near"))
+    joined = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "c")
+    linked = joined.join(classes.select("c", "rep"), "c")
     least_key = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     tops = linked.join(least_key, "component").select("c", "component_id")
-    ids = classes.select("c", "rep", "times").join(tops, "c", "left").select("c", "times", F.coalesce("component_id", "rep").alias("component_id"))
-    n_links = []
-    if count_links:
-        linked = cut(linked)
-        near = cut(_blocked(bare, linked, block_sets, block_grams).groupBy("component", "x", "y").applyInArrow(count, "c long, near long"))
-        ids = ids.join(near.groupBy("c").agg(F.sum("near").alias("near")), "c", "left").withColumn("links", F.coalesce("near", F.lit(0)) + F.col("times") - 1)
-        n_links = [F.coalesce("links", F.lit(0)).alias("n_links")]
-    out = base.drop("sketch", "th").join(ids, (F.col("h1") == F.col("c")) & (F.col("size") > 0), "left")
-    return out.select(
-        F.col("k").alias(key), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("h1")).alias("class_id"), *n_links, F.coalesce("component_id", "k").alias("component_id")
+    ids = (
+        classes.select("h1", "h2", "c", "rep", "times")
+        .join(tops, "c", "left")
+        .join(near, "c", "left")
+        .select(F.col("h1").alias("i1"), F.col("h2").alias("i2"), "c", (F.coalesce("near", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("component_id", "rep").alias("component_id"))
     )
+    out = base.select("k", "size", "h1", "h2").join(ids, (F.col("h1") == F.col("i1")) & (F.col("h2") == F.col("i2")) & (F.col("size") > 0), "left")
+    return out.select(F.col("k").alias(key), F.col("size").alias("n_shingles"), F.col("c").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "k").alias("component_id"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"), n=4, percent=85, count_links=False).select("doc_id", "n_shingles", "component_id")
-
-
-def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2_ngram_join, whose three columns its SQL fixes, with each row's class and number of links."""
-    return join(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return join(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 #: The same in SQL, every pair that shares a shingle compared: for small tables.
@@ -313,9 +306,10 @@ WITH RECURSIVE w AS (
 ), shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM rare a JOIN rare b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
 ), link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)
 ), reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, coalesce(n_links, 0) AS n_links
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1) USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY 1) USING (doc_id)
 """
 
-QUERIES = {"op2_ngram_join": op2_ngram_join, "op2_ngram_links": op2_ngram_links}
+QUERIES = {"op2_ngram_join": op2_ngram_join}
 ORACLES = {"op2_ngram_join": SQL}

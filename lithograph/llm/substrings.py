@@ -65,7 +65,7 @@ class Chunk:
         if len(self.at):
             n = len(w.hash)
             start = np.arange(n - p + 1)
-            short = W.mix(W._run_sums(w.hash, start, start + p, W._R))
+            short = W.mix(W.run_sums(w.hash, start, start + p, W.WIDE))
             least = _sliding(short, window - p + 1, np.minimum)
             self.prefix = least[self.at]
             # where each window's least prefix stands: one occurrence counts once, however many windows hold it

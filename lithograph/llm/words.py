@@ -1,24 +1,25 @@
-"""Words, word hashes and hashes of runs of words, for many texts at once, in numpy.
+"""Words, word hashes and hashes of runs of words, for many texts at once, in numpy and Arrow.
 
 A word is a run of characters other than space and U+0009 to U+000D.  UTF-8 keeps ASCII bytes apart
-from all others, so words are found on bytes.  Hashes are 64 bits: sums of table values times powers
+from all others, so words are found on bytes.  A word's hash is the first 64 bits of BLAKE2b of its bytes, worked out
+once for each distinct word of a batch.  The hash of a run of words is a sum of its words' hashes times powers
 of an odd number, then mixed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
-_R, _A = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+NARROW, WIDE = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -31,10 +32,12 @@ _KEPT: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64; kept between calls."""
+    """base**0 .. base**n modulo 2**64; kept between calls while short."""
     have = _KEPT.get(base)
     if have is None or len(have) <= n:
-        have = _KEPT[base] = _powers(base, max(n, 1 << 16))
+        have = _powers(base, max(n, 1 << 16))
+        if len(have) <= 1 << 20:
+            _KEPT[base] = have
     return have
 
 
@@ -46,7 +49,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """start and end: each word's bytes in data; doc: its text's number; first: each text's first word, and the end."""
+    """start and end: each word's bytes in data; first: each text's first word, and the end; hash: each word's hash."""
 
     data: np.ndarray
     start: np.ndarray
@@ -55,12 +58,8 @@ class Words:
     offset: np.ndarray
     hash: np.ndarray
 
-    @property
-    def doc(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-
-def _run_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+def run_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     """Sums of values[i] * base**(i - start) over start <= i < end, modulo 2**64."""
     total = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * powers(base, len(values))[: len(values)], out=total[1:])
@@ -68,17 +67,26 @@ def _run_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int)
     return (total[end] - total[start]) * back[start]
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each word from start to end; data has the words' bytes alone.  Distinct words are told apart by their bytes."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    at = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=at[1:])
+    column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(data)])
+    coded = column.dictionary_encode()
+    each = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in coded.dictionary.to_pylist())
+    return np.frombuffer(each, "<u8")[np.asarray(coded.indices)]
+
+
 def split(texts: pa.Array, lower: bool = False) -> Words:
     """The words of each text; a null text has none."""
     texts = texts.fill_null("").cast(pa.large_string())
     offset = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     body = texts.buffers()[2] if len(texts) else None
-    data = np.frombuffer(body, dtype=np.uint8)[offset[0] : offset[-1]] if body is not None and offset[-1] > offset[0] else np.zeros(0, np.uint8)
+    raw = np.frombuffer(body, dtype=np.uint8)[offset[0] : offset[-1]] if body is not None and offset[-1] > offset[0] else np.zeros(0, np.uint8)
     offset = offset - offset[0]
-    raw = data
-    if lower:
-        data = _LOWER[data]
-    inside = ~_BLANK[data]
+    inside = ~_BLANK[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     heads = offset[:-1][np.diff(offset) > 0]
@@ -89,17 +97,16 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     tails = offset[1:][np.diff(offset) > 0] - 1
     ends[tails] = inside[tails]
     end = np.flatnonzero(ends) + 1
-    h = mix(_run_sums(_BYTE[data], start, end, _R) + (end - start).astype(np.uint64) * _U(_A))
-    return Words(raw, start, end, np.searchsorted(start, offset), offset, h)
+    return Words(raw, start, end, np.searchsorted(start, offset), offset, word_hashes(_LOWER[raw[inside]] if lower else raw[inside], start, end))
 
 
-def runs(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+def runs(w: Words, k: int, base: int = NARROW) -> tuple[np.ndarray, np.ndarray]:
     """(at, hash): each place where k words of one text begin, and the hash of these words."""
     n = len(w.hash)
     if n < k:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.arange(n - k + 1)
-    h = mix(_run_sums(w.hash, at, at + k, _A))
+    h = mix(run_sums(w.hash, at, at + k, base))
     last = np.repeat(w.first[1:], np.diff(w.first))
     ok = at + k <= last[: n - k + 1]
     return at[ok], h[ok]
@@ -116,7 +123,7 @@ def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
             out.append(np.unique(h[lo[i] : lo[i + 1]]))
         elif count[i]:
             a, b = w.first[i], w.first[i + 1]
-            out.append(mix(_run_sums(w.hash[a:b], np.zeros(1, np.int64), np.array([b - a]), _A) + _U(b - a)))
+            out.append(mix(run_sums(w.hash[a:b], np.zeros(1, np.int64), np.array([b - a]), NARROW) + _U(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lithograph.llm.jaccard import join, trie_counts, trie_links
+from lithograph.llm.jaccard import filed, join, trie_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -39,7 +39,8 @@ def same_partition(a, b):
 @given(st.lists(st.sets(st.integers(0, 12), min_size=1), max_size=9), st.integers(30, 100))
 def test_trie_against_all_pairs(sets, percent):
     sets = [np.array(sorted(s), np.uint64) for s in {tuple(sorted(s)) for s in sets}]
-    links = trie_links(sets, percent)
+    links, _ = trie_join(sets, percent)
+    assert len(links) < max(1, len(sets))
     root = list(range(len(sets)))
     for a, b in links:
         x, y = set(sets[a].tolist()), set(sets[b].tolist())
@@ -92,10 +93,63 @@ def test_repeated_keys_and_empty(spark):
 def test_counts_against_all_pairs(sets, percent, sides, draw):
     sets = sorted({tuple(sorted(s)) for s in sets})
     weight, side = [draw.randrange(1, 5) for _ in sets], [draw.randrange(2) for _ in sets]
-    got = trie_counts([np.array(s, np.uint64) for s in sets], percent, np.array(weight, np.int64), np.array(side, np.int64) if sides else None)
+    links, got = trie_join([np.array(s, np.uint64) for s in sets], percent, np.array(weight, np.int64), np.array(side, np.int64) if sides else None)
     near = lambda i, j: 100 * len(set(sets[i]) & set(sets[j])) >= percent * len(set(sets[i]) | set(sets[j]))
     every = range(len(sets))
     assert got.tolist() == [sum(weight[j] for j in every if j != i and (side[i] != side[j] or not sides) and near(i, j)) for i in every]
+    assert all(near(i, j) and (side[i] != side[j] or not sides) for i, j in links)
+    root = list(every)
+    for pairs in (links, [(i, j) for i in every for j in every if near(i, j) and (side[i] != side[j] or not sides)]):
+        before = list(root)
+        for a, b in pairs:
+            root = [root[a] if r == root[b] else r for r in root]
+    assert root == before  # what the links connect is all that the pairs connect
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.sets(st.integers(0, 10**6), min_size=1, max_size=300), st.randoms(), st.integers(1, 100))
+def test_filed_ngrams_lose_no_pair(one, draw, percent):
+    from collections import Counter
+
+    other = set(one)
+    for x in draw.sample(sorted(one), draw.randrange(len(one) + 1)):
+        other.discard(x)
+        if draw.random() < 0.5:
+            other.add(draw.randrange(10**6))
+    if not other or 100 * len(one & other) < percent * len(one | other):
+        return
+    pair = [sorted(s)[: filed(len(s), percent)[0]] for s in (one, other)]
+    often = Counter(x for s in pair for x in s)
+    often.update({x: draw.randrange(5) for x in often})  # what other sets file
+    first = [set(sorted(p, key=lambda x: (often[x], x))[: filed(len(s), percent)[1]]) for p, s in zip(pair, (one, other))]
+    assert first[0] & first[1]
+
+
+def test_small_percents_lose_no_link(spark):
+    draw = random.Random(12)
+    rows = []
+    for i in range(40):
+        words = [f"v{draw.randrange(10**6)}" for _ in range(120)]
+        for part in (1.0, 0.9, 0.8, 0.65, 0.5, 0.35):
+            rows.append((len(rows), " ".join(words[: int(120 * part)] + [f"z{draw.randrange(10**6)}" for _ in range(120 - int(120 * part))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [ngrams(t, 3) for _, t in rows]
+    for percent in (30, 50, 70, 100):
+        got = {r.doc_id: r for r in join(docs, 3, percent).collect()}
+        for i, s in enumerate(sets):
+            assert got[i].n_links == sum(100 * len(s & x) >= percent * len(s | x) for x in sets) - 1
+
+
+def test_words_that_one_polynomial_confuses():
+    import pyarrow as pa
+
+    from lithograph.llm.words import split
+
+    one, other = "a", "b"
+    for _ in range(11):
+        one, other = one + other, other + one
+    w = split(pa.array([f"{one} {other} {one}"]))
+    assert w.hash[0] == w.hash[2] != w.hash[1]
 
 
 def test_every_link_is_counted(spark):
