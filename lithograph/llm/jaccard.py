@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from lithograph.llm import words as W
 from lithograph.llm.common import components, cut, small_batches, table
 
-SPARE = 24
+#: How many n-grams more than needed are filed, beside three of four of those that a set can do without.
+SPARE = 16
 
 
 def need(size, percent: int):
@@ -33,7 +34,7 @@ def need(size, percent: int):
 
 def spare(size, percent: int):
     """How many n-grams beyond the first size - need(size) + 1 are filed; it doesn't fall as sizes grow."""
-    return np.minimum(need(size, percent), SPARE + size - need(size, percent))
+    return np.minimum(need(size, percent), SPARE + (size - need(size, percent)) * 3 // 4)
 
 
 def filed(size, percent: int):
@@ -245,8 +246,10 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key
     if not 1 <= percent <= 100:
         raise ValueError("percent is from 1 to 100")
     bare = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).withColumn("th", F.xxhash64("t"))
-    base = cut(ngram_sets(bare, n, percent))
-    classes = base.where("size > 0").groupBy("h1", "h2").agg(
+    sets = ngram_sets(bare, n, percent)
+    base = cut(sets.drop("filed", "first"))
+    # the sets are worked out once more: to keep what every row files would take more disk than that takes time
+    classes = sets.where("size > 0").groupBy("h1", "h2").agg(
         F.min("k").alias("rep"), F.coalesce(F.min_by("th", "k"), F.min("th")).alias("th"), F.count("*").alias("times"), F.first("size").alias("size"), F.first("first").alias("first"), F.first("filed").alias("filed")
     )
     # written, so that a class keeps its number
@@ -286,7 +289,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key
         .join(near, "c", "left")
         .select(F.col("h1").alias("i1"), F.col("h2").alias("i2"), "c", (F.coalesce("near", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("component_id", "rep").alias("component_id"))
     )
-    out = base.select("k", "size", "h1", "h2").join(ids, (F.col("h1") == F.col("i1")) & (F.col("h2") == F.col("i2")) & (F.col("size") > 0), "left")
+    out = base.drop("th").join(ids, (F.col("h1") == F.col("i1")) & (F.col("h2") == F.col("i2")) & (F.col("size") > 0), "left")
     return out.select(F.col("k").alias(key), F.col("size").alias("n_shingles"), F.col("c").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "k").alias("component_id"))
 
 
