@@ -1,14 +1,16 @@
-"""Operator 6, substring dedup by prefix-partitioned suffixes.
-
-A suffix begins at every word.  Suffixes are split by their first words, in two fixed steps: first by a short prefix, sampled so that every window of `window` words holds one (the least hash of its
-short prefixes), and only prefixes that two suffixes share go on.  Their suffixes are split again by all of the
-window's words; a group is then a node of the suffix tree at that depth, and a node with two or more suffixes is a
-repeat.  Runs of such nodes along a text are its maximal repeats.  Nodes are known by 64-bit hashes of their words.
-No trees are built: what is taken out depends only on which suffixes share their first `window` words, which is one
-level of the suffix tree, and the hashes of that level's nodes give it whole.  So groups need no prefixes of other lengths either.
-
-Texts are dealt into chunks by a hash of their key and text.  A chunk sends one entry for each of its prefixes or nodes,
-however often it holds it, so a passage that a third of all texts share sends one entry a chunk.
+"""Operator 6, substring dedup by prefix-partitioned suffix trees.
+
+A suffix begins at every word.  Each window of `window` words is filed under a prefix: the run of a few words with the least
+hash in it, so that equal windows, and mostly neighbouring ones too, are filed together.  Prefixes that the corpus holds once go
+no further.  The suffixes of a prefix are one group where they fit `group_suffixes`; a group that is larger is split by
+longer prefixes, the window's own first words, by as many as are needed to make the parts fit, up to the whole window.
+Groups reach a task as runs of words, each shared by the suffixes that begin in it.  There a suffix array with the lengths of
+common beginnings stands for the group's suffix tree: an inner node as deep as a window or deeper is a stretch of the
+array whose neighbours have as many words in common.  Its earliest suffix stays, the others are
+repeats; runs of them along a text are its maximal repeats.  All comparisons in the trees are of words' own hashes (64 bits of BLAKE2b).
+
+Texts are dealt into chunks by a hash of their key and text.  A chunk compares its own windows first and sends only the
+earliest of equal ones, so a passage that a third of all texts share is sent once a chunk.
 """
 
 from __future__ import annotations
@@ -27,7 +29,15 @@ from lithograph.llm.common import table
 _U = np.uint64
 _PACKET = "bucket long, chunk long, data binary"
 _REPLY = "chunk long, level int, data binary"
-_NODE = np.dtype([("hash", "<u8"), ("key", "<i8"), ("text", "<i8"), ("at", "<u4")])
+#: A prefix of a chunk, with how many windows the chunk files under it.
+_COUNT = np.dtype([("hash", "<u8"), ("n", "<u4")])
+#: A longer prefix of a chunk: the prefix it belongs to, how many windows the chunk files under it, and which length it has.
+_LONGER = np.dtype([("prefix", "<u8"), ("hash", "<u8"), ("n", "<u4"), ("step", "<u4")])
+#: A run of words: its group, the chunk's number of its first window, how many windows and words it has, and its text's key and hash.
+_RUN = np.dtype([("group", "<u8"), ("at", "<u4"), ("windows", "<u2"), ("words", "<u2"), ("key", "<i8"), ("text", "<i8")])
+
+#: What a reply says: a prefix that other chunks hold too, one with too many windows, a repeat; else a prefix and its longer length.
+SHARED, HEAVY, REPEAT = 0, -1, -2
 
 
 def _sliding(values: np.ndarray, width: int, op) -> np.ndarray:
@@ -44,8 +54,49 @@ def prefix_length(window: int) -> int:
     return max(1, 2 * window // 5)
 
 
+def lengths(window: int) -> list[int]:
+    """The lengths of the longer prefixes, in words: from the least to the whole window."""
+    return sorted({max(1, window * i // 4) for i in range(1, 5)})
+
+
+def suffix_array(words: np.ndarray, stop: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common) of the suffixes that begin at each word and end at stop, by doubling.
+
+    order sorts them by their first words, as far as a power of two that is at least depth; common has for each but the first how many first words
+    it shares with the one before it, exact below that power.
+    """
+    n = len(words)
+    _, rank = np.unique(words, return_inverse=True)
+    ranks, span = [rank.astype(np.int64) + 1], 1
+    at = np.arange(n)
+    while span < depth:
+        after = np.zeros(n, np.int64)
+        inside = at + span < stop
+        after[inside] = ranks[-1][at[inside] + span]
+        _, rank = np.unique(ranks[-1] * (n + 2) + after, return_inverse=True)
+        ranks.append(rank.astype(np.int64) + 1)
+        span *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    common = np.zeros(max(0, n - 1), np.int64)
+    # the largest powers first: where both have as many words left and they are equal, go on behind them
+    for level in range(len(ranks) - 1, -1, -1):
+        step = 1 << level
+        a, b = order[:-1] + common, order[1:] + common
+        some = np.flatnonzero((a + step <= stop[order[:-1]]) & (b + step <= stop[order[1:]]))
+        same = some[ranks[level][a[some]] == ranks[level][b[some]]]
+        common[same] += step
+    return order, common
+
+
+def deep_nodes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """For each suffix, in their own order, the number of the inner node of that depth or more above it; a suffix below none has a number of its own."""
+    node = np.empty(len(order), np.int64)
+    node[order] = np.concatenate([[0], np.cumsum(common < depth)]) if len(order) else order
+    return node
+
+
 class Chunk:
-    """A chunk's texts in the order of their keys and their texts' hashes h, with its suffixes' prefixes and nodes."""
+    """A chunk's texts in the order of their keys and their texts' hashes h, with its windows and their prefixes."""
 
     def __init__(self, rows: pa.Table, window: int):
         rows = rows.take(pc.sort_indices(rows, [("k", "ascending"), ("h", "ascending")], null_placement="at_start"))
@@ -61,42 +112,60 @@ class Chunk:
         self.words = w = W.split(self.text)
         self.window = window
         p = prefix_length(window)
-        self.at, self.node = W.runs(w, window)
+        self.at, self.whole = W.runs(w, window)
+        self.prefix = np.zeros(0, np.uint64)
         if len(self.at):
-            n = len(w.hash)
-            start = np.arange(n - p + 1)
+            start = np.arange(len(w.hash) - p + 1)
             short = W.mix(W.run_sums(w.hash, start, start + p, W.WIDE))
             least = _sliding(short, window - p + 1, np.minimum)
             self.prefix = least[self.at]
-            # where each window's least prefix stands: one occurrence counts once, however many windows hold it
-            seen = np.zeros(len(least), dtype=np.uint64)
-            seen[self.at] = self.prefix
-            pad = np.zeros(window - p, dtype=np.uint64)
-            chosen = _sliding(np.concatenate([pad, seen, pad]), window - p + 1, np.maximum) == short
-            self.own, counts = np.unique(short[chosen], return_counts=True)
-            self.repeated = counts > 1
-        else:
-            self.prefix = self.own = np.zeros(0, np.uint64)
-            self.repeated = np.zeros(0, bool)
-
-    def shared(self, replies: list[bytes]) -> np.ndarray:
-        """Which windows have a prefix that another suffix has too."""
-        known = np.sort(np.concatenate([self.own[self.repeated], *(np.frombuffer(r, "<u8") for r in replies)]))
-        if not len(known) or not len(self.prefix):
-            return np.zeros(len(self.prefix), bool)
-        return known[np.minimum(np.searchsorted(known, self.prefix), len(known) - 1)] == self.prefix
-
-    def nodes(self, replies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(at of each shared node's first suffix here, at of all its later ones)."""
-        some = np.flatnonzero(self.shared(replies))
-        _, first = np.unique(self.node[some], return_index=True)
-        later = np.ones(len(some), bool)
-        later[first] = False
-        return some[first], some[later]
+        self.own, self.counts = np.unique(self.prefix, return_counts=True)
+
+    def same(self, some: np.ndarray) -> np.ndarray:
+        """For each of some windows the place in some of the earliest that has the same words."""
+        _, first, back = np.unique(self.whole[some], return_index=True, return_inverse=True)
+        to = first[back]
+        mine, other, h = self.at[some], self.at[some[to]], self.words.hash
+        differ = np.zeros(len(some), bool)
+        for i in range(self.window):
+            differ |= h[mine + i] != h[other + i]
+        return np.where(differ, np.arange(len(some)), to)  # one hash for different words: each speaks for itself
+
+    def group(self, some: np.ndarray, heavy: dict[int, np.ndarray]) -> np.ndarray:
+        """The group of each of some windows: its prefix, or a longer one where heavy says so (length to prefixes)."""
+        out = self.prefix[some].copy()
+        for length, which in heavy.items():
+            long = np.flatnonzero(_in(self.prefix[some], which))
+            out[long] = self.longer(some[long], length)
+        return out
+
+    def longer(self, some: np.ndarray, length: int) -> np.ndarray:
+        """A hash of each window's prefix and of its own first `length` words."""
+        a = self.at[some]
+        return W.mix(self.prefix[some] + W.mix(W.run_sums(self.words.hash, a, a + length, W.NARROW) + _U(length)))
+
+    def found(self, replies: dict[int, list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """(windows whose prefix has others, the place of the earliest equal one of them, those of them to send, what is heavy).
+
+        The earliest of equal windows are sent, if other chunks hold their prefix too.
+        """
+        elsewhere = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r, "<u8") for r in replies.get(SHARED, []))]))
+        some = np.flatnonzero(_in(self.prefix, np.union1d(self.own[self.counts > 1], elsewhere)))
+        heavy = {length: np.unique(np.concatenate([np.frombuffer(r, "<u8") for r in replies[length]])) for length in lengths(self.window) if length in replies}
+        to = self.same(some)
+        sent = some[to == np.arange(len(some))]
+        return some, to, sent[_in(self.prefix[sent], elsewhere)], heavy
+
+
+def _in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted known ones."""
+    if not len(known) or not len(values):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def _dealt(values: np.ndarray, chunk: int, buckets: int, payload: np.ndarray) -> pa.Table:
-    """Rows of _PACKET: the payload's entries by bucket."""
+    """Rows of _PACKET: the payload's entries by bucket of their values."""
     bucket = ((values >> _U(20)) % _U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -105,75 +174,185 @@ def _dealt(values: np.ndarray, chunk: int, buckets: int, payload: np.ndarray) ->
     return pa.table([pa.array(heads, pa.int64()), pa.array([chunk] * len(parts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["bucket", "chunk", "data"])
 
 
-def _replies(chunk: np.ndarray, data: np.ndarray, level: int) -> pa.Table:
-    order = np.argsort(chunk, kind="stable")
-    cuts = np.flatnonzero(np.diff(chunk[order])) + 1
+def _replies(chunk: np.ndarray, data: np.ndarray, level: np.ndarray) -> pa.Table:
+    """Rows of _REPLY: data by chunk and level."""
+    order = np.lexsort((level, chunk))
+    c, v = chunk[order], level[order]
+    cuts = np.flatnonzero((np.diff(c) != 0) | (np.diff(v) != 0)) + 1
     parts = np.split(data[order], cuts) if len(order) else []
-    heads = chunk[order][np.concatenate([[0], cuts])] if len(order) else []
-    return pa.table([pa.array(heads, pa.int64()), pa.array([level] * len(parts), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "level", "data"])
+    heads = np.concatenate([[0], cuts]).astype(np.int64) if len(order) else np.zeros(0, np.int64)
+    return pa.table([pa.array(c[heads], pa.int64()), pa.array(v[heads], pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "level", "data"])
 
 
 def _gathered(packets: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """(chunk, entry) of every entry of the packets."""
     parts = [np.frombuffer(b, kind) for b in packets.column("data").to_pylist()]
-    chunk = np.repeat(np.asarray(packets.column("chunk")), [len(p) for p in parts])
+    chunk = np.repeat(np.asarray(packets.column("chunk"), dtype=np.int64), [len(p) for p in parts])
     return chunk, np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def _by_level(replies: pa.Table) -> dict[int, list[bytes]]:
+    out: dict[int, list[bytes]] = {}
+    for level, data in zip(replies.column("level").to_pylist(), replies.column("data").to_pylist()):
+        out.setdefault(level, []).append(data)
+    return out
+
+
+def _runs(c: Chunk, some: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(heads, words): neighbouring windows of one group and text as one run each, and all runs' words one after the other."""
+    w = c.words
+    row = np.searchsorted(w.first, c.at[some], side="right") - 1
+    fresh = np.ones(len(some), bool)
+    # a run has at most as many windows as a prefix has places in one, so that it stays short
+    fresh[1:] = (np.diff(c.at[some]) != 1) | (group[1:] != group[:-1]) | (row[1:] != row[:-1])
+    head = np.flatnonzero(fresh)
+    count = np.diff(np.append(head, len(some)))
+    most = 4 * c.window
+    while (count > most).any():
+        fresh[head[count > most] + most] = True
+        head = np.flatnonzero(fresh)
+        count = np.diff(np.append(head, len(some)))
+    out = np.empty(len(head), _RUN)
+    out["group"], out["at"], out["windows"], out["words"] = group[head], some[head], count, count + c.window - 1
+    out["key"], out["text"] = c.rank[row[head]], c.hash[row[head]]
+    n = count + c.window - 1
+    at = np.repeat(c.at[some[head]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return out, w.hash[at]
+
+
+def _packed(heads: np.ndarray, words: np.ndarray, chunk: int, buckets: int) -> pa.Table:
+    """Rows of _PACKET: the runs by bucket of their group; a packet has the number of runs, their heads, then their words."""
+    bucket = ((heads["group"] >> _U(20)) % _U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    first = np.cumsum(heads["words"].astype(np.int64)) - heads["words"]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
+    data, names = [], []
+    for a, b in zip(cuts, cuts[1:]):
+        mine = order[a:b]
+        n = heads["words"][mine].astype(np.int64)
+        at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        names.append(int(bucket[mine[0]]))
+        data.append(np.array([b - a], "<u8").tobytes() + heads[mine].tobytes() + words[at].tobytes())
+    return pa.table([pa.array(names, pa.int64()), pa.array([chunk] * len(data), pa.int64()), pa.array(data, pa.binary())], names=["bucket", "chunk", "data"])
+
+
+def _unpacked(packets: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk, head, words) of all runs of the packets."""
+    heads, words = [], []
+    for b in packets.column("data").to_pylist():
+        n = int(np.frombuffer(b, "<u8", 1)[0])
+        heads.append(np.frombuffer(b, _RUN, n, 8))
+        words.append(np.frombuffer(b, "<u8", offset=8 + n * _RUN.itemsize))
+    chunk = np.repeat(np.asarray(packets.column("chunk"), dtype=np.int64), [len(h) for h in heads])
+    return chunk, np.concatenate(heads), np.concatenate(words)
+
+
+def later_suffixes(chunk: np.ndarray, head: np.ndarray, words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(chunk, window's number there) of the suffixes that have an earlier one below a node of depth `window` or more.
+
+    The runs are those of whole groups; each group has a tree of its own, as a suffix begins with its group's number.
+    """
+    size = head["words"].astype(np.int64)
+    end = np.cumsum(size)
+    # one suffix array for all groups of the bucket: words of different groups are kept apart by their groups
+    _, group = np.unique(head["group"], return_inverse=True)
+    _, word = np.unique(words, return_inverse=True)
+    owner = np.repeat(np.arange(len(head)), size)
+    order, common = suffix_array(group[owner].astype(np.int64) * (len(words) + 1) + word, end[owner], window)
+    node = deep_nodes(order, common, window)
+    n = head["windows"].astype(np.int64)
+    run = np.repeat(np.arange(len(head)), n)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = head["at"].astype(np.int64)[run] + place
+    mine = node[(end - size)[run] + place]
+    sort = np.lexsort((at, head["text"][run], head["key"][run], mine))
+    later = np.zeros(len(sort), bool)
+    later[1:] = mine[sort][1:] == mine[sort][:-1]
+    return chunk[run][sort][later], at[sort][later]
+
+
 def _chunks(bare: DataFrame, chunks: int) -> DataFrame:
     """bare (k, t and others) with h, the text's hash, and chunk: by key and text, so that a key which many rows share is dealt out too."""
     return bare.withColumn("h", F.xxhash64("t")).withColumn("chunk", F.pmod(F.xxhash64("k", "h"), F.lit(chunks)))
 
 
-_PREFIX = np.dtype([("hash", "<u8"), ("more", "u1")])
-
-
-def repeats(docs: DataFrame, window: int = 20, text: str = "text", key: str = "doc_id", chunk_bytes: int = 3 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeats(
+    docs: DataFrame, window: int = 20, text: str = "text", key: str = "doc_id", chunk_bytes: int = 3 << 20, group_suffixes: int = 20_000, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Find the words covered by a window of `window` words that also starts earlier, and take them out.
 
     Earlier means a smaller key, or the same text and an earlier start; a null key comes before all others, and
     rows that share a key are in the order of their texts' hashes.  Returns key, n_words, n_removed, kept_sha256 (of the
     kept words joined by one space), kept (the kept text; whole runs keep their white space) and spans (start and
     end of each maximal removed run, in words), one row per row of docs, and the columns of carry as they are.  A null
-    or empty text has no words; its kept text is itself.
+    or empty text has no words; its kept text is itself; an empty table gives no rows; other columns are not looked at.
+    A prefix with more than group_suffixes windows is split by longer ones; a group of whole windows has one a chunk at most.
     """
     bare = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"), *(docs[c].alias(f"carry{i}") for i, c in enumerate(carry)))
     size = bare.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     dealt = _chunks(bare, chunks)
+    steps = lengths(window)
 
     def prefixes(name: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         c = Chunk(rows, window)
-        out = np.empty(len(c.own), _PREFIX)
-        out["hash"], out["more"] = c.own, c.repeated
+        out = np.empty(len(c.own), _COUNT)
+        out["hash"], out["n"] = c.own, c.counts
         return _dealt(c.own, name[0].as_py(), chunks, out)
 
     def shared(packets: pa.Table) -> pa.Table:
-        chunk, e = _gathered(packets, _PREFIX)
-        _, back, counts = np.unique(e["hash"], return_inverse=True, return_counts=True)
-        again = counts > 1
-        again[back[e["more"] > 0]] = True
-        tell = again[back] & (e["more"] == 0)
-        return _replies(chunk[tell], e["hash"][tell], 0)
-
-    def nodes(name: tuple[pa.Scalar, ...], rows: pa.Table, replies: pa.Table) -> pa.Table:
+        """Which prefixes another chunk holds too, and which have too many windows for one group."""
+        chunk, e = _gathered(packets, _COUNT)
+        _, back, holders = np.unique(e["hash"], return_inverse=True, return_counts=True)
+        more = holders[back] > 1
+        heavy = np.bincount(back, weights=e["n"], minlength=len(holders))[back] > group_suffixes
+        level = np.repeat([SHARED, HEAVY], [more.sum(), heavy.sum()])
+        return _replies(np.concatenate([chunk[more], chunk[heavy]]), np.concatenate([e["hash"][more], e["hash"][heavy]]), level)
+
+    def heavy_counts(name: tuple[pa.Scalar, ...], rows: pa.Table, replies: pa.Table) -> pa.Table:
+        """Of the heavy prefixes, how many windows the chunk files under each longer one."""
+        found = _by_level(replies)
+        if not rows.num_rows or HEAVY not in found:
+            return _dealt(np.zeros(0, np.uint64), 0, chunks, np.zeros(0, _LONGER))
+        c = Chunk(rows, window)
+        some = c.found(found)[2]
+        some = some[_in(c.prefix[some], np.unique(np.concatenate([np.frombuffer(r, "<u8") for r in found[HEAVY]])))]
+        parts = []
+        for i, length in enumerate(steps[:-1]):
+            h, first, counts = np.unique(c.longer(some, length), return_index=True, return_counts=True)
+            out = np.empty(len(h), _LONGER)
+            out["prefix"], out["hash"], out["n"], out["step"] = c.prefix[some[first]], h, counts, i
+            parts.append(out)
+        every = np.concatenate(parts) if parts else np.zeros(0, _LONGER)
+        return _dealt(every["prefix"], name[0].as_py(), chunks, every)
+
+    def chosen(packets: pa.Table) -> pa.Table:
+        """For each heavy prefix the least length whose groups all fit, as a reply of that level to the chunks that hold it."""
+        chunk, e = _gathered(packets, _LONGER)
+        _, back = np.unique(e["prefix"], return_inverse=True)
+        best = np.full(back.max() + 1 if len(back) else 0, len(steps) - 1)
+        for i in range(len(steps) - 2, -1, -1):
+            mine = np.flatnonzero(e["step"] == i)
+            _, h = np.unique(e["hash"][mine], return_inverse=True)
+            over = np.bincount(h, weights=e["n"][mine])[h] > group_suffixes if len(mine) else np.zeros(0, bool)
+            fits = np.ones(len(best), bool)
+            fits[back[mine[over]]] = False
+            best[fits] = i
+        who = np.unique(np.stack([chunk, back]), axis=1) if len(back) else np.zeros((2, 0), np.int64)
+        names = np.zeros(len(best), np.uint64)
+        names[back] = e["prefix"]
+        return _replies(who[0], names[who[1]], np.array(steps)[best[who[1]]])
+
+    def suffixes(name: tuple[pa.Scalar, ...], rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return _dealt(np.zeros(0, np.uint64), 0, chunks, np.zeros(0, _NODE))
+            return _dealt(np.zeros(0, np.uint64), 0, chunks, np.zeros(0, _COUNT))
         c = Chunk(rows, window)
-        first, _ = c.nodes(replies.column("data").to_pylist())
-        out = np.empty(len(first), _NODE)
-        out["hash"], out["at"] = c.node[first], first
-        row = np.searchsorted(c.words.first, c.at[first], side="right") - 1
-        out["key"], out["text"] = c.rank[row], c.hash[row]
-        return _dealt(out["hash"], name[0].as_py(), chunks, out)
+        _, _, some, heavy = c.found(_by_level(replies))
+        return _packed(*_runs(c, some, c.group(some, heavy)), name[0].as_py(), chunks)
 
     def deep(packets: pa.Table) -> pa.Table:
-        chunk, e = _gathered(packets, _NODE)
-        # a node's suffixes, the earliest first; rows of one key and text are in one chunk, which sends only the first
-        order = np.lexsort((e["text"], e["key"], e["hash"]))
-        later = np.zeros(len(e), bool)
-        later[1:] = e["hash"][order][1:] == e["hash"][order][:-1]
-        return _replies(chunk[order][later], e["at"][order][later], 1)
+        chunk, at = later_suffixes(*_unpacked(packets), window)
+        return _replies(chunk, at.astype("<u4"), np.full(len(at), REPEAT))
 
     kept_type = "k long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:long,end:long>>"
     kept_type += "".join(f", carry{i} {bare.schema[f'carry{i}'].dataType.simpleString()}" for i in range(len(carry)))
@@ -185,11 +364,12 @@ def repeats(docs: DataFrame, window: int = 20, text: str = "text", key: str = "d
         if not rows.num_rows:
             return pa.table([*(pa.array([], t) for t in types), *(rows.column(n) for n in carried)], names=names + carried)
         c = Chunk(rows, window)
-        level = np.asarray(replies.column("level"))
-        data = replies.column("data").to_pylist()
-        _, here = c.nodes([d for d, x in zip(data, level) if x == 0])
-        there = [np.frombuffer(d, "<u4") for d, x in zip(data, level) if x == 1]
+        found = _by_level(replies)
+        some, to, _, _ = c.found(found)
+        here = some[to != np.arange(len(some))]
+        there = [np.frombuffer(d, "<u4") for d in found.get(REPEAT, [])]
         start = c.at[np.concatenate([here, *there]).astype(np.int64)] if len(c.at) else np.zeros(0, np.int64)
+        # what a chunk sent for equal windows of its own is the earliest: where that goes, they are gone too
         w = c.words
         cover = np.zeros(len(w.hash) + 1, np.int64)
         np.add.at(cover, start, 1)
@@ -211,8 +391,11 @@ def repeats(docs: DataFrame, window: int = 20, text: str = "text", key: str = "d
         return pa.table([*(pa.array(v, t) for v, t in zip(out, types)), *(c.rows.column(n) for n in carried)], names=names + carried)
 
     first = dealt.groupBy("chunk").applyInArrow(prefixes, _PACKET).groupBy("bucket").applyInArrow(shared, _REPLY)
-    second = dealt.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(nodes, _PACKET).groupBy("bucket").applyInArrow(deep, _REPLY)
-    done = dealt.groupBy("chunk").cogroup(first.union(second).groupBy("chunk")).applyInArrow(finish, kept_type)
+    both = lambda replies: dealt.groupBy("chunk").cogroup(replies.groupBy("chunk"))
+    longer = both(first).applyInArrow(heavy_counts, _PACKET).groupBy("bucket").applyInArrow(chosen, _REPLY)
+    told = first.union(longer)
+    second = both(told).applyInArrow(suffixes, _PACKET).groupBy("bucket").applyInArrow(deep, _REPLY)
+    done = both(first.union(second)).applyInArrow(finish, kept_type)
     return done.withColumnsRenamed({"k": key} | dict(zip(carried, carry)))
 
 

@@ -2,7 +2,11 @@ import hashlib
 import random
 import re
 
-from lithograph.llm.substrings import _chunks, repeats
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lithograph.llm.substrings import _chunks, deep_nodes, repeats, suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -22,9 +26,9 @@ def brute(rows, window):
     return sorted(out)
 
 
-def check(spark, rows, window, chunk_bytes):
+def check(spark, rows, window, chunk_bytes, group_suffixes=20_000):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as k", "2 as chunk", "3 as t")
-    got = repeats(docs, window, chunk_bytes=chunk_bytes).collect()
+    got = repeats(docs, window, chunk_bytes=chunk_bytes, group_suffixes=group_suffixes).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute(rows, window)
     return got
 
@@ -68,3 +72,57 @@ def test_rows_of_one_key_are_dealt_out(spark):
         got = repeats(docs, 8, chunk_bytes=400).collect()
         assert sorted((r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
         assert {r.doc_id for r in got} == {key}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=14), min_size=1, max_size=8), st.integers(1, 8))
+def test_suffix_array_and_nodes(texts, depth):
+    words = np.array([w for t in texts for w in t])
+    stop = np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+    order, common = suffix_array(words, stop, depth)
+    part = lambda i, n=10**6: words[i : min(stop[i], i + n)].tolist()
+    assert sorted(order.tolist()) == list(range(len(words)))
+    for (a, b), c in zip(zip(order, order[1:]), common):
+        assert part(a, depth) <= part(b, depth)
+        same = next((i for i, (x, y) in enumerate(zip(part(a), part(b))) if x != y), min(len(part(a)), len(part(b))))
+        assert c == same or c >= depth <= same
+    node = deep_nodes(order, common, depth)
+    for i in range(len(words)):
+        for j in range(i):
+            deep = len(part(i, depth)) == depth and part(i, depth) == part(j, depth)
+            assert (node[i] == node[j]) == deep
+
+
+def test_heavy_prefixes_are_split(spark):
+    draw = random.Random(21)
+    phrase = " ".join(f"p{i}" for i in range(6))
+    rows = []
+    for i in range(60):
+        words = [" ".join(f"{draw.choice('abc')}{draw.randrange(6)}" for _ in range(draw.randrange(3, 14))) for _ in range(6)]
+        rows.append((i, f" {phrase} ".join(words)))
+    rows += [(100 + i, rows[i][1]) for i in range(10)]
+    for limit in (1, 7, 40, 10**6):
+        check(spark, rows, 8, 500, limit)
+
+
+def test_a_hash_that_two_windows_share_removes_nothing(spark, monkeypatch):
+    from lithograph.llm import substrings
+
+    whole = substrings.W.runs
+    monkeypatch.setattr(substrings.W, "runs", lambda w, k: (whole(w, k)[0], whole(w, k)[1] % np.uint64(3)))
+    import pyarrow as pa
+
+    rows = pa.table({"k": pa.array([1, 2], pa.int64()), "h": pa.array([5, 6], pa.int64()), "t": ["a b c d e f g h", "a b c d x y e f"]})
+    chunk = substrings.Chunk(rows, 3)
+    some = np.arange(len(chunk.at))
+    to = chunk.same(some)
+    words = [tuple(t.split()[i : i + 3]) for t in rows.column("t").to_pylist() for i in range(6)]
+    assert all(words[i] == words[j] for i, j in enumerate(to)) and to[6] == 0
+
+
+def test_very_long_text(spark):
+    draw = random.Random(2)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[20_000:50_000])), (3, "x" * 300_000)]
+    got = {r.doc_id: r for r in check(spark, rows, 20, 1 << 20)}
+    assert got[2].n_removed == 30_000 and got[1].n_removed == 0
