@@ -7,7 +7,7 @@ longer prefixes, the window's own first words, by as many as are needed to make
 Groups reach a task as runs of words, each shared by the suffixes that begin in it.  There a suffix array with the lengths of
 common beginnings stands for the group's suffix tree: an inner node as deep as a window or deeper is a stretch of the
 array whose neighbours have as many words in common.  Its earliest suffix stays, the others are
-repeats; runs of them along a text are its maximal repeats.  All comparisons in the trees are of words' own hashes (64 bits of BLAKE2b).
+repeats; runs of them along a text are its maximal repeats.  All comparisons in the trees are of words' own hashes (64 bits).
 
 Texts are dealt into chunks by a hash of their key and text.  A chunk compares its own windows first and sends only the
 earliest of equal ones, so a passage that a third of all texts share is sent once a chunk.
@@ -29,7 +29,7 @@ from lithograph.llm.common import table
 _U = np.uint64
 _PACKET = "bucket long, chunk long, data binary"
 _REPLY = "chunk long, level int, data binary"
-#: A prefix of a chunk, with how many windows the chunk files under it.
+#: A prefix of a chunk, with how many different windows the chunk files under it.
 _COUNT = np.dtype([("hash", "<u8"), ("n", "<u4")])
 #: A longer prefix of a chunk: the prefix it belongs to, how many windows the chunk files under it, and which length it has.
 _LONGER = np.dtype([("prefix", "<u8"), ("hash", "<u8"), ("n", "<u4"), ("step", "<u4")])
@@ -277,7 +277,7 @@ def _chunks(bare: DataFrame, chunks: int) -> DataFrame:
 
 
 def repeats(
-    docs: DataFrame, window: int = 20, text: str = "text", key: str = "doc_id", chunk_bytes: int = 3 << 20, group_suffixes: int = 20_000, carry: tuple[str, ...] = ()
+    docs: DataFrame, window: int = 20, text: str = "text", key: str = "doc_id", chunk_bytes: int = 3 << 20, group_suffixes: int = 100_000, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Find the words covered by a window of `window` words that also starts earlier, and take them out.
 
@@ -297,7 +297,8 @@ def repeats(
     def prefixes(name: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         c = Chunk(rows, window)
         out = np.empty(len(c.own), _COUNT)
-        out["hash"], out["n"] = c.own, c.counts
+        _, first = np.unique(c.whole, return_index=True)
+        out["hash"], out["n"] = c.own, np.bincount(np.searchsorted(c.own, c.prefix[first]), minlength=len(c.own))
         return _dealt(c.own, name[0].as_py(), chunks, out)
 
     def shared(packets: pa.Table) -> pa.Table:
