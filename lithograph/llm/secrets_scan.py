@@ -33,7 +33,8 @@ _ENCODED = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK.pattern}[A-Za-z0-9+/_-
 # how the first bytes of a sequence (0x30), of an OpenSSH name's length and of OpenSSH's magic are written
 _START = re.compile(r"(?=M[A-P]|AAAA|b3BlbnNzaC)")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,-]|\\+[rnt/])*?)-----END \1-----")
+_PEM_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+_PEM_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,-]++|\\++[rnt/])*+")
 _PEM_LINE = re.compile(r"\\+[rn]|[\r\n]+")
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 
@@ -112,8 +113,16 @@ def key_kind(raw: bytes | None) -> str | None:
     return None
 
 
+#: No header of a signed token is longer, in bytes.
+LONGEST_HEADER = 1 << 14
+
+
 def signed_header(s: str) -> int | None:
-    """Where in s the JSON header of a signed token begins that goes on to the end of s."""
+    """Where in s the JSON header of a signed token begins that goes on to the end of s; it has LONGEST_HEADER bytes at most."""
+    cut = max(0, len(s) - LONGEST_HEADER * 4 // 3 - 8) // 4 * 4
+    if cut:
+        at = signed_header(s[cut:])
+        return None if at is None else cut + at
     for shift in range(min(4, len(s))):
         raw = _unbase64(s[shift:])
         if raw is None:
@@ -132,6 +141,14 @@ def signed_header(s: str) -> int | None:
     return None
 
 
+def _length_at(clean: str, i: int, k: int) -> int | None:
+    """The four bytes at byte k of what is encoded from i on, as a number; None past the end."""
+    at = i + k // 3 * 4
+    raw = _unbase64(clean[at : at + 8][: (len(clean[at : at + 8]) // 4) * 4 or 0]) or b""
+    raw = raw[k % 3 : k % 3 + 4]
+    return int.from_bytes(raw, "big") if len(raw) == 4 else None
+
+
 def _encoded_keys(run: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of the keys within a run of the alphabet that may have line breaks, each as decoding finds it.
 
@@ -168,14 +185,11 @@ def _encoded_keys(run: str) -> Iterator[tuple[int, int, str]]:
         elif head.startswith(b"openssh-key-v1\0"):
             found = (len(clean), "openssh")
         elif 7 <= int.from_bytes(head[:4], "big") <= 40 and head[4:].startswith(_SSH):
-            rest = clean[i:]
-            raw = _unbase64(rest[: len(rest) - (len(rest) % 4 == 1)]) or b""
             k, fields = 0, 0
-            while k + 4 <= len(raw):
-                k += 4 + int.from_bytes(raw[k : k + 4], "big")
+            while (size := _length_at(clean, i, k)) is not None and (j := i + (4 * (k + 4 + size) + 2) // 3) <= len(clean):
+                k += 4 + size
                 fields += 1
-                j = i + (4 * k + 2) // 3
-                if k <= len(raw) and fields >= 2 and stop(j):
+                if fields >= 2 and stop(j):
                     found = (j, "openssh")
         if found:
             done = found[0]
@@ -195,16 +209,25 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _pem_blocks(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name, body) of each BEGIN mark that the next mark ends; one pass over the text."""
+    begun = None
+    for m in _PEM_MARK.finditer(text):
+        if begun and m[1] == "END" and m[2] == begun[2] and _PEM_BODY.fullmatch(text, begun.end(), m.start()):
+            yield begun.start(), m.end(), m[2], text[begun.end() : m.start()]
+        begun = m if m[1] == "BEGIN" else None
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of candidates whose decoded structure confirms a key or signed token."""
     out = []
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            lines = _PEM_LINE.split(re.sub(r"\\+/", "/", re.sub(r"\\+t", " ", m[2])).strip())
+        for a, b, name, inside in _pem_blocks(text):
+            lines = _PEM_LINE.split(re.sub(r"\\+/", "/", re.sub(r"\\+t", " ", inside)).strip())
             body = "".join(x.strip() for x in lines if ":" not in x and "," not in x)
             raw = _unbase64(body)
-            if raw and ("ENCRYPTED" in m[1] or any(":" in x for x in lines) or key_kind(raw)):
-                out.append((m.start(), m.end(), "pem"))
+            if raw and ("ENCRYPTED" in name or any(":" in x for x in lines) or key_kind(raw)):
+                out.append((a, b, "pem"))
     for m in _SIGNED.finditer(text):
         if (at := signed_header(m[1])) is not None:
             out.append((m.start() + at, m.end(), "token"))
