@@ -91,7 +91,7 @@ def links(pages: DataFrame) -> DataFrame:
     refresh = F.when(
         F.col("tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("tag", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
     )
-    to = F.coalesce(canonical, refresh)
+    to = F.regexp_replace(F.coalesce(canonical, refresh), "&(amp|#38|#x26);", "&")
     return tags.select(F.col("url").alias("source"), resolved(F.col("url"), to).alias("target")).where("target <> ''")
 
 
@@ -100,24 +100,25 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
 
     pages has page_id, url and html; redirects, if given, has source and target urls beside what html says.  A null
     url, or one without ://, has empty host and path, no rule and no aliases.  Null html names no alias.  Links to
-    addresses outside the table count: they may carry a rule.  A component may be as large as the table.
+    addresses outside the table count: they may carry a rule.  An address is a host, a path, `/` where it is empty, and a
+    query; rules are held against addresses, so that the order of rows has no say.  A component may be as large as the table.
+    Repeated rows give a row each; an empty table gives none; other columns are not looked at.
     """
     found = links(pages)
     if redirects is not None:
         found = found.union(redirects.select("source", "target"))
-    ends = cut(
-        found.select(_address(F.col("source")).alias("s"), _address(F.col("target")).alias("t"), "source", "target")
-        .where("s is not null and t is not null and s <> t")
-        .select(F.xxhash64("s").alias("a"), F.xxhash64("t").alias("b"), "source", "target")
-    )
-    stars = components(ends.select("a", "b"))
-    nodes = ends.select(F.col("a").alias("id"), F.col("source").alias("url")).union(ends.select("b", "target")).dropDuplicates(["id"])
-    ruled = nodes.select("id", _ruling(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"].alias("v")).where("v is not null")
-    decided = stars.join(ruled, "id").groupBy("component").agg(F.min("v").alias("shared"))  # allow comes before block
-    aliases = stars.join(decided, "component").select("id", "shared")
-    out = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64(_address(F.col("url"))).alias("id"))
-    out = out.withColumn("r", _ruling(F.col("host"), F.col("path"), rules)).join(aliases, "id", "left")
-    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.when(F.col("host") != "", F.col("shared")), F.lit("allow")).alias("verdict"))
+    ends = found.select(_address(F.col("source")).alias("s"), _address(F.col("target")).alias("t")).where("s is not null and t is not null and s <> t").distinct()
+    # written, so that an address keeps its number
+    names = cut(ends.select(F.col("s").alias("address")).union(ends.select("t")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    numbered = ends.join(names.select(F.col("address").alias("s"), F.col("id").alias("a")), "s").join(names.select(F.col("address").alias("t"), F.col("id").alias("b")), "t")
+    stars = components(numbered.select("a", "b")).join(names, "id")
+    here = F.concat(F.lit("://"), F.col("address"))
+    ruled = stars.withColumn("v", _ruling(host_of(here), path_of(here), rules)["verdict"])
+    decided = ruled.groupBy("component").agg(F.min("v").alias("shared")).where("shared is not null")  # allow comes before block
+    aliases = stars.join(decided, "component").select("address", "shared")
+    out = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), _address(F.col("url")).alias("address"))
+    out = out.withColumn("r", _ruling(F.col("host"), F.col("path"), rules)).join(aliases, "address", "left")
+    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", "shared", F.lit("allow")).alias("verdict"))
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,31 +128,43 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RULED = "CASE " + " ".join(
     f"WHEN ({{h}} = '{h}' OR {{h}} LIKE '%.{h}') AND starts_with({{p}}, '{p}') THEN '{v} {h}{p}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
 ) + " END"
-_PARTS = r"""translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS {x}host,
-    regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS {x}path, regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS {x}rest"""
+#: A url's parts in SQL, each by its own expression.
+_SQL_PARTS = r"""lower(split_part({u}, '://', 1)) AS scheme, contains({u}, '://') AS whole, translate(regexp_extract({u}[strpos({u}, '://') + 3:], '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract({u}[strpos({u}, '://') + 3:], '(?s)^[^/?#]*([^?#]*)', 1) AS path, regexp_extract({u}[strpos({u}, '://') + 3:], '(?s)^[^?#]*(\?[^#]*)', 1) AS query"""
 
-#: The same in SQL: the links of the html, who reaches whom over them, and the decision of what is reached.
+#: The same in SQL: the links of the html, resolved by RFC 3986's steps, who reaches whom, and the decision of what is reached.
 SQL = rf"""
-WITH RECURSIVE tags AS (
-  SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL
+WITH RECURSIVE urls AS (SELECT DISTINCT url AS u FROM pages WHERE contains(url, '://')
+), base AS (SELECT u, {_SQL_PARTS.format(u="u")} FROM urls
+), tags AS (SELECT DISTINCT url AS u, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL
 ), named AS (
-  SELECT url, CASE
-      WHEN regexp_matches(tag, '(?i)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-      WHEN regexp_matches(tag, '(?i)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS t FROM tags
-), links AS (
-  SELECT url AS source, CASE WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:]*:)//', 1) || t
-      WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t WHEN contains(t, '://') THEN t END AS target FROM named
-), urls AS (SELECT source AS u FROM links WHERE target <> '' UNION SELECT target FROM links WHERE target <> ''
-), parts AS (SELECT u, {_PARTS.format(u="u", x="")} FROM urls
-), nodes AS (SELECT u, host || CASE WHEN rest = '' THEN '/' ELSE rest END AS a, {_RULED.format(h="host", p="path")} AS r FROM parts WHERE host <> ''
-), edges AS (SELECT DISTINCT x.a AS s, y.a AS t FROM links JOIN nodes x ON x.u = source JOIN nodes y ON y.u = target WHERE x.a <> y.a
-), both_ways AS (SELECT s, t FROM edges UNION SELECT t, s FROM edges
+  SELECT u, regexp_replace(CASE
+      WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+      WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END, '&(amp|#38|#x26);', '&', 'g') AS t FROM tags
+), refs AS (SELECT *, regexp_extract(t, '^[^?#]*') AS rp, regexp_extract(t, '^[^?#]*(\?[^#]*)', 1) AS rq FROM named WHERE t <> ''
+), merged AS (
+  SELECT r.u AS source, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(t, '//') THEN NULL ELSE b.host END AS host,
+    CASE WHEN starts_with(rp, '/') THEN rp WHEN rp = '' THEN b.path WHEN b.path = '' THEN '/' || rp ELSE regexp_extract(b.path, '(?s)^.*/') || rp END AS path,
+    CASE WHEN rp = '' AND rq = '' THEN b.query ELSE rq END AS query,
+    CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN contains(t, '://') THEN t END WHEN starts_with(t, '//') THEN 'x:' || t END AS other
+  FROM refs r LEFT JOIN base b ON b.u = r.u
+), absolute AS (SELECT source, {_SQL_PARTS.format(u="other")} FROM merged WHERE other IS NOT NULL
+), targets AS (SELECT source, host, path, query FROM merged WHERE other IS NULL UNION ALL SELECT source, host, path, query FROM absolute
+), split AS (SELECT *, string_split(path[2:], '/') AS segments FROM targets WHERE host <> ''
+), clean AS (
+  SELECT source, host, query, CASE WHEN path = '' THEN '/' WHEN NOT contains(path, '/.') THEN path ELSE '/' || array_to_string(kept, '/') || CASE WHEN segments[-1] IN ('.', '..') AND len(kept) > 0 THEN '/' ELSE '' END END AS path
+  FROM (SELECT *, list_reduce([CAST([] AS VARCHAR[])] || [[x] FOR x IN segments], lambda a, x: CASE WHEN x = ['..'] THEN a[:greatest(len(a) - 1, 0)] WHEN x = ['.'] THEN a ELSE a || x END) AS kept FROM split)
+), edges AS (
+  SELECT DISTINCT b.host || CASE WHEN b.path = '' THEN '/' ELSE b.path END || b.query AS s, c.host || c.path || c.query AS t FROM clean c JOIN base b ON b.u = c.source WHERE b.host <> ''
+), both_ways AS (SELECT s, t FROM edges WHERE s <> t UNION SELECT t, s FROM edges WHERE s <> t
 ), reach AS (SELECT s, t FROM both_ways UNION SELECT r.s, b.t FROM reach r JOIN both_ways b ON r.t = b.s
-), shared AS (SELECT s, min(split_part(n.r, ' ', 1)) AS v FROM reach JOIN nodes n ON n.a = reach.t WHERE n.r IS NOT NULL GROUP BY s
-), mine AS (SELECT page_id, {_PARTS.format(u="coalesce(url, '')", x="")} FROM pages
-), judged AS (SELECT *, {_RULED.format(h="host", p="path")} AS r, host || CASE WHEN rest = '' THEN '/' ELSE rest END AS a FROM mine)
+), nodes AS (SELECT DISTINCT t AS a, {_RULED.format(h="regexp_extract(t, '^[^/?]*')", p="regexp_extract(t, '(?s)^[^/?]*([^?]*)', 1)")} AS r FROM both_ways
+), shared AS (SELECT s, min(split_part(r, ' ', 1)) AS v FROM reach JOIN nodes ON a = t WHERE r IS NOT NULL GROUP BY s
+), mine AS (SELECT page_id, {_SQL_PARTS.format(u="url")} FROM pages
+), judged AS (SELECT page_id, coalesce(CASE WHEN whole THEN host END, '') AS host, coalesce(CASE WHEN whole THEN path END, '') AS path, host || CASE WHEN path = '' THEN '/' ELSE path END || query AS a FROM mine
+), held AS (SELECT *, {_RULED.format(h="host", p="path")} AS r FROM judged)
 SELECT page_id, host, path, split_part(r, ' ', 2) AS rule, coalesce(split_part(r, ' ', 1), CASE WHEN host <> '' THEN v END, 'allow') AS verdict
-FROM judged LEFT JOIN shared ON shared.s = judged.a
+FROM held LEFT JOIN shared ON shared.s = held.a AND host <> ''
 """
 
 QUERIES = {"op5_urls": op5_urls}

@@ -1,3 +1,6 @@
+import random
+import re
+
 import duckdb
 
 from lithograph.llm.urls import SQL, judge, resolved
@@ -76,3 +79,36 @@ def test_relative_and_broken_tags_join_their_component(spark):
         (4, "http://s.org/q.html", C.format("http://z.net/fr/")),
     ]
     assert {r.verdict for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"block"}
+
+
+def _sql(rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    return sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({SQL})").fetchall(), key=str)
+
+
+def test_references_and_row_order_against_sql(spark):
+    draw = random.Random(6)
+    hosts = ["a.org", "b.org", "q.com", "z.net", "m.example.com", "www.example.com"]
+    paths = ["", "/", "/es/", "/fr/x", "/en/p", "/p", "/p/q", "/p/./q", "/p?i=1&j=2"]
+    refs = ["x", "./q", "../q", "/es/", "?i=1&amp;j=2", "//b.org/p", "#f", "", "../../fr/x", "q/..", "mailto:x@y", "HTTP://Z.net/es/", "http://q.com", "http://q.com/", "/p/./q?k=/../#t"]
+    rows = []
+    for i in range(150):
+        tag = draw.choice(['<link rel="canonical" href="{}">', "<meta\nhttp-equiv=refresh\ncontent='0; url={}'>"])
+        rows.append((i, f"http://{draw.choice(hosts)}{draw.choice(paths)}", draw.choice([None, "", tag.format(draw.choice(refs)), tag.format(draw.choice(refs)), tag.format(f"http://{draw.choice(hosts)}{draw.choice(paths)}")])))
+    # forty small webs that don't meet
+    apart = lambda i, x: re.sub(r"(?i)(//)(?=[a-z.]+\.(org|net|com))", rf"\g<1>w{i % 40}.", x or "")
+    rows = [(i, apart(i, u), apart(i, h)) for i, u, h in rows]
+    rows += [(200, "http://s.org/1", C.format("http://t.com")), (201, "http://s.org/2", C.format("http://t.com/"))]
+    want = _sql(rows)
+    assert {r[4] for r in want if r[3] is None} == {"allow", "block"}
+    for _ in range(3):
+        got = judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert sorted((tuple(r[n] for n in ("page_id", "host", "path", "rule", "verdict")) for r in got), key=str) == want
+        draw.shuffle(rows)
+
+
+def test_very_long_url(spark):
+    rows = [(1, "http://l.org/" + "a/" * 20_000, C.format("http://z.net/es/"))]
+    assert judge(spark.createDataFrame(rows, "page_id long, url string, html string")).first().verdict == "block"
