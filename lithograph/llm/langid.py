@@ -1,7 +1,7 @@
 """Operator 4, language identification by compression.
 
-Each language has a raw-content dictionary of sample text.  A text is compressed in short blocks with every
-dictionary; the language whose blocks take the fewest bytes wins, and the margin to the next says how sure that is.
+Each language has a raw-content dictionary of sample text.  A text is compressed in short blocks, each from several
+places on, with every dictionary, whatever its length; the language whose blocks take the fewest bytes wins, and the margin to the next says how sure that is.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithograph.llm.common import small_batches, table
 
+#: From how many places of a block its size is taken.
+VIEWS = 8
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -25,28 +27,22 @@ def fit(
 ) -> dict[str, bytes]:
     """A dictionary of at most dictionary_bytes for each language of the labelled rows (null texts and languages are left out).
 
-    It is a bounded sample: at most docs_per_language rows a language, the first by a hash of the key in each of so
-    many hash ranges, and an equal share of the bytes from each.  Every language of the rows gets one; more than
-    most_languages raise ValueError, so that what reaches the driver stays bounded.
+    It is a bounded sample: at most docs_per_language rows a language, the first by a hash of key and text in each of so
+    many hash ranges, and from each an equal share of the dictionary's bytes, from a place that the hash draws over the whole text.
+    Every language of the rows gets one; more than most_languages raise ValueError, so that what reaches the driver stays bounded.
     """
-    rows = labelled.select(labelled[key].alias("k"), labelled[lang].alias("l"), labelled[text].alias("t")).where("t is not null and l is not null and k is not null")
-    h = F.xxhash64("k")
-    chosen = (
-        rows.select("l", "k", h.alias("h"))
-        .groupBy("l", F.pmod("h", F.lit(docs_per_language)).alias("range"))
-        .agg(F.min_by("k", "h").alias("k"))
-        .select("k")
-    )
+    rows = labelled.select(labelled[lang].alias("l"), labelled[text].alias("t"), F.xxhash64(labelled[key], labelled[text]).alias("h")).where("t <> '' and l is not null")
     languages = rows.select("l").distinct().limit(most_languages + 1).count()
     if languages > most_languages:
         raise ValueError(f"more than {most_languages} languages")
-    share = dictionary_bytes // docs_per_language * 4
-    found = rows.join(F.broadcast(chosen), "k", "left_semi").select("l", "k", F.substring("t", 1, share).alias("t")).collect()
+    chosen = rows.groupBy("l", F.pmod("h", F.lit(docs_per_language)).alias("range")).agg(F.min_by("t", "h").alias("t"), F.min("h").alias("h"))
+    size, share = F.length("t"), F.ceil(dictionary_bytes / F.count("*").over(Window.partitionBy("l"))).cast("int")
+    place = F.pmod(F.xxhash64("h"), F.greatest(size - share, F.lit(0)) + 1).cast("int") + 1
+    found = chosen.withColumn("share", share).select("l", "h", "share", F.substring("t", place, share).alias("t")).collect()
     out = {}
     for name in sorted({r.l for r in found}):
-        texts = sorted({(r.k, r.t) for r in found if r.l == name})
-        part = max(200, dictionary_bytes // max(1, len(texts)))
-        out[name] = b"\n".join(t.lower().encode()[:part] for _, t in texts)[:dictionary_bytes]
+        parts = sorted((r.h, r.t, r.share) for r in found if r.l == name)
+        out[name] = b"\n".join(t.lower().encode()[:share] for _, t, share in parts)[:dictionary_bytes]
     return out
 
 
@@ -68,13 +64,13 @@ class Sizer:
             self.packers.append(zstandard.ZstdCompressor(dict_data=raw, compression_params=params))
 
     def sizes(self, text: str) -> list[int]:
-        """Bytes over all blocks of the whole text; of a short text, over it from each of its words on, as its few bytes alone tie."""
+        """Bytes over all blocks of the whole text; a block counts from its start and from `VIEWS` - 1 words further on, as the few bytes of one view alone tie."""
         raw = text.lower().encode()
-        if len(raw) < 256:
-            words = raw.split()
-            parts = [b" ".join(words[i:]) for i in range(len(words))] or [raw]
-        else:
-            parts = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
+        parts = []
+        for i in range(0, len(raw), self.block):
+            words = raw[i : i + self.block].split()
+            starts = sorted({len(words) * j // VIEWS for j in range(VIEWS)}) if words else []
+            parts += [b" ".join(words[j:]) for j in starts]
         return [sum(len(p.compress(x)) for x in parts) for p in self.packers]
 
     def best(self, text: str) -> tuple[str, float]:
