@@ -171,12 +171,13 @@ class Scorer:
         return 1 / (1 + math.exp(-min(50.0, self.bias + self.raw(text))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", rows_per_label: int = 4096, most_features: int = 4000, least_odds: float = 4.0) -> dict[str, float]:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", rows_per_label: int = 4096, most_features: int = 4000, least_odds: float = 4.0, least_evidence: float = 14.0) -> dict[str, float]:
     """Weights of words and stems: the log odds of the label given that a text has them.
 
     It is a bounded sample: the first labelled row by hash in each of rows_per_label hash ranges, for each of the two
-    labels, copies and near copies once.  A feature needs 2 % of the positive texts, five at least, and log odds of
-    least_odds at least; the most_features best are kept.  Without positive rows there are no weights.
+    labels, copies and near copies once.  A feature needs five positive texts, log odds of least_odds at least and a
+    log likelihood ratio, against chance, of least_evidence at least; the most_features best are kept.  The same rows give the
+    same weights, however they are partitioned.  Without positive rows there are no weights.
     """
     known = labels.select(labels[key].alias("k"), labels[label].alias("y")).where("k is not null and y in (0, 1)")
     h = F.xxhash64("k")
@@ -185,12 +186,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         docs.select(docs[key].alias("k"), docs[text].alias("t"))
         .where("t is not null")
         .join(F.broadcast(chosen), "k")
+        .groupBy("k", "y")
+        .agg(F.min("t").alias("t"))  # of rows that share a key one counts, the same one always
         .withColumn("w", F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"([\p{L}\p{M}\p{N}'’_]+)"))))
     )
     # near copies once: they share the long words whose hashes are the least and the greatest
     marks = F.transform(F.filter("w", lambda w: F.length(w) > 8), lambda w: F.xxhash64(w))
     for end in (F.array_min(marks), F.array_max(marks)):
-        sample = sample.withColumn("m", F.coalesce(end, F.xxhash64("t"))).dropDuplicates(["y", "m"])
+        one = F.min_by(F.struct("k", "t", "w"), F.struct(F.xxhash64("k"), F.col("k"))).alias("one")
+        sample = sample.withColumn("m", F.coalesce(end, F.xxhash64("t"))).groupBy("y", "m").agg(one).select("y", "one.*")
     sample = sample.select("k", "y", "w")
     words = sample.select("k", "y", F.explode("w").alias("w"))
     stems = F.array_distinct(F.array(F.concat(F.lit("="), "w"), *(F.when(F.length("w") > n, F.substring("w", 1, n)) for n in STEMS)))
@@ -205,8 +209,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     if not totals.n1 or not totals.n0:
         return {}
     odds = F.log(((F.col("n1") + 0.5) / (totals.n1 + 1)) / ((F.col("n0") + 0.5) / (totals.n0 + 1)))
-    least = max(5, 0.02 * totals.n1)
-    found = counts.withColumn("odds", odds).where((F.col("n1") >= least) & (F.col("odds") >= least_odds)).orderBy(F.desc("odds"), "f").limit(most_features)
+    n1, n0, share = F.col("n1"), F.col("n0"), totals.n1 / (totals.n1 + totals.n0)
+    evidence = n1 * F.log(n1 / ((n1 + n0) * share)) + F.when(n0 > 0, n0 * F.log(n0 / ((n1 + n0) * (1 - share)))).otherwise(0.0)
+    found = counts.withColumn("odds", odds).where((n1 >= 5) & (F.col("odds") >= least_odds) & (evidence >= least_evidence)).orderBy(F.desc("odds"), "f").limit(most_features)
     return {r.f: r.odds for r in found.collect()}
 
 

@@ -1,8 +1,9 @@
 import os
+import random
 
 import pytest
 
-from lithograph.llm.toxicity import INSULT, NEGATION, OTHER, REPORT, TARGET, THREAT, Scorer, clause_score, fit, held_out, op1_toxicity, score
+from lithograph.llm.toxicity import INSULT, NEGATION, OTHER, REACH, REPORT, TARGET, THREAT, Scorer, clause_score, fit, held_out, op1_toxicity, score
 
 
 def test_grammar():
@@ -52,3 +53,40 @@ def test_a_target_after_the_verb():
     s = Scorer({})
     verbs_first = ("i will kill you", "wir werden töten dich", "je vais tuer ton frère", "voy a matar a ustedes")
     assert all(s.raw(t) == pytest.approx(3.2) and s.score(t) > 0.3 for t in verbs_first)
+
+
+def test_same_rows_same_weights(spark):
+    draw = random.Random(4)
+    words = [f"{a}{b}ternwort" for a in "bcdfg" for b in "aeiou"]
+    rows = [(i, " ".join(draw.choice(words) for _ in range(6)) + (" grobwort" if i % 3 == 0 else "")) for i in range(300)] + [(7, "another text of one key"), (None, "no key")]
+    labels = [(i, int(i % 3 == 0)) for i in range(300)]
+    found = []
+    for parts in (1, 5, 7):
+        draw.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        found.append(fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int").repartition(parts)))
+    assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_composed_machine_against_the_transducers_run_apart():
+    """The score of a clause worked out rule by rule, from each word's neighbours, without any state."""
+
+    def plain(clause):
+        total, insults = 0.0, 0
+        for i, (c, w) in enumerate(clause):
+            classes = [x for x, _ in clause]
+            near = TARGET in classes[max(0, i - REACH) : i] or TARGET in classes[i + 1 : i + REACH + 1]
+            if c == INSULT:
+                w = w / (1 + min(3, insults)) * (1.4 if near else 1.0)
+                insults += 1
+            elif c == THREAT:
+                w *= 1.6 if near else 0.1
+            else:
+                continue
+            total += w * (0.45 if NEGATION in classes[max(0, i - 3) : i] else 1) * (0.6 if REPORT in classes[max(0, i - 12) : i] else 1)
+        return total
+
+    draw = random.Random(9)
+    for _ in range(3000):
+        clause = [(c, draw.choice([2.0, 5.0]) if c in (INSULT, THREAT) else 0.0) for c in (draw.choice([OTHER, OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT]) for _ in range(draw.randrange(1, 25)))]
+        assert clause_score(clause) == pytest.approx(plain(clause))
