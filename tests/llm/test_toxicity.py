@@ -57,7 +57,7 @@ def test_a_target_after_the_verb():
 
 def test_same_rows_same_weights(spark):
     draw = random.Random(4)
-    words = [f"{a}{b}ternwort" for a in "bcdfg" for b in "aeiou"]
+    words = ["".join(draw.choices("abcdefghij", k=10)) for _ in range(900)]
     rows = [(i, " ".join(draw.choice(words) for _ in range(6)) + (" grobwort" if i % 3 == 0 else "")) for i in range(300)] + [(7, "another text of one key"), (None, "no key")]
     labels = [(i, int(i % 3 == 0)) for i in range(300)]
     found = []
