@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lithograph.llm.common import small_batches, table
 
 #: From how many places of a block its size is taken.
-VIEWS = 8
+VIEWS = 4
 _LETTER = regex.compile(r"\p{L}")
 
 
