@@ -108,6 +108,17 @@ def progress_percent(done, total) -> Column:
     return F.when(total == 0, F.lit(0)).otherwise(F.least(F.lit(100), F.floor(done * 100 / F.greatest(total, F.lit(1))))).cast("int")
 
 
+def epoch_seconds_text(seconds) -> Column:
+    """`1970-01-01 00:00:00` and so on, in UTC whatever the session's zone."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return (start + F.make_dt_interval(secs=_col(seconds).cast("decimal(18,6)"))).cast("string")
+
+
+def epoch_millis_text(millis) -> Column:
+    """The same of milliseconds, which are left out."""
+    return epoch_seconds_text(F.floor(_col(millis) / 1000))
+
+
 def integer_parameter(text, default: int) -> Column:
     return F.coalesce(_col(text).try_cast("int"), F.lit(default))
 

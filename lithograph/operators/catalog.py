@@ -19,6 +19,11 @@ def listed(rows: DataFrame, column: str, value, *order) -> DataFrame:
     return rows.where(F.col(column) == value).orderBy(*order)
 
 
+def in_order(rows: DataFrame, *order) -> DataFrame:
+    """All rows by their fqn, or by another order."""
+    return rows.orderBy(*(order or ("fqn",)))
+
+
 def search_types(types: DataFrame, text: str, limit: int = 50) -> DataFrame:
     """Types whose fqn or simple name holds the text in any case; % and _ in it are wildcards, as they aren't escaped."""
     pattern = f"%{text.lower()}%"
@@ -29,7 +34,7 @@ def search_types(types: DataFrame, text: str, limit: int = 50) -> DataFrame:
 
 def types_or_search(types: DataFrame, text: str | None) -> DataFrame:
     """All types by fqn where the text is blank, else a search."""
-    return search_types(types, text) if text and text.strip() else types.orderBy("fqn")
+    return search_types(types, text) if text and text.strip() else in_order(types)
 
 
 def with_kind(rows: DataFrame, kind: str | None) -> DataFrame:

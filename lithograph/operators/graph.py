@@ -82,8 +82,9 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def view(edges: DataFrame, root, up: int, down: int) -> tuple[DataFrame, DataFrame]:
     """(nodes (fqn, role, depth, label), edges) around root; a node that is both callee and caller is a callee.
 
-    An unknown root is the only node of its view.
+    An unknown root is the only node of its view.  The edges are worked out once for all levels.
     """
+    edges = cut(edges)
     kind = edges.schema["source"].dataType
     parts = [edges.sparkSession.range(1).select(F.lit(root).cast(kind).alias("fqn"), F.lit(0).alias("depth"), F.lit(0).alias("role"))]
     if down:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lithograph.functions import scalars as S
 from lithograph.operators import catalog, graph, history, impact, inconsistency, maintenance, search
+from lithograph.operators.state import cut
 from lithograph.plans.registry import query, table
 from lithograph.sources import java
 
@@ -66,16 +67,62 @@ def detail_with_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "type_detail",
-    """SELECT o_orderkey AS fqn, count(l_orderkey) AS n_members, min(l_linenumber) AS first_line, max(l_linenumber) AS last_line
-       FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
+    """WITH l AS (SELECT l_orderkey, count(*) FILTER (l_linenumber % 2 = 0) AS n_methods, count(*) FILTER (l_linenumber % 2 = 1) AS n_fields,
+         min(l_linenumber) FILTER (l_linenumber % 2 = 0) AS first_line, max(l_linenumber) FILTER (l_linenumber % 2 = 0) AS last_line FROM lineitem GROUP BY 1),
+       n AS (SELECT o_custkey, count(*) AS n_notes, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS newest FROM orders GROUP BY 1)
+       SELECT o_orderkey AS fqn, coalesce(n_methods, 0) AS n_methods, coalesce(n_fields, 0) AS n_fields, first_line, last_line, coalesce(n_notes, 0) AS n_notes, newest::VARCHAR AS newest_note
+       FROM orders o LEFT JOIN l ON l_orderkey = o_orderkey LEFT JOIN n ON n.o_custkey = o_orderkey""",
 )
 def type_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    types = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fqn"))
+    """Orders are types, their even lines methods and the odd ones fields; a customer's orders are notes on the type of its number."""
+    orders = table(spark, sf_dir, "orders")
     members = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("declaring_type_fqn"), F.col("l_linenumber").alias("start_line"), F.col("l_partkey").alias("id"))
-    none = types.select(F.col("fqn").alias("entity_fqn"), F.lit(0).alias("created_at"), F.lit("").alias("id")).limit(0)
-    detail = catalog.type_details(types, members.limit(0), members, none)
+    notes = orders.select(F.col("o_custkey").alias("entity_fqn"), F.col("o_totalprice").alias("created_at"), F.col("o_orderkey").alias("id"))
+    detail = catalog.type_details(orders.select(F.col("o_orderkey").alias("fqn")), members.where("start_line % 2 = 1"), members.where("start_line % 2 = 0"), notes)
     line = F.transform("methods", lambda m: m["start_line"])
-    return detail.select("fqn", F.size("methods").cast("long").alias("n_members"), F.array_min(line).alias("first_line"), F.array_max(line).alias("last_line"))
+    sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in ("methods", "fields", "notes")]
+    return detail.select("fqn", *sizes, F.array_min(line).alias("first_line"), F.array_max(line).alias("last_line"), F.get("notes", F.lit(0))["id"].cast("string").alias("newest_note"))
+
+
+@query("packages_by_fqn", "SELECT r_name AS fqn, NULL AS parent_fqn FROM region UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def packages_by_fqn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.in_order(packages(spark, sf_dir))
+
+
+def part_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("fqn"), F.col("p_name").alias("simple_name"))
+
+
+@query("types_by_fqn", "SELECT p_partkey AS id, p_type AS fqn, p_name AS simple_name FROM part")
+def types_by_fqn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A blank search lists all types."""
+    return catalog.types_or_search(part_types(spark, sf_dir), "  ")
+
+
+@query(
+    "wildcard_search",
+    "SELECT p_partkey AS id, p_name AS simple_name FROM part WHERE lower(p_type) LIKE '%b_l%t%' OR lower(p_name) LIKE '%b_l%t%' ORDER BY p_name, p_partkey LIMIT 50",
+)
+def wildcard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.types_or_search(part_types(spark, sf_dir), "B_l%t").select("id", "simple_name")
+
+
+@query("notes_of_entity", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 ORDER BY o_totalprice DESC, o_orderkey")
+def notes_of_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders are its notes, the dearest the newest."""
+    notes = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    return catalog.listed(notes, "o_custkey", 7, F.desc("o_totalprice"), "o_orderkey").drop("o_custkey")
+
+
+@query(
+    "member_files",
+    """SELECT p_partkey AS id, p_brand AS declaring_type_fqn, file FROM part JOIN (SELECT p_brand, arg_min(p_name, p_partkey) AS file FROM part WHERE p_size < 3 GROUP BY 1) USING (p_brand)""",
+)
+def member_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are members of the type that their brand names; small parts are types, several of one name."""
+    part = table(spark, sf_dir, "part")
+    types = part.where("p_size < 3").select(F.col("p_brand").alias("fqn"), F.col("p_name").alias("source_file"), F.col("p_partkey").alias("ord"))
+    return history.entity_files(part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("declaring_type_fqn")), types)
 
 
 @query(
@@ -89,11 +136,11 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "member_counts",
-    "SELECT n_nationkey AS fqn, count(s_suppkey) AS method_count FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) ON s_nationkey = n_nationkey GROUP BY n_nationkey",
+    "SELECT n_nationkey AS fqn, count(s_suppkey) AS method_count FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey",
 )
 def member_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("fqn"))
-    members = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("declaring_type_fqn"))
+    members = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("declaring_type_fqn"))
     return catalog.member_counts(types, members, "method_count")
 
 
@@ -163,6 +210,32 @@ def replace_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.deleted(maintenance.replaced(labels, labels.where("quality = 1")), "doc_id", 4)[0]
 
 
+@query(
+    "note_written",
+    """SELECT c_custkey::VARCHAR AS id, 'app.' || c_name AS entity_fqn, c_mktsegment AS content, c_nationkey::BIGINT AS created_at, c_nationkey::BIGINT + 1 AS updated_at FROM customer WHERE c_custkey <> 5
+       UNION ALL SELECT '5', 'app.X', 'seen', 1000, 1000 UNION ALL SELECT 'new', 'app.Y', 'first', 2000, 2000""",
+)
+def note_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers are notes: one is written again, one is new."""
+    notes = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("app."), "c_name").alias("entity_fqn"), F.col("c_mktsegment").alias("content"), F.col("c_nationkey").cast("long").alias("created_at"), (F.col("c_nationkey") + 1).cast("long").alias("updated_at")
+    )
+    return maintenance.written_note(maintenance.written_note(notes, "5", "app.X", "seen", 1000), "new", "app.Y", "first", 2000)
+
+
+@query(
+    "git_meta_upsert",
+    f"""SELECT CASE WHEN d.k IS NULL THEN m.entity_fqn ELSE d.k END AS entity_fqn, CASE WHEN d.k IS NULL THEN n ELSE c END AS commit_count
+        FROM (SELECT 'app.' || c_name AS entity_fqn, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*)::INT AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey) m
+        FULL JOIN (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'app.' ELSE 'new.' END || c_name AS k, (c_custkey % 9)::INT AS c FROM customer) d ON d.k = m.entity_fqn""",
+)
+def git_meta_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other customer's change history is written again, the others are new."""
+    people = table(spark, sf_dir, "customer")
+    new = people.select(F.concat(F.when(F.col("c_custkey") % 2 == 0, "app.").otherwise("new."), "c_name").alias("entity_fqn"), (F.col("c_custkey") % 9).cast("int").alias("commit_count"), F.col("c_custkey").alias("at"))
+    return maintenance.upsert(order_meta(spark, sf_dir).select("entity_fqn", "commit_count"), new, "entity_fqn", "at")
+
+
 # --- inconsistencies -------------------------------------------------------------------------------------------
 
 
@@ -341,6 +414,15 @@ def commit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.commit_counts(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("commit")))
 
 
+@query(
+    "entities_with_history",
+    f"""SELECT c_custkey, fqn, author AS last_author_name, n AS commit_count FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'x.' ELSE 'app.' END || c_name AS fqn FROM customer) LEFT JOIN {_META} ON entity_fqn = fqn""",
+)
+def entities_with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.when(F.col("c_custkey") % 3 == 0, "x.").otherwise("app."), "c_name").alias("fqn"))
+    return catalog.with_git_meta(named, order_meta(spark, sf_dir)).select("c_custkey", "fqn", "last_author_name", "commit_count")
+
+
 @query(
     "heat_ratio",
     f"""WITH h AS (SELECT entity_fqn, n FROM {_META} WHERE n > 0 ORDER BY n DESC, entity_fqn LIMIT 20)
@@ -363,16 +445,14 @@ def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- graph and impact ------------------------------------------------------------------------------------------
 
-_EDGES = "(SELECT DISTINCT a.l_partkey AS source, b.l_partkey AS target FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_quantity > 35)"
-_ROOT = f"(SELECT min(source) FROM {_EDGES})"
+_EDGES = "(SELECT DISTINCT a.l_partkey AS source, b.l_partkey AS target FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"
 
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A part calls the one on the next line of the same order, where both lines were returned and the first was large."""
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
-    a = lines.where("l_quantity > 35").select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("source"))
-    b = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("target"))
-    return graph.edges_of(a.join(b, ["l_orderkey", "l_linenumber"]))
+    """A part calls the one on the next line of the same order."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    a = lines.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("source"))
+    return cut(graph.edges_of(a.join(lines.withColumnRenamed("l_partkey", "target"), ["l_orderkey", "l_linenumber"])))
 
 
 def _reach(edges: str, depth: int) -> str:
@@ -406,6 +486,23 @@ def call_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.call_hierarchy(edges, edges.agg(F.min("source")).first()[0])[0].select("fqn", "role")
 
 
+@query("callees_view", _reach(_EDGES, 4) + " SELECT fqn, CASE min(depth) WHEN 0 THEN 'root' ELSE 'callee' END AS role, min(depth) AS depth FROM r GROUP BY fqn")
+def callees_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = part_edges(spark, sf_dir)
+    return graph.callees_view(edges, edges.agg(F.min("source")).first()[0])[0].drop("label")
+
+
+@query("callers_view", _reach(_BACK, 4) + " SELECT fqn, CASE min(depth) WHEN 0 THEN 'root' ELSE 'caller' END AS role, min(depth) AS depth FROM r GROUP BY fqn")
+def callers_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = part_edges(spark, sf_dir)
+    return graph.callers_view(edges, edges.agg(F.min("target")).first()[0])[0].drop("label")
+
+
+@query("graph_vertices", f"SELECT p_partkey AS fqn FROM part UNION SELECT source FROM {_EDGES} UNION SELECT target FROM {_EDGES}")
+def graph_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.vertices_of(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("fqn")), part_edges(spark, sf_dir))
+
+
 @query("induced_edges", _VIEW + " SELECT source, target FROM e WHERE source IN (SELECT fqn FROM n) AND target IN (SELECT fqn FROM n)")
 def induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = part_edges(spark, sf_dir)
@@ -471,20 +568,37 @@ def impact_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- search ----------------------------------------------------------------------------------------------------
 
 
-@query(
-    "prefix_search",
-    r"""WITH d AS (SELECT p_partkey AS id, 'METHOD' AS kind, p_brand || '.' || p_name AS fqn, p_name, regexp_extract_all(lower(p_name), '[a-z0-9_]+(\.[a-z0-9_]+)*') AS n,
+_SEARCHED = r"""WITH d AS (SELECT p_partkey AS id, 'METHOD' AS kind, p_brand || '.' || p_name AS fqn, p_name, regexp_extract_all(lower(p_name), '[a-z0-9_]+(\.[a-z0-9_]+)*') AS n,
             regexp_extract_all(lower(concat_ws(' ', p_name, trim(regexp_replace(p_name, '([A-Z])', ' \1', 'g')), replace(p_name, '.', ' '), p_brand || '.' || p_name, trim(regexp_replace(p_brand || '.' || p_name, '([A-Z])', ' \1', 'g')), replace(p_brand || '.' || p_name, '.', ' '),
-              p_brand, trim(regexp_replace(p_brand, '([A-Z])', ' \1', 'g')), replace(p_brand, '.', ' '), p_type, trim(regexp_replace(p_type, '([A-Z])', ' \1', 'g')), replace(p_type, '.', ' '))), '[a-z0-9_]+(\.[a-z0-9_]+)*') AS s FROM part),
-        x AS (SELECT *, 3.0 * len(list_filter(n, lambda t: starts_with(t, 'bo'))).sign() + 2.0 * starts_with(fqn, 'bo')::INT + 1.0 * len(list_filter(s, lambda t: starts_with(t, 'bo'))).sign() AS score FROM d)
-        SELECT id::VARCHAR AS id, kind, fqn, score::DOUBLE AS score FROM x WHERE score > 0 ORDER BY score DESC, kind, fqn, id::VARCHAR LIMIT 30""",
-)
-def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+              p_brand, trim(regexp_replace(p_brand, '([A-Z])', ' \1', 'g')), replace(p_brand, '.', ' '), p_type, trim(regexp_replace(p_type, '([A-Z])', ' \1', 'g')), replace(p_type, '.', ' '))), '[a-z0-9_]+(\.[a-z0-9_]+)*') AS s FROM part)"""
+_STARTS = "3.0 * len(list_filter(n, lambda t: starts_with(t, 'bo'))).sign() + 2.0 * starts_with(fqn, 'bo')::INT + 1.0 * len(list_filter(s, lambda t: starts_with(t, 'bo'))).sign()"
+_EQUALS = "3.0 * len(list_filter(n, lambda t: t = 'brand')).sign() + 2.0 * (fqn = 'brand')::INT + 1.0 * len(list_filter(s, lambda t: t = 'brand')).sign()"
+_HITS = "SELECT id::VARCHAR AS id, kind, fqn, score::DOUBLE AS score FROM x ORDER BY score DESC, kind, fqn, id::VARCHAR LIMIT 30"
+
+
+def searched_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are methods, named by their names, declared by their brands."""
     part = table(spark, sf_dir, "part")
     methods = part.select(F.col("p_partkey").cast("string").alias("id"), F.concat("p_brand", F.lit("."), "p_name").alias("fqn"), F.col("p_name").alias("simple_name"), F.col("p_brand").alias("declaring_type_fqn"), F.col("p_type").alias("return_type"))
     none = methods.limit(0)
-    docs = search.documents(none.withColumns({"kind": F.lit(""), "package_fqn": F.lit("")}), methods, none.withColumn("field_type", F.lit("")))
-    return search.search(docs, "Bo").select("id", "kind", "fqn", "score")
+    return search.documents(none.withColumns({"kind": F.lit(""), "package_fqn": F.lit("")}), methods, none.withColumn("field_type", F.lit("")))
+
+
+@query("prefix_search", f"{_SEARCHED}, x AS (SELECT *, {_STARTS} AS score FROM d WHERE {_STARTS} > 0) {_HITS}")
+def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(searched_parts(spark, sf_dir), "Bo").select("id", "kind", "fqn", "score")
+
+
+@query("terms_search", f"{_SEARCHED}, x AS (SELECT *, {_STARTS} + {_EQUALS} AS score FROM d WHERE {_STARTS} > 0 AND {_EQUALS} > 0) {_HITS}")
+def terms_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both terms are required, the last one as a prefix."""
+    return search.search(searched_parts(spark, sf_dir), "brand Bo").select("id", "kind", "fqn", "score")
+
+
+@query("signs_search", f"{_SEARCHED}, x AS (SELECT *, 1.0 AS score FROM d WHERE contains(fqn, '#')) {_HITS}")
+def signs_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text without a token is looked for as it stands."""
+    return search.search(searched_parts(spark, sf_dir), " # ").select("id", "kind", "fqn", "score")
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+(\.[\p{L}\p{N}_]+)*')"
@@ -603,3 +717,13 @@ def progress_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("json_params", "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS INT), 30) AS k, coalesce(try_cast(event_type AS INT), 4) AS depth FROM events")
 def json_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", S.integer_parameter(F.get_json_object("props", "$.k"), 30).alias("k"), S.integer_parameter("event_type", 4).alias("depth"))
+
+
+@query(
+    "epoch_times",
+    """SELECT o_orderkey, strftime(make_timestamp(o_orderkey * 7919 * 1000000), '%Y-%m-%d %H:%M:%S') AS of_seconds,
+       strftime(make_timestamp((o_orderkey * 999983 // 1000) * 1000000), '%Y-%m-%d %H:%M:%S') AS of_millis FROM orders""",
+)
+def epoch_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.epoch_seconds_text(key * 7919).alias("of_seconds"), S.epoch_millis_text(key * 999983).alias("of_millis"))

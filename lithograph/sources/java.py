@@ -19,8 +19,9 @@ from lithograph.operators import catalog
 from lithograph.operators.state import cut
 
 #: Comments, text blocks, strings, characters, names, numbers, operators of two and more signs, line ends, any other sign.
+#: Possessive, as Java's matcher would else go one call deeper for each escape.
 TOKEN = (
-    r"/\*[\s\S]*?\*/|//[^\n]*|" + '"""[\\s\\S]*?"""|' + r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"|' + r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'|"
+    r"/\*[\s\S]*?\*/|//[^\n]*|" + '"""[\\s\\S]*?"""|' + r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|' + r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|"
     r"[\p{L}_$][\p{L}\p{N}_$]*|\d[\w.]*|->|::|&&|\|\||\+\+|--|>>>=|<<=|>>=|[-+*/%&|^!=<>]=|\.\.\.|\n|\S"
 )
 #: Fixed values of the language.

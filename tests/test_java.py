@@ -114,3 +114,12 @@ def test_headers_and_reading(spark, tmp_path):
     (tmp_path / "a" / "X.java").write_text("class X {}")
     (tmp_path / "a" / "x.txt").write_text("no")
     assert [r.path for r in read_sources(spark, str(tmp_path)).collect()] == [f"{tmp_path}/a/X.java"]
+
+
+def test_a_literal_of_many_escapes(spark):
+    from lithograph.sources.java import tokens
+
+    long = "\\n" * 100_000
+    rows = [("/A.java", f'class A {{ String s = "{long}"; char c = \'\\u0041\'; /* {"* " * 50_000} */ }}')]
+    found = [r.tok for r in tokens(spark.createDataFrame(rows, "path string, content string")).collect()]
+    assert f'"{long}"' in found and "'\\u0041'" in found and found[-1] == "}"
