@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithograph.operators.state import shared_folder
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -18,28 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what spark.checkpoint.dir names, else the session's checkpoint folder.
-
-    Without either it raises on a cluster; in local mode, where all is one machine, a temporary folder is made.
-    """
-    sc = spark.sparkContext
-    named = sc._jsc.sc().getCheckpointDir()
-    if named.isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="lithograph-")
-        sc.setCheckpointDir(folder)
-        named = sc._jsc.sc().getCheckpointDir()
-    return named.get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without lineage: a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
-    Without that setting the session must have a checkpoint folder already.  The shuffle files that led to the checkpoint
+    The shuffle files that led to the checkpoint
     go once it is written, as nothing reads them again.
     """
     spark = df.sparkSession

@@ -24,7 +24,8 @@ from lithograph.llm.common import components, cut, table
 from lithograph.llm.vectors import dimension, matrix
 from lithograph.llm.words import mix
 
-_SLACK = 1e-12
+#: How near to the threshold a product of matrices leaves open on which side a cosine is.
+_OPEN = 1e-12
 
 
 def e8_roots() -> np.ndarray:
@@ -95,7 +96,7 @@ def connecting(unit: np.ndarray, least: float) -> list[tuple[int, int]]:
         rest = np.flatnonzero(root != root[i])
         if not len(rest):
             break
-        for j in rest[unit[rest] @ unit[i] >= least - _SLACK]:
+        for j in rest[_linked(unit[rest], unit[i : i + 1], least)[:, 0]]:
             if root[j] != root[i]:
                 links.append((i, int(j)))
                 root[root == root[j]] = root[i]
@@ -103,7 +104,12 @@ def connecting(unit: np.ndarray, least: float) -> list[tuple[int, int]]:
 
 
 def _linked(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    return a @ b.T >= least - _SLACK
+    """Whether the cosine of each row of a with each of b is least at least; near the threshold a sum in one fixed order decides."""
+    cosine = a @ b.T
+    out = cosine >= least
+    for i, j in np.argwhere(np.abs(cosine - least) <= _OPEN):
+        out[i, j] = np.cumsum(a[i] * b[j])[-1] >= least
+    return out
 
 
 def _units(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -228,4 +234,14 @@ def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_lattice": op7_lattice}
-ORACLES: dict[str, str] = {}
+#: The same in SQL, every pair of one label compared: for small tables.
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL
+), u AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS size FROM v WHERE len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0
+), link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.93
+), reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(m, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY 1) USING (vec_id) LEFT JOIN (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY 1) USING (vec_id)
+"""
+ORACLES = {"op7_lattice": SQL}

@@ -70,3 +70,21 @@ def test_table(spark):
 def test_connecting():
     unit = np.array([[1, 0], [0, 1], [np.cos(0.3), np.sin(0.3)], [np.cos(0.6), np.sin(0.6)], [1, 0]])
     assert {frozenset(x) for x in connecting(unit, 0.93)} == {frozenset(x) for x in [(0, 2), (0, 4), (2, 3)]}
+
+
+def test_none_below_the_threshold():
+    from lithograph.llm.lattice import _linked
+
+    draw = np.random.default_rng(7)
+    a = draw.normal(size=(300, 24))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    for i in range(0, 300, 7):
+        exact = float(np.cumsum(a[i] * a[i + 1])[-1]) if i < 299 else 1.0
+        assert _linked(a[i : i + 1], a[i + 1 : i + 2], exact).all()
+        assert not _linked(a[i : i + 1], a[i + 1 : i + 2], np.nextafter(exact, 2)).any()
+
+
+def test_equal_vectors_and_ties(spark):
+    rows = [(i, [1.0, 0.0, 0.0, 0.0] if i % 2 else [0.0, 2.0, 0.0, 0.0], 1) for i in range(10)] + [(3, [1.0, 0.0, 0.0, 0.0], 1), (None, [1.0, 0.0, 0.0, 0.0], 1)]
+    got = sorted((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == sorted([(False, i, 6 if i % 2 else 4, i % 2) for i in range(10)] + [(False, 3, 6, 1), (True, 0, 6, 1)])
