@@ -1,11 +1,10 @@
 """Operator 8, approximate nearest neighbours by shifted space-filling curves.
 
 Vectors are projected at random to a few dimensions; each of several Hilbert curves, over a grid shifted its own
-way, puts them in one order.  Spark range-partitions each order.  In each range a query meets the vectors next to it on
-the curve, and its best inner products over all curves give it a threshold.  The ranges of the first curve, with
-their centres and radii, are then searched in blocks: a range whose bound is below a query's threshold is skipped,
-all others are scanned.  The second step makes the result exact: in many dimensions the curve's neighbours alone
-miss most of the nearest, whatever the windows (see the README).
+way, puts them in one order.  Each order is cut at its quantiles into ranges of about equally many vectors.  A query
+meets the vectors of its own range and of the ranges next to it, over the ranges' edges, on every curve; what the curves' windows hold is
+merged and reranked by inner product.  A window is a share of the rows, so recall does not fall as they grow; the price is that the
+work is queries times that share of the rows (see the README for recall and cost).
 """
 
 from __future__ import annotations
@@ -18,8 +17,6 @@ from pyspark.sql import functions as F
 from lithograph.llm.common import cut, table
 from lithograph.llm.vectors import dimension, matrix
 
-_SLACK = 1e-9
-
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     """The place on the Hilbert curve of each row of grid coordinates, each below 2**bits; all bits together under 64.
@@ -74,173 +71,104 @@ def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _dots(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Inner products summed in one fixed order, so that equal vectors have equal ones."""
+    """Inner products summed in one fixed order, so that a pair has one score on every curve."""
     return np.einsum("ij,j->i", rows, q)
 
 
+def _best(ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, questions: np.ndarray, k: int):
+    """(query, row, score) places of each question's k best rows, a few hundred questions at a time."""
+    size = np.sqrt(np.einsum("ij,ij->i", rows, rows)).max(initial=0.0)
+    for at in range(0, len(qids), 256):
+        x = questions[at : at + 256]
+        slack = 1e-12 * size * np.sqrt(np.einsum("ij,ij->i", x, x))
+        for i, s in enumerate(x @ rows.T):
+            s[ids == qids[at + i]] = -np.inf
+            floor = np.partition(s, len(s) - k)[len(s) - k] - slack[i] if len(s) > k else -np.inf
+            near = np.flatnonzero((s >= floor) & (s > -np.inf))
+            score = _dots(x[i], rows[near])
+            for j in _top(ids[near], score, k):
+                yield qids[at + i], ids[near[j]], score[j]
+
+
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, curves: int = 4, window: int = 64, block: int = 4096, query_block: int = 512, key: str = "vec_id", embedding: str = "embedding", exact: bool = True
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int = 20,
+    curves: int = 8,
+    ranges: int = 32,
+    reach: int = 2,
+    least: int = 1024,
+    block: int = 2048,
+    query_block: int = 1024,
+    key: str = "vec_id",
+    embedding: str = "embedding",
 ) -> DataFrame:
     """The k nearest vectors, by inner product in double precision, of each query but the query's own key.
 
     Returns query_id, rank (from 1; ties to the smaller key), vec_id and score; all candidates where there are
-    fewer than k.  Vectors that are null, zero, hold null or non-finite numbers, or have another length than most take no part, as
-    queries and as candidates; so do null keys.  Rows that repeat a key are candidates of their own.  With exact=False
-    only what the curves' windows hold is ranked.
+    fewer than k.  Each curve is cut into `ranges` ranges, of `least` vectors at least, and a query meets its own and `reach` on both
+    sides.  With curves=1 and reach=ranges the search is exact.  Vectors that are null, zero, hold null or non-finite
+    numbers, or have another length than most take no part, as queries and as candidates; so do null keys.  Rows that
+    repeat a key are candidates of their own if their scores differ; queries that repeat one ask together.  No task
+    holds more than about `block` vectors and `query_block` queries at once: larger ranges, as equal vectors make them, are dealt in pieces.
     """
     dim = dimension(vectors, embedding)
 
-    def bare(df):
-        return df.select(df[key].cast("long").alias("id"), df[embedding].alias("v")).where("id is not null and v is not null")
+    def bare(df, asks):
+        return df.select(df[key].cast("long").alias("id"), df[embedding].alias("v"), F.lit(asks).alias("q")).where("id is not null and v is not null")
 
-    both = bare(vectors).withColumn("q", F.lit(False)).union(bare(queries).withColumn("q", F.lit(True)))
     kind = vectors.schema[embedding].dataType.simpleString()
-    total = bare(vectors).count()
-    ranges = max(1, -(-total // block))
 
     def placed(batches):
         order = Curves(dim, curves)
         for batch in batches:
-            rows, usable = matrix(batch.column("v"), dim)
-            keep = pa.array(np.flatnonzero(usable))
-            batch, rows = batch.take(keep), rows[usable]
-            for c in range(curves):
-                at = order.keys(rows, c) if len(rows) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), c, np.int32)), pa.array(at), *batch.columns], names=["curve", "at", "id", "v", "q"])
-
-    # equal vectors share a place on each curve: the salt spreads a hot place over ranges
-    ordered = (
-        both.mapInArrow(placed, f"curve int, at long, id long, v {kind}, q boolean")
-        .withColumn("salt", F.xxhash64("id"))
-        .repartitionByRange(ranges * curves, "curve", "at", "salt")
-        .sortWithinPartitions("curve", "at", "salt")
-    )
-
-    def windows(batches):
-        for rows in _by_curve(batches, block):
-            x, _ = matrix(rows.column("v"), dim)
-            ids, q = np.asarray(rows.column("id")), np.asarray(rows.column("q"))
-            out = []
-            for i in np.flatnonzero(q):
-                lo, hi = max(0, i - window), i + window + 1
-                near = np.arange(lo, min(hi, len(ids)))
-                near = near[~q[near] & (ids[near] != ids[i])]
-                score = _dots(x[i], x[near])
-                out += [(ids[i], ids[near[j]], score[j]) for j in _top(ids[near], score, k)]
-            a, b, s = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
-
+            x, usable = matrix(batch.column("v"), dim)
+            batch, x = batch.take(pa.array(np.flatnonzero(usable))), x[usable]
+            at = np.stack([order.keys(x, c) for c in range(curves)], axis=1) if len(x) else np.zeros((0, curves), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, curves, dtype=np.int32)), pa.array(at.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "v", "q", "at"])
+
+    rows = cut(bare(vectors, False).union(bare(queries, True)).distinct().mapInArrow(placed, f"id long, v {kind}, q boolean, at array<long>"))
+    edges = _edges(rows.where("not q"), curves, ranges, least)
+
+    # a range is the number of edges that a place has reached
+    number = [F.struct(F.lit(c).alias("curve"), sum(((F.col("at")[c] >= e).cast("int") for e in edges[c]), F.lit(0)).alias("range")) for c in range(curves)]
+    dealt = rows.select("id", "v", "q", F.explode(F.array(*number)).alias("place")).select("id", "v", "q", "place.curve", "place.range", F.xxhash64("id", "v").alias("salt"))
+    sizes = {(r.curve, r.range, r.q): r["count"] for r in dealt.groupBy("curve", "range", "q").count().collect()}  # 2 * curves * ranges rows at most
+    pieces = []
+    for (c, r, q), n in sizes.items():
+        asks = sum(sizes.get((c, s, True), 0) for s in range(r - reach, r + reach + 1))
+        if not q and asks:
+            pieces.append((c, r, -(-n // block), -(-asks // query_block)))
+    plan = F.broadcast(rows.sparkSession.createDataFrame(pieces, "curve int, range int, pieces int, parts int"))
+
+    # every piece of a range meets every part of the queries around it
+    by = ["curve", "range", "piece", "part"]
+    data = dealt.where("not q").join(plan, ["curve", "range"]).select("id", "v", "curve", "range", F.expr("cast(pmod(salt, pieces) as int) piece"), F.expr("explode(sequence(0, parts - 1)) part"))
+    around = dealt.where("q").withColumn("range", F.explode(F.sequence(F.col("range") - reach, F.col("range") + reach)))
+    asked = around.join(plan, ["curve", "range"]).select(*(F.col(c).alias(c) for c in ("id", "v", "curve", "range")), F.expr("explode(sequence(0, pieces - 1)) piece"), F.expr("cast(pmod(salt, parts) as int) part"))
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        (x, _), (y, _) = matrix(left.column("v"), dim), matrix(right.column("v"), dim)
+        found = list(_best(np.asarray(left.column("id")), x, np.asarray(right.column("id")), y, k)) if len(x) else []
+        a, b, s = zip(*found) if found else ((), (), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+
+    near = data.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(met, "query_id long, vec_id long, score double")
+    # a pair that several curves found has one score, so one dense rank; most rows go before the shuffle
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    near = ordered.mapInArrow(windows, "query_id long, vec_id long, score double")
-    ranked = near.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    if not exact:
-        return ranked.select("query_id", "rank", "vec_id", "score")
-    floor = ranked.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select("query_id", "least")
-
-    def packed(batches):
-        """Ranges of the first curve, as matrices with a centre and a radius."""
-        for rows in _by_curve(batches, block):
-            if rows.num_rows and rows.column("curve")[0].as_py() == 0:
-                x, _ = matrix(rows.column("v"), dim)
-                keep = ~np.asarray(rows.column("q"))
-                x, ids = x[keep], np.asarray(rows.column("id"))[keep]
-                if len(ids):
-                    centre = x.mean(axis=0)
-                    radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))
-                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([x.tobytes()]), pa.array([centre.tobytes()]), pa.array([radius])], names=["ids", "rows", "centre", "radius"])
-
-    data = cut(ordered.where("curve = 0").mapInArrow(packed, "ids binary, rows binary, centre binary, radius double")).coalesce(min(64, -(-ranges // 16)))
-
-    def asked(rows: pa.Table) -> pa.Table:
-        x, usable = matrix(rows.column("v"), dim)
-        ids, least = np.asarray(rows.column("id"))[usable], np.asarray(rows.column("least").fill_null(-np.inf))[usable]
-        return pa.table([pa.array([ids.tobytes()]), pa.array([x[usable].tobytes()]), pa.array([least.tobytes()])], names=["qids", "qrows", "least"])
-
-    groups = max(1, -(-queries.count() // query_block))
-    question = (
-        bare(queries)
-        .join(floor, F.col("id") == F.col("query_id"), "left")
-        .select("id", "v", "least")
-        .groupBy(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"))
-        .applyInArrow(asked, "qids binary, qrows binary, least binary")
-        .coalesce(min(groups, 256))
-    )
-    # The stated queries against all rows, block by block: a task meets each of its query blocks with one slice of the
-    # ranges after the other and keeps k a query, so that at most 64 slices times k rows of a query leave it.
-    pairs = question.crossJoin(data)
-
-    def searched(batches):
-        own, held = None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["qids"] != own:
-                    if held:
-                        yield held.kept()
-                    own, held = row["qids"], _Best(row, dim, k)
-                held.meet(row)
-        if held:
-            yield held.kept()
-
-    found = pairs.mapInArrow(searched, "query_id long, vec_id long, score double")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-class _Best:
-    """A block of queries with the k best of what it has met."""
-
-    def __init__(self, row: dict, dim: int, k: int):
-        self.ids, self.dim, self.k = np.frombuffer(row["qids"], np.int64), dim, k
-        self.rows, self.least = np.frombuffer(row["qrows"]).reshape(-1, dim), np.frombuffer(row["least"]).copy()
-        self.norm = np.sqrt((self.rows**2).sum(axis=1))
-        self.best = [(np.zeros(0, np.int64), np.zeros(0))] * len(self.ids)
-
-    def meet(self, row: dict) -> None:
-        """Look at a range, unless its centre and radius say that it holds nothing good enough."""
-        ids, x, k = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rows"]).reshape(-1, self.dim), self.k
-        bound = self.rows @ np.frombuffer(row["centre"]) + self.norm * row["radius"]
-        some = np.flatnonzero(bound >= self.least - _SLACK)
-        for s, i in zip(self.rows[some] @ x.T, some):
-            s[ids == self.ids[i]] = -np.inf
-            floor = self.least[i]
-            if len(s) > k:
-                floor = max(floor, np.partition(s, len(s) - k)[len(s) - k])
-            hit = np.flatnonzero((s >= floor - _SLACK) & (s > -np.inf))
-            if not len(hit):
-                continue
-            found = np.concatenate([self.best[i][0], ids[hit]])
-            score = np.concatenate([self.best[i][1], _dots(self.rows[i], x[hit])])
-            top = _top(found, score, k)
-            self.best[i] = found[top], score[top]
-            if len(top) == k:
-                self.least[i] = max(self.least[i], score[top[-1]])
-
-    def kept(self) -> pa.RecordBatch:
-        n = [len(b[0]) for b in self.best]
-        columns = [np.repeat(self.ids, n), *(np.concatenate([b[j] for b in self.best]) if n else np.zeros(0) for j in (0, 1))]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1].astype(np.int64)), pa.array(columns[2])], names=["query_id", "vec_id", "score"])
-
-
-def _by_curve(batches, block: int):
-    """A sorted partition as tables of one curve and of at most about two blocks of rows."""
-    held, rows = [], 0
-
-    def cuts(t: pa.Table):
-        curve = np.asarray(t.column("curve"))
-        at = [0, *(np.flatnonzero(np.diff(curve)) + 1).tolist(), len(curve)]
-        for a, b in zip(at, at[1:]):
-            parts = max(1, (b - a) // block)
-            step = -(-(b - a) // parts) if b > a else 1
-            for i in range(a, b, step):
-                yield t.slice(i, min(step, b - i)).combine_chunks()
-
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= 2 * block:
-            yield from cuts(pa.Table.from_batches(held))
-            held, rows = [], 0
-    if rows:
-        yield from cuts(pa.Table.from_batches(held))
+    return near.withColumn("rank", F.dense_rank().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").distinct()
+
+
+def _edges(rows: DataFrame, curves: int, ranges: int, least: int) -> list[list[int]]:
+    """Each curve's places between its ranges: its quantiles, each once; ranges * curves numbers at most."""
+    parts = min(ranges, rows.count() // least)
+    if parts < 2:
+        return [[] for _ in range(curves)]
+    shares = [i / parts for i in range(1, parts)]
+    found = rows.select(F.posexplode("at").alias("curve", "place")).groupBy("curve").agg(F.percentile_approx("place", shares, 10000).alias("edges")).collect()
+    by_curve = {r.curve: sorted(set(r.edges)) for r in found}
+    return [by_curve[c] for c in range(curves)]
 
 
 def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
