@@ -4,7 +4,6 @@ read again as the next stage's docs.  All but the last return the columns of doc
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lithograph.llm import jaccard, langid, packing, secrets_scan, substrings
 from lithograph.llm.common import small_batches, table
+from lithograph.operators.state import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -70,9 +70,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the folder of spark.checkpoint.dir and read again."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpus-")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents, each written to the folder of spark.checkpoint.dir and read again.
+
+    A null doc_id is a key like others, a null text counts as without a letter and goes in the first stage, an empty
+    table gives no rows, and columns beyond those of documents are not carried.  Without that folder a cluster raises.
+    """
+    folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{i}-{name}"
