@@ -67,14 +67,14 @@ def suffix_array(words: np.ndarray, stop: np.ndarray, depth: int) -> tuple[np.nd
     """
     n = len(words)
     _, rank = np.unique(words, return_inverse=True)
-    ranks, span = [rank.astype(np.int64) + 1], 1
+    ranks, span = [rank.astype(np.int32) + 1], 1
     at = np.arange(n)
     while span < depth:
         after = np.zeros(n, np.int64)
         inside = at + span < stop
         after[inside] = ranks[-1][at[inside] + span]
-        _, rank = np.unique(ranks[-1] * (n + 2) + after, return_inverse=True)
-        ranks.append(rank.astype(np.int64) + 1)
+        _, rank = np.unique(ranks[-1].astype(np.int64) * (n + 2) + after, return_inverse=True)
+        ranks.append(rank.astype(np.int32) + 1)
         span *= 2
     order = np.argsort(ranks[-1], kind="stable")
     common = np.zeros(max(0, n - 1), np.int64)
@@ -247,14 +247,36 @@ def _unpacked(packets: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return chunk, np.concatenate(heads), np.concatenate(words)
 
 
-def later_suffixes(chunk: np.ndarray, head: np.ndarray, words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def slices(head: np.ndarray, most_words: int) -> list[np.ndarray]:
+    """The runs in slices of whole groups: those that begin within the same most_words words of the runs in order of groups."""
+    order = np.argsort(head["group"], kind="stable")
+    group, size = head["group"][order], head["words"][order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(order) else order
+    before = (np.cumsum(size) - size)[first]
+    return np.split(order, first[np.flatnonzero(np.diff(before // most_words)) + 1])
+
+
+def later_suffixes(chunk: np.ndarray, head: np.ndarray, words: np.ndarray, window: int, most_words: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """(chunk, window's number there) of the suffixes that have an earlier one below a node of depth `window` or more.
 
-    The runs are those of whole groups; each group has a tree of its own, as a suffix begins with its group's number.
+    The runs are those of whole groups; each group has a tree of its own, as a suffix begins with its group's number.  Trees are
+    built for about most_words words at a time, or for a group that is larger alone.
     """
     size = head["words"].astype(np.int64)
+    begin = np.cumsum(size) - size
+    parts = []
+    for mine in slices(head, most_words):
+        n = size[mine]
+        at = np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        parts.append(_later(chunk[mine], head[mine], words[at], window))
+    return np.concatenate([c for c, _ in parts]), np.concatenate([a for _, a in parts])
+
+
+def _later(chunk: np.ndarray, head: np.ndarray, words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """later_suffixes of one slice."""
+    size = head["words"].astype(np.int64)
     end = np.cumsum(size)
-    # one suffix array for all groups of the bucket: words of different groups are kept apart by their groups
+    # one suffix array for all groups of the slice: words of different groups are kept apart by their groups
     _, group = np.unique(head["group"], return_inverse=True)
     _, word = np.unique(words, return_inverse=True)
     owner = np.repeat(np.arange(len(head)), size)

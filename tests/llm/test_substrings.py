@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lithograph.llm.substrings import _chunks, deep_nodes, repeats, suffix_array
+from lithograph.llm.substrings import _RUN, _chunks, deep_nodes, later_suffixes, repeats, slices, suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -126,3 +126,16 @@ def test_very_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[20_000:50_000])), (3, "x" * 300_000)]
     got = {r.doc_id: r for r in check(spark, rows, 20, 1 << 20)}
     assert got[2].n_removed == 30_000 and got[1].n_removed == 0
+
+
+def test_slices_hold_whole_groups_and_change_nothing():
+    draw = np.random.default_rng(3)
+    head = np.zeros(60, _RUN)
+    head["group"], head["windows"], head["at"] = draw.integers(0, 9, 60), 3, np.arange(60) * 3
+    head["words"], head["key"] = head["windows"] + 3, draw.integers(0, 5, 60)
+    words, chunk = draw.integers(0, 3, 360).astype(np.uint64), draw.integers(0, 4, 60)
+    found = [sorted(zip(*(x.tolist() for x in later_suffixes(chunk, head, words, 4, most)))) for most in (1, 50, 1 << 18)]
+    assert found[0] == found[1] == found[2] and found[0]
+    parts = [set(head["group"][p].tolist()) for p in slices(head, 50)]
+    assert len(parts) > 1 and sum(map(len, parts)) == len(set.union(*parts))
+    assert all(len(x) == 0 for x in later_suffixes(chunk[:0], head[:0], words[:0], 4))
