@@ -15,8 +15,8 @@ import pyarrow as pa
 import xxhash
 
 _U = np.uint64
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 NARROW, WIDE = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
@@ -67,26 +67,34 @@ def run_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int)
     return (total[end] - total[start]) * back[start]
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The hash of each word from start to end; data has the words' bytes alone.  Distinct words are told apart by their bytes."""
+def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(code of each word from start to end, the distinct words); data has the words' bytes alone."""
     if not len(start):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), []
     at = np.zeros(len(start) + 1, np.int64)
     np.cumsum(end - start, out=at[1:])
     column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(data)])
     coded = column.dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[np.asarray(coded.indices)]
+    return np.asarray(coded.indices), coded.dictionary.to_pylist()
 
 
-def split(texts: pa.Array, lower: bool = False) -> Words:
-    """The words of each text; a null text has none."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each word from start to end; data has the words' bytes alone.  Distinct words are told apart by their bytes."""
+    codes, words = word_codes(data, start, end)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[codes]
+
+
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all texts' bytes side by side, where each begins and the end); a null text has none."""
     texts = texts.fill_null("").cast(pa.large_string())
     offset = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     body = texts.buffers()[2] if len(texts) else None
     raw = np.frombuffer(body, dtype=np.uint8)[offset[0] : offset[-1]] if body is not None and offset[-1] > offset[0] else np.zeros(0, np.uint8)
-    offset = offset - offset[0]
-    inside = ~_BLANK[raw]
+    return raw, offset - offset[0]
+
+
+def bounds(inside: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each run of bytes inside words; texts begin at offset and no run crosses from one to the next."""
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     heads = offset[:-1][np.diff(offset) > 0]
@@ -96,8 +104,15 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     ends[:-1] &= ~inside[1:]
     tails = offset[1:][np.diff(offset) > 0] - 1
     ends[tails] = inside[tails]
-    end = np.flatnonzero(ends) + 1
-    return Words(raw, start, end, np.searchsorted(start, offset), offset, word_hashes(_LOWER[raw[inside]] if lower else raw[inside], start, end))
+    return start, np.flatnonzero(ends) + 1
+
+
+def split(texts: pa.Array, lower: bool = False) -> Words:
+    """The words of each text; a null text has none."""
+    raw, offset = raw_bytes(texts)
+    inside = ~_BLANK[raw]
+    start, end = bounds(inside, offset)
+    return Words(raw, start, end, np.searchsorted(start, offset), offset, word_hashes(LOWER[raw[inside]] if lower else raw[inside], start, end))
 
 
 def runs(w: Words, k: int, base: int = NARROW) -> tuple[np.ndarray, np.ndarray]:
