@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from lithograph.functions.scalars import entity_id, package_name, package_parent
 from lithograph.operators import catalog
 from lithograph.operators.state import cut
+from lithograph.sources import syntax
 
 #: Comments, text blocks, strings, characters, names, numbers, operators of two and more signs, line ends, any other sign.
 #: Possessive, as Java's matcher would else go one call deeper for each escape.
 TOKEN = (
     r"/\*[\s\S]*?\*/|//[^\n]*|" + '"""[\\s\\S]*?"""|' + r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|' + r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|"
-    r"[\p{L}_$][\p{L}\p{N}_$]*|\d[\w.]*|->|::|&&|\|\||\+\+|--|>>>=|<<=|>>=|[-+*/%&|^!=<>]=|\.\.\.|\n|\S"
+    r"[\p{L}_$][\p{L}\p{N}_$]*|\.?\d[\w.]*|->|::|&&|\|\||\+\+|--|>>>=|<<=|>>=|[-+*/%&|^!=<>]=|\.\.\.|\n|\S"
 )
 #: Fixed values of the language.
 MODIFIERS = frozenset("public protected private static abstract final native synchronized transient volatile strictfp default sealed non".split())
@@ -54,15 +55,6 @@ def tokens(files: DataFrame) -> DataFrame:
     return code.withColumn("lvl", depth + (F.col("tok") == "}").cast("int")).withColumn("paren", paren)
 
 
-def parsed_files(files: DataFrame, code: DataFrame) -> DataFrame:
-    """(path, ok): a file is right where its braces and parentheses close and every quote ends."""
-    ends = code.withColumn("last", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("k"))) == 1)
-    depth = F.col("lvl") - (F.col("tok") == "}").cast("int")
-    bad = (F.col("paren") < 0) | (depth < 0) | F.col("tok").isin('"', "'") | (F.col("last") & ((depth != 0) | (F.col("paren") != 0)))
-    wrong = ends.groupBy("path").agg(F.bool_or(bad).alias("wrong"))
-    return files.select("path").join(wrong, "path", "left").select("path", (~F.coalesce("wrong", F.lit(False))).alias("ok"))
-
-
 # --- the inside of a member --------------------------------------------------------------------------------------
 
 
@@ -119,8 +111,9 @@ def _declared(toks: list[str]) -> tuple[list[str], list[str]]:
 
 
 def _type_names(toks: list[str]) -> list[str]:
-    """The simple names of a list of types."""
-    return [[t for t in (x[: x.index("<")] if "<" in x else x) if t.isidentifier()][-1] for x in _split(toks)]
+    """The simple names of a list of types; a part without a name gives none."""
+    names = [[t for t in (x[: x.index("<")] if "<" in x else x) if t.isidentifier()] for x in _split(toks)]
+    return [n[-1] for n in names if n]
 
 
 def type_header(toks: list[str]) -> dict | None:
@@ -276,7 +269,7 @@ def extract(files: DataFrame) -> dict[str, DataFrame]:
     with errors give no rows.  Null or empty content gives no rows and is no error.
     """
     every = cut(tokens(files))
-    status = parsed_files(files, every)
+    status = syntax.parsed(files, every)
     code = every.join(status.where("ok").select("path"), "path", "left_semi")
     file = Window.partitionBy("path").orderBy("k")
     # statements end at ; { } outside parentheses; a block's header is the statement that its brace ends
