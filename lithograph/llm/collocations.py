@@ -1,6 +1,6 @@
 """Operator 13, phrases by vertical positional lists: each word and phrase has the list of the places where it occurs.
 
-Texts are dealt into chunks.  In a chunk each word has a list of positions; pieces are kept apart by a gap in the numbering.  A phrase
+Texts are dealt into chunks, and each chunk's words are numbered once and kept as numbers.  In a chunk each word has a list of positions; pieces are kept apart by a gap in the numbering.  A phrase
 becomes longer by one word by merging its list with the words' own: where a word stands at the position behind an occurrence, the
 two join, and the occurrences that go on with one word are the longer phrase's list.  The length of the list is its exact
 frequency in the chunk.  Chunks send lengths to buckets by phrase, where they are added; what occurs often enough gets a
@@ -29,8 +29,12 @@ _FREQUENT = "level int, id long, before long, word long, f long, lang string, te
 #: Packets: a word or phrase of a chunk with its place in the chunk's list and its frequency there.
 _WORD = np.dtype([("at", "<u4"), ("n", "<u4"), ("size", "<u4")])
 _PHRASE = np.dtype([("before", "<i8"), ("word", "<i8"), ("at", "<u4"), ("n", "<u4")])
+#: A chunk's words: each one's distance in position from the one before it (1, or 2 over a gap), and its place in the chunk's list of words.
+_CODED = np.dtype([("step", "<u1"), ("place", "<u4")])
 #: Replies: the number that a frequent one got.
 _KNOWN = np.dtype([("at", "<u4"), ("id", "<i8")])
+#: The bucket of a chunk's own words.
+_WHOLE = -1
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 _APART = _BREAK.copy()
@@ -39,7 +43,7 @@ _APART[[0x20, 9]] = True
 
 def squeezed(entries: np.ndarray, rest: bytes = b"") -> bytes:
     """Entries, like bytes of all of them side by side, and any bytes behind, compressed."""
-    rows = np.ascontiguousarray(entries).view(np.uint8).reshape(len(entries), -1)
+    rows = np.ascontiguousarray(entries).view(np.uint8).reshape(len(entries), entries.dtype.itemsize)
     return np.array([len(entries)], "<i8").tobytes() + zstandard.ZstdCompressor(level=1).compress(rows.T.tobytes() + rest)
 
 
@@ -47,7 +51,7 @@ def loosened(data: bytes, kind: np.dtype) -> tuple[np.ndarray, bytes]:
     n = int(np.frombuffer(data, "<i8", 1)[0])
     raw = zstandard.ZstdDecompressor().decompress(data[8:])
     size = n * kind.itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, size).reshape(kind.itemsize, n).T).reshape(-1).view(kind), raw[size:]
+    return np.frombuffer(raw, np.uint8, size).reshape(kind.itemsize, n).T.copy(order="C").reshape(-1).view(kind), raw[size:]
 
 
 def _key(lang: str) -> bytes:
@@ -61,8 +65,17 @@ def _read(key: bytes) -> tuple[str, str]:
     return key[4:n].decode(), key[n:].decode()
 
 
-class Lists:
-    """A chunk's positional lists: of all its words, then of longer and longer phrases."""
+def _steps(values: np.ndarray) -> np.ndarray:
+    """What each value adds to the one before it: values that rise become small."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def _sums(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=steps.dtype)
+
+
+class Vocabulary:
+    """A chunk's words: keys (language and word), how often each occurs, and every word's position and place among the keys."""
 
     def __init__(self, rows: pa.Table):
         text = rows.column("t").combine_chunks()
@@ -86,10 +99,24 @@ class Lists:
         place = np.empty(len(keys), np.int64)
         place[order] = np.arange(len(keys))
         self.keys = [keys[i] for i in order]
-        self.words = (position, place[code] if len(code) else code)
-        self.counts = np.bincount(self.words[1], minlength=len(keys)).astype(np.int64)
+        self.position, self.place = position, place[code] if len(code) else code
+        self.counts = np.bincount(self.place, minlength=len(keys)).astype(np.int64)
+
+    def coded(self) -> bytes:
+        out = np.empty(len(self.place), _CODED)
+        out["step"], out["place"] = _steps(self.position), self.place
+        return squeezed(out)
+
+
+class Lists:
+    """A chunk's positional lists: of all its words, then of longer and longer phrases."""
+
+    def __init__(self, coded: bytes):
+        words, _ = loosened(coded, _CODED)
+        place = words["place"].astype(np.int64)
+        self.here = np.cumsum(words["step"], dtype=np.int64), place
+        self.counts = np.zeros(int(place.max(initial=-1)) + 1, np.int64)
         self.level = 1
-        self.here = self.words
 
     def name(self, known: np.ndarray) -> None:
         """Keep the frequent ones of the current lists, under the numbers they got."""
@@ -131,13 +158,13 @@ def _dealt(bucket: np.ndarray, chunk: int, pack) -> pa.Table:
     return pa.table([pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), pa.array([chunk] * len(parts), pa.int64()), pa.array([pack(p) for p in parts], pa.binary())], names=["bucket", "chunk", "data"])
 
 
-def _word_packets(chunk: int, lists: Lists, buckets: int) -> pa.Table:
+def _word_packets(chunk: int, lists: Vocabulary, buckets: int) -> pa.Table:
     bucket = np.fromiter((xxhash.xxh3_64_intdigest(k) % buckets for k in lists.keys), np.int64, len(lists.keys))
 
     def pack(places: np.ndarray) -> bytes:
         out = np.empty(len(places), _WORD)
         keys = [lists.keys[i] for i in places.tolist()]
-        out["at"], out["n"], out["size"] = places, lists.counts[places], [len(k) for k in keys]
+        out["at"], out["n"], out["size"] = _steps(places), lists.counts[places], [len(k) for k in keys]
         return squeezed(out, b"".join(keys))
 
     return _dealt(bucket, chunk, pack)
@@ -148,7 +175,7 @@ def _phrase_packets(chunk: int, pairs: np.ndarray, counts: np.ndarray, buckets:
 
     def pack(places: np.ndarray) -> bytes:
         out = np.empty(len(places), _PHRASE)
-        out["before"], out["word"], out["at"], out["n"] = pairs[places, 0], pairs[places, 1], places, counts[places]
+        out["before"], out["word"], out["at"], out["n"] = _steps(pairs[places, 0]), pairs[places, 1], _steps(places), counts[places]
         return squeezed(out)
 
     return _dealt((mixed % np.uint64(buckets)).astype(np.int64), chunk, pack)
@@ -160,14 +187,22 @@ def _replies(chunk: np.ndarray, at: np.ndarray, ids: np.ndarray, level: int) ->
     data = []
     for p in parts:
         out = np.empty(len(p), _KNOWN)
-        out["at"], out["id"] = at[p], ids[p]
+        out["at"], out["id"] = _steps(at[p]), _steps(ids[p])
         data.append(squeezed(out))
     return pa.table([pa.array([int(chunk[p[0]]) for p in parts], pa.int64()), pa.array([level] * len(parts), pa.int32()), pa.array(data, pa.binary())], names=["chunk", "level", "data"])
 
 
+def _summed(entries: np.ndarray, *columns: str) -> np.ndarray:
+    """Entries whose columns came as steps, with their values."""
+    for c in columns:
+        if c in entries.dtype.names:
+            entries[c] = _sums(entries[c])
+    return entries
+
+
 def _added(packets: pa.Table, kind: np.dtype):
     """(chunk of each entry, entries, the bytes behind each packet's)."""
-    got = [loosened(d, kind) for d in packets.column("data").to_pylist()]
+    got = [(_summed(e, "at", "before"), rest) for e, rest in (loosened(d, kind) for d in packets.column("data").to_pylist())]
     chunk = np.repeat(np.asarray(packets.column("chunk"), dtype=np.int64), [len(e) for e, _ in got])
     return chunk, np.concatenate([e for e, _ in got]) if got else np.zeros(0, kind), [b for _, b in got]
 
@@ -226,7 +261,9 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, text: s
     dealt = bare.select("lang", "t", F.pmod(F.xxhash64("k", "t", "lang"), F.lit(buckets)).alias("chunk"))
 
     def words(name: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        return _word_packets(name[0].as_py(), Lists(rows), buckets)
+        chunk, v = name[0].as_py(), Vocabulary(rows)
+        whole = pa.table([pa.array([_WHOLE], pa.int64()), pa.array([chunk], pa.int64()), pa.array([v.coded()], pa.binary())], names=["bucket", "chunk", "data"])
+        return pa.concat_tables([whole, _word_packets(chunk, v, buckets)])
 
     def longer(level: int):
         def run(name: tuple[pa.Scalar, ...], rows: pa.Table, replies: pa.Table) -> pa.Table:
@@ -234,8 +271,8 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, text: s
             if rows.num_rows and replies.num_rows:
                 known: dict[int, list] = {}
                 for of, data in zip(replies.column("level").to_pylist(), replies.column("data").to_pylist()):
-                    known.setdefault(of, []).append(loosened(data, _KNOWN)[0])
-                lists = Lists(rows)
+                    known.setdefault(of, []).append(_summed(loosened(data, _KNOWN)[0], "at", "id"))
+                lists = Lists(rows.column("data")[0].as_py())
                 for of in range(1, level):
                     lists.name(np.concatenate(known.get(of, [np.zeros(0, _KNOWN)])))
                     pairs = lists.extend()
@@ -273,11 +310,12 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, text: s
 
         return run
 
-    packets = dealt.groupBy("chunk").applyInArrow(words, _PACKET)
+    first = cut(dealt.groupBy("chunk").applyInArrow(words, _PACKET))
+    coded, packets = first.where(F.col("bucket") == _WHOLE).select("chunk", "data"), first.where(F.col("bucket") != _WHOLE)
     found = packets.groupBy("bucket").applyInArrow(listed(1), _FREQUENT)
     known = packets.groupBy("bucket").applyInArrow(told(1), _REPLY)
     for level in range(2, longest + 1):
-        packets = dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(longer(level), _PACKET)
+        packets = coded.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(longer(level), _PACKET)
         found = found.union(packets.groupBy("bucket").applyInArrow(listed(level), _FREQUENT))
         if level < longest:
             known = known.union(packets.groupBy("bucket").applyInArrow(told(level), _REPLY))
