@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithograph.functions import scalars as S
-from lithograph.operators import catalog, graph, history, impact, inconsistency, maintenance, search
+from lithograph.operators import catalog, graph, history, impact, inconsistency, maintenance, reports, search
 from lithograph.operators.state import cut
 from lithograph.plans.registry import query, table
 from lithograph.sources import java
@@ -355,6 +357,48 @@ def body_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inconsistency.body_classes(document_methods(spark, sf_dir))
 
 
+def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as the entities of all four passes: methods of their brand with the type as body, and fields that have the brand as type."""
+    part = table(spark, sf_dir, "part")
+    methods = part_methods(spark, sf_dir).join(part.select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("declaring_type_fqn"), F.col("p_type").alias("body_hash")), "ord")
+    fields = part.select(F.col("p_partkey").alias("ord"), F.concat(F.lit("f."), F.col("p_partkey").cast("string")).alias("fqn"), F.col("p_name").alias("simple_name"), F.col("p_brand").alias("field_type"))
+    return reports.members(methods, fields)
+
+
+_ALIKE = "1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))"
+_REPORTS = f"""WITH m AS (SELECT p_brand || '.' || p_name || '#' || p_partkey AS fqn, p_partkey AS ord, * FROM part), n AS (SELECT DISTINCT p_name FROM part), s AS (
+    SELECT a.p_name AS n1, b.p_name AS n2, levenshtein(a.p_name, b.p_name) AS d, {_ALIKE} AS score FROM n a, n b WHERE {_SIMILAR.format(a="a.p_name", b="b.p_name")}
+  ), r AS (SELECT 1.0::DOUBLE AS similarity_score, 'DIVERGENT_SIGNATURE' AS kind, a.fqn AS entity1_fqn, b.fqn AS entity2_fqn, rtrim('Method ''' || a.p_name || ''' has divergent signature: '
+         || CASE WHEN a.p_type <> b.p_type THEN 'return type (' || a.p_type || ' vs ' || b.p_type || ') ' ELSE '' END
+         || CASE WHEN a.p_size <> b.p_size THEN 'param count (' || a.p_size || ' vs ' || b.p_size || ')' ELSE '' END) AS reason
+         FROM m a JOIN m b ON a.p_name = b.p_name AND a.ord < b.ord WHERE a.p_type <> b.p_type OR a.p_size <> b.p_size
+    UNION ALL SELECT score, 'SIMILAR_NAME', a.fqn, b.fqn, 'Names differ by ' || d || ' edit(s); bodies diverge' FROM s JOIN m a ON a.p_name = n1 JOIN m b ON b.p_name = n2 AND a.ord < b.ord WHERE d > 0 AND a.p_type <> b.p_type
+    UNION ALL SELECT score, 'SIMILAR_NAME', 'f.' || a.ord, 'f.' || b.ord, 'Field names similar (dist=' || d || ') but types differ: ' || a.p_brand || ' vs ' || b.p_brand FROM s JOIN m a ON a.p_name = n1 JOIN m b ON b.p_name = n2 AND a.ord < b.ord WHERE a.p_brand <> b.p_brand
+    UNION ALL SELECT 0.95, 'SIMILAR_BODY', a.fqn, b.fqn, '{inconsistency.SAME_BODY}' FROM m a JOIN m b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_name <> b.p_name AND a.ord < b.ord)"""
+
+
+@query("report_sizes", f"{_REPORTS} SELECT kind, count(*) AS pairs FROM r GROUP BY kind")
+def report_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs the report has of each kind, from its groups."""
+    return reports.count(reports.groups(reported(spark, sf_dir))).select("kind", "pairs")
+
+
+@query("report_first", f"{_REPORTS} SELECT * FROM r ORDER BY similarity_score DESC, kind, entity1_fqn, entity2_fqn, reason LIMIT 200")
+def report_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 of the whole report, over all four passes."""
+    rows = reported(spark, sf_dir)
+    return reports.first(cut(reports.groups(rows)), rows).select("entity1_fqn", "entity2_fqn", "kind", "reason", "similarity_score")
+
+
+@query("report_first_of_kind", f"{_REPORTS} SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY kind ORDER BY similarity_score DESC, entity1_fqn, entity2_fqn, reason) <= 200")
+def report_first_of_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 of each kind."""
+    rows = reported(spark, sf_dir)
+    found = cut(reports.groups(rows))
+    kinds = [reports.first(found, rows, kind=kind) for kind in ("DIVERGENT_SIGNATURE", "SIMILAR_NAME", "SIMILAR_BODY")]
+    return reduce(DataFrame.unionByName, kinds).select("entity1_fqn", "entity2_fqn", "kind", "reason", "similarity_score")
+
+
 # --- history ---------------------------------------------------------------------------------------------------
 
 

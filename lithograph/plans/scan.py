@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithograph.functions import model
-from lithograph.operators import graph, history, inconsistency, maintenance, search
+from lithograph.operators import catalog, graph, history, maintenance, reports, search
 from lithograph.sources import git, java
 
 
@@ -45,8 +45,7 @@ def publish(spark: SparkSession, files: DataFrame, store: str, repository: str |
     for name, rows in (raw | {"packages": found["packages"]}).items():
         _stored(rows, name).write.parquet(f"{folder}/{name}")
     # reports and the index see every row that was found, the stored tables the last of each id
-    methods = raw["methods"].withColumn("parameter_count", F.size("parameters"))
-    _stored(inconsistency.detect(methods, raw["fields"]), "inconsistencies").write.parquet(f"{folder}/inconsistencies")
+    reports.groups(_report_members(raw["methods"], raw["fields"])).write.parquet(f"{folder}/report_groups")
     search.documents(raw["types"], raw["methods"], raw["fields"]).write.parquet(f"{folder}/search")
     members = [raw[n].select("fqn", "declaring_type_fqn", "start_line", F.col("end_line") if n == "methods" else F.col("start_line").alias("end_line")) for n in ("methods", "fields")]
     own = raw["types"].select("fqn", F.col("fqn").alias("declaring_type_fqn"), "start_line", "end_line")
@@ -70,12 +69,44 @@ def _newest(spark: SparkSession, store: str):
     return spark.read.parquet(f"{store}/snapshots").orderBy(F.desc("turn"), "folder").first()
 
 
-def load(spark: SparkSession, store: str, name: str) -> DataFrame:
-    """A table (or `search`) of the newest snapshot; ValueError before the first scan."""
+def _report_members(methods: DataFrame, fields: DataFrame) -> DataFrame:
+    return reports.members(methods.withColumn("parameter_count", F.size("parameters")), fields)
+
+
+def _folder(spark: SparkSession, store: str) -> str:
     newest = _newest(spark, store)
     if newest is None:
         raise ValueError(f"no snapshot in {store}")
-    return spark.read.parquet(f"{newest.folder}/{name}")
+    return newest.folder
+
+
+def load(spark: SparkSession, store: str, name: str) -> DataFrame:
+    """A table (or `search`, or `report_groups`) of the newest snapshot; ValueError before the first scan.
+
+    Inconsistencies are stored as groups: all their pairs are worked out when they are loaded.
+    """
+    folder = _folder(spark, store)
+    if name == "inconsistencies":
+        pairs = reports.expand(spark.read.parquet(f"{folder}/report_groups"), _members_of(spark, folder))
+        return pairs.select(*(F.col(f.name).cast(f.dataType) for f in model.TABLES[name]))
+    return spark.read.parquet(f"{folder}/{name}")
+
+
+def _members_of(spark: SparkSession, folder: str) -> DataFrame:
+    return _report_members(spark.read.parquet(f"{folder}/raw/methods"), spark.read.parquet(f"{folder}/raw/fields"))
+
+
+def first_reports(spark: SparkSession, store: str, limit: int = 200, kind: str | None = None) -> DataFrame:
+    """The first inconsistencies of the newest snapshot in the report's order, of one kind or all, without making the others."""
+    folder = _folder(spark, store)
+    return reports.first(spark.read.parquet(f"{folder}/report_groups"), _members_of(spark, folder), limit, kind)
+
+
+def statistics(spark: SparkSession, store: str) -> DataFrame:
+    """(table_name, n) of what the statistics count; inconsistencies by their groups' numbers of pairs."""
+    tables = {n: load(spark, store, n) for n in model.COUNTED if n != "inconsistencies"}
+    found = load(spark, store, "report_groups").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("n"))
+    return catalog.counts(tables).unionByName(found.select(F.lit("inconsistencies").alias("table_name"), "n"))
 
 
 def call_edges(spark: SparkSession, store: str) -> DataFrame:
