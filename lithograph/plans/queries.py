@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithograph.functions import scalars as S
-from lithograph.operators import catalog, graph, history, impact, inconsistency, maintenance, reports, search
-from lithograph.operators.state import cut
+from lithograph.operators import catalog, graph, history, impact, inconsistency, index, maintenance, reports, search
+from lithograph.operators.state import cut, shared_folder
 from lithograph.plans.registry import query, table
 from lithograph.sources import java
 
@@ -648,15 +649,15 @@ def signs_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+(\.[\p{L}\p{N}_]+)*')"
 
 
-@query(
-    "ranked_search",
-    f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), q AS (SELECT item_id AS query_id, unnest(list_distinct({_WORDS})) AS token FROM benchmark),
+_RANKED = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), q AS (SELECT item_id AS query_id, unnest(list_distinct({_WORDS})) AS token FROM benchmark),
         t AS (SELECT doc_id, len(w) AS size, unnest(w) AS token FROM d), h AS (SELECT doc_id, size, token, count(*) AS tf FROM t WHERE token IN (SELECT token FROM q) GROUP BY ALL),
         f AS (SELECT token, count(*) AS df FROM h GROUP BY 1), a AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
         s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score
         FROM h JOIN f USING (token) JOIN q USING (token), a GROUP BY 1, 2)
-        SELECT query_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 30""",
-)
+        SELECT query_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 30"""
+
+
+@query("ranked_search", _RANKED)
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole benchmark text against the documents: its 30 best."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -665,6 +666,35 @@ def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(best)).where("place <= 30").drop("place")
 
 
+def _built(spark: SparkSession) -> str:
+    """A new folder for an index, in the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+
+
+@query("index_search", f"{_SEARCHED}, x AS (SELECT *, {_STARTS} AS score FROM d WHERE {_STARTS} > 0) {_HITS}")
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """prefix_search from a stored index, which reads the shards that can still bring a hit."""
+    path = _built(spark)
+    index.write_entities(searched_parts(spark, sf_dir), path)
+    return index.search_entities(spark, path, "Bo").select("id", "kind", "fqn", "score")
+
+
+@query("index_terms_search", f"{_SEARCHED}, x AS (SELECT *, {_STARTS} + {_EQUALS} AS score FROM d WHERE {_STARTS} > 0 AND {_EQUALS} > 0) {_HITS}")
+def index_terms_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _built(spark)
+    index.write_entities(searched_parts(spark, sf_dir), path)
+    return index.search_entities(spark, path, "brand Bo").select("id", "kind", "fqn", "score")
+
+
+@query("index_ranked_search", _RANKED)
+def index_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ranked_search from a stored index of the documents."""
+    path = _built(spark)
+    index.write_texts(table(spark, sf_dir, "documents"), path)
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return index.search_texts(spark, path, queries, 30, digits=6).select("query_id", "doc_id", "score")
+
+
 # --- extraction ------------------------------------------------------------------------------------------------
 
 

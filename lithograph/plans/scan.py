@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithograph.functions import model
-from lithograph.operators import catalog, graph, history, maintenance, reports, search
+from lithograph.operators import catalog, graph, history, index, maintenance, reports, search
 from lithograph.sources import git, java
 
 
@@ -46,7 +46,7 @@ def publish(spark: SparkSession, files: DataFrame, store: str, repository: str |
         _stored(rows, name).write.parquet(f"{folder}/{name}")
     # reports and the index see every row that was found, the stored tables the last of each id
     reports.groups(_report_members(raw["methods"], raw["fields"])).write.parquet(f"{folder}/report_groups")
-    search.documents(raw["types"], raw["methods"], raw["fields"]).write.parquet(f"{folder}/search")
+    index.write_entities(search.documents(raw["types"], raw["methods"], raw["fields"]), f"{folder}/index")
     members = [raw[n].select("fqn", "declaring_type_fqn", "start_line", F.col("end_line") if n == "methods" else F.col("start_line").alias("end_line")) for n in ("methods", "fields")]
     own = raw["types"].select("fqn", F.col("fqn").alias("declaring_type_fqn"), "start_line", "end_line")
     entities = history.entity_files(members[0].unionByName(members[1]).unionByName(own).dropDuplicates(["fqn"]), raw["types"])
@@ -81,7 +81,7 @@ def _folder(spark: SparkSession, store: str) -> str:
 
 
 def load(spark: SparkSession, store: str, name: str) -> DataFrame:
-    """A table (or `search`, or `report_groups`) of the newest snapshot; ValueError before the first scan.
+    """A table (or `search`, the searched rows, or `report_groups`) of the newest snapshot; ValueError before the first scan.
 
     Inconsistencies are stored as groups: all their pairs are worked out when they are loaded.
     """
@@ -89,7 +89,12 @@ def load(spark: SparkSession, store: str, name: str) -> DataFrame:
     if name == "inconsistencies":
         pairs = reports.expand(spark.read.parquet(f"{folder}/report_groups"), _members_of(spark, folder))
         return pairs.select(*(F.col(f.name).cast(f.dataType) for f in model.TABLES[name]))
-    return spark.read.parquet(f"{folder}/{name}")
+    return spark.read.parquet(f"{folder}/index/docs").drop("shard") if name == "search" else spark.read.parquet(f"{folder}/{name}")
+
+
+def find(spark: SparkSession, store: str, text: str | None, limit: int = 30) -> DataFrame:
+    """The newest snapshot's entities that match a text, best first, from its index."""
+    return index.search_entities(spark, f"{_folder(spark, store)}/index", text, limit)
 
 
 def _members_of(spark: SparkSession, folder: str) -> DataFrame:

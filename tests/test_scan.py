@@ -69,6 +69,9 @@ def test_calls_impact_and_search(spark, store):
     assert {(r.method_fqn, r.role) for r in found} == {("shop.Desk.add(int)", "writer"), ("shop.Desk.note(int)", "reader"), ("shop.Desk.note(int)", "propagator")}
     hits = search.search(scan.load(spark, store, "search"), "writ").collect()
     assert {h.fqn for h in hits} >= {"shop.Log.write(int)", "shop.Log.write(int,int)"}
+    assert [tuple(h) for h in scan.find(spark, store, "writ").collect()] == [tuple(h) for h in hits]
+    assert [(r.kind, r.entity2_fqn) for r in scan.first_reports(spark, store).collect()] == [("DIVERGENT_SIGNATURE", "shop.Log.write(int,int)")]
+    assert {r.table_name: r.n for r in scan.statistics(spark, store).collect()} == {"packages": 1, "types": 2, "fields": 1, "methods": 4, "relationships": 4, "inconsistencies": 1}
 
 
 def test_history(spark, store, tree):
