@@ -10,6 +10,7 @@ the grammar's own word lists are fixed.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -122,7 +123,7 @@ def clause_score(classes: list[tuple[int, float]]) -> float:
 
 STEMS = range(4, 9)
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}'’_]+")
-_CLAUSE_END = ".!?;:\n"
+_CLAUSE_END = regex.compile(r"[.!?;:\n]")
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -152,11 +153,13 @@ class Scorer:
 
     def clauses(self, low: str) -> Iterator[str]:
         """The clauses, of the whole text, that hold an insult or threat; the others score nothing."""
-        done = -1
+        done, ends = -1, None
         for end, _ in self.finder.iter(low):
             if end > done:
-                a = max(low.rfind(x, 0, end) for x in _CLAUSE_END) + 1
-                b = min((i for x in _CLAUSE_END if (i := low.find(x, end)) >= 0), default=len(low))
+                if ends is None:
+                    ends = [m.start() for m in _CLAUSE_END.finditer(low)]
+                i = bisect_left(ends, end)
+                a, b = ends[i - 1] + 1 if i else 0, ends[i] if i < len(ends) else len(low)
                 done = b
                 yield low[a:b]
 

@@ -90,3 +90,12 @@ def test_composed_machine_against_the_transducers_run_apart():
     for _ in range(3000):
         clause = [(c, draw.choice([2.0, 5.0]) if c in (INSULT, THREAT) else 0.0) for c in (draw.choice([OTHER, OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT]) for _ in range(draw.randrange(1, 25)))]
         assert clause_score(clause) == pytest.approx(plain(clause))
+
+
+def test_many_clauses_take_linear_time():
+    import time
+
+    scorer = Scorer({"=idiot": 3.0})
+    began = time.process_time()
+    assert scorer.raw("idiot. " * 100_000) > 1000 and scorer.raw("idiot\n" + "word " * 300_000) > 0
+    assert time.process_time() - began < 20
