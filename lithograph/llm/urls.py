@@ -82,17 +82,41 @@ def resolved(url: Column, to: Column) -> Column:
     return F.when(path_of(whole) == "", whole).otherwise(F.concat(F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)", 1), _without_dots(path_of(whole)), rest))
 
 
+#: A tag with its attributes as HTML reads them: a > within a quoted value does not end it, and one that nothing ends takes the rest.
+_TAGS = r"""(?i)(<(?:link|meta|base)(?=[\s/])(?:[^>=]++|=\s*+(?:"[^"]*+"?|'[^']*+'?)?+)*+>?)"""
+_WHOLE = r"""(?i)^<[a-z]+(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+>$"""
+#: An attribute with a value: its name, and the value with its quotes.
+_ATTRIBUTE = r"""(?<![^\s"'<>/=])([^\s"'<>/=]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name, without quotes; null where there is none."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 1), F.lower)
+    value = F.get(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 2), F.array_position(names, name).cast("int") - 1)
+    return F.trim(F.regexp_replace(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"), "&(amp|#38|#x26);", "&"))
+
+
+def _worked_out(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once, however often what follows names them: they come out of a generator."""
+    return df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_")).select(*df.columns, "_.*")
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(source, target): each page's url and the url that a canonical link or a refresh in its html names."""
-    tags = pages.where("url is not null").select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"))).alias("tag"))
-    canonical = F.when(
-        F.col("tag").rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b"""), F.regexp_extract("tag", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    )
-    refresh = F.when(
-        F.col("tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("tag", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    )
-    to = F.regexp_replace(F.coalesce(canonical, refresh), "&(amp|#38|#x26);", "&")
-    return tags.select(F.col("url").alias("source"), resolved(F.col("url"), to).alias("target")).where("target <> ''")
+    """(source, target): each page's url and the url that a canonical link or a refresh in its html names.
+
+    rel is a list of words, names and attributes are found in any case, and references count from the page's first <base href>.
+    """
+    known = _worked_out(pages.where("url is not null").select("url", "html"), tags=F.filter(F.regexp_extract_all("html", F.lit(_TAGS), 1), lambda t: t.rlike(_WHOLE))).drop("html")
+    bases = F.filter(F.transform("tags", lambda t: F.when(t.rlike(r"(?i)^<base[\s/]"), _attribute(t, "href"))), lambda b: b != "")
+    known = _worked_out(known, first=F.get(bases, F.lit(0)))
+    known = _worked_out(known, base=F.coalesce(resolved(F.col("url"), F.col("first")), F.col("url")))
+    named = F.transform("tags", lambda t: F.when(t.rlike(r"(?i)^<link[\s/]"), F.struct(F.split(F.lower(_attribute(t, "rel")), r"\s+").alias("rel"), _attribute(t, "href").alias("to"))).when(
+        t.rlike(r"(?i)^<meta[\s/]"), F.struct(F.array(F.lower(_attribute(t, "http-equiv"))).alias("rel"), F.regexp_extract(_attribute(t, "content"), r"""(?i)(?:^|[\s;,])url\s*=\s*["']?([^"'\s]+)""", 1).alias("to"))
+    ))
+    tags = known.select("url", "base", F.explode(F.arrays_zip(named.alias("n"), F.col("tags").alias("t"))).alias("x"))
+    says = F.when(F.col("x.t").rlike("(?i)^<link"), F.array_contains("x.n.rel", "canonical")).otherwise(F.array_contains("x.n.rel", "refresh"))
+    found = tags.where(F.col("x.n").isNotNull() & says).select("url", "base", F.col("x.n.to").alias("to"))
+    return found.select(F.col("url").alias("source"), resolved(F.col("base"), F.col("to")).alias("target")).where("target <> ''")
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -132,30 +156,39 @@ _RULED = "CASE " + " ".join(
 _SQL_PARTS = r"""lower(split_part({u}, '://', 1)) AS scheme, contains({u}, '://') AS whole, translate(regexp_extract({u}[strpos({u}, '://') + 3:], '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract({u}[strpos({u}, '://') + 3:], '(?s)^[^/?#]*([^?#]*)', 1) AS path, regexp_extract({u}[strpos({u}, '://') + 3:], '(?s)^[^?#]*(\?[^#]*)', 1) AS query"""
 
+def _sql_resolved(name: str, rows: str) -> str:
+    """CTEs that end with `name`: (u, h, host, path, query) of what t names seen from the address a, for rows (u, h, a, t)."""
+    return rf"""{name}_r AS (SELECT u, h, a, t, regexp_extract(t, '^[^?#]*') AS rp, regexp_extract(t, '^[^?#]*(\?[^#]*)', 1) AS rq FROM {rows} WHERE t <> ''
+), {name}_b AS (SELECT a, {_SQL_PARTS.format(u="a")} FROM (SELECT DISTINCT a FROM {name}_r)
+), {name}_m AS (
+  SELECT u, h, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(t, '//') THEN NULL WHEN b.whole THEN b.host END AS host,
+    CASE WHEN starts_with(rp, '/') THEN rp WHEN rp = '' THEN b.path WHEN b.path = '' THEN '/' || rp ELSE regexp_extract(b.path, '(?s)^.*/') || rp END AS path,
+    CASE WHEN rp = '' AND rq = '' THEN b.query ELSE rq END AS query,
+    CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN contains(t, '://') THEN t END WHEN starts_with(t, '//') THEN 'x:' || t END AS other
+  FROM {name}_r r LEFT JOIN {name}_b b USING (a)
+), {name}_a AS (SELECT u, h, {_SQL_PARTS.format(u="other")} FROM {name}_m WHERE other IS NOT NULL
+), {name}_s AS (SELECT *, string_split(path[2:], '/') AS segments FROM (SELECT u, h, host, path, query FROM {name}_m WHERE other IS NULL UNION ALL SELECT u, h, host, path, query FROM {name}_a) WHERE host <> ''
+), {name} AS (
+  SELECT u, h, host, query, CASE WHEN path = '' THEN '/' WHEN NOT contains(path, '/.') THEN path ELSE '/' || array_to_string(kept, '/') || CASE WHEN segments[-1] IN ('.', '..') AND len(kept) > 0 THEN '/' ELSE '' END END AS path
+  FROM (SELECT *, list_reduce([CAST([] AS VARCHAR[])] || [[x] FOR x IN segments], lambda a, x: CASE WHEN x = ['..'] THEN a[:greatest(len(a) - 1, 0)] WHEN x = ['.'] THEN a ELSE a || x END) AS kept FROM {name}_s)
+)"""
+
+
 #: The same in SQL: the links of the html, resolved by RFC 3986's steps, who reaches whom, and the decision of what is reached.
 SQL = rf"""
 WITH RECURSIVE urls AS (SELECT DISTINCT url AS u FROM pages WHERE contains(url, '://')
 ), base AS (SELECT u, {_SQL_PARTS.format(u="u")} FROM urls
-), tags AS (SELECT DISTINCT url AS u, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL
-), named AS (
-  SELECT u, regexp_replace(CASE
-      WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-      WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END, '&(amp|#38|#x26);', '&', 'g') AS t FROM tags
-), refs AS (SELECT *, regexp_extract(t, '^[^?#]*') AS rp, regexp_extract(t, '^[^?#]*(\?[^#]*)', 1) AS rq FROM named WHERE t <> ''
-), merged AS (
-  SELECT r.u AS source, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(t, '//') THEN NULL ELSE b.host END AS host,
-    CASE WHEN starts_with(rp, '/') THEN rp WHEN rp = '' THEN b.path WHEN b.path = '' THEN '/' || rp ELSE regexp_extract(b.path, '(?s)^.*/') || rp END AS path,
-    CASE WHEN rp = '' AND rq = '' THEN b.query ELSE rq END AS query,
-    CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN contains(t, '://') THEN t END WHEN starts_with(t, '//') THEN 'x:' || t END AS other
-  FROM refs r LEFT JOIN base b ON b.u = r.u
-), absolute AS (SELECT source, {_SQL_PARTS.format(u="other")} FROM merged WHERE other IS NOT NULL
-), targets AS (SELECT source, host, path, query FROM merged WHERE other IS NULL UNION ALL SELECT source, host, path, query FROM absolute
-), split AS (SELECT *, string_split(path[2:], '/') AS segments FROM targets WHERE host <> ''
-), clean AS (
-  SELECT source, host, query, CASE WHEN path = '' THEN '/' WHEN NOT contains(path, '/.') THEN path ELSE '/' || array_to_string(kept, '/') || CASE WHEN segments[-1] IN ('.', '..') AND len(kept) > 0 THEN '/' ELSE '' END END AS path
-  FROM (SELECT *, list_reduce([CAST([] AS VARCHAR[])] || [[x] FOR x IN segments], lambda a, x: CASE WHEN x = ['..'] THEN a[:greatest(len(a) - 1, 0)] WHEN x = ['.'] THEN a ELSE a || x END) AS kept FROM split)
-), edges AS (
-  SELECT DISTINCT b.host || CASE WHEN b.path = '' THEN '/' ELSE b.path END || b.query AS s, c.host || c.path || c.query AS t FROM clean c JOIN base b ON b.u = c.source WHERE b.host <> ''
+), tag AS (SELECT DISTINCT url AS u, html AS h, unnest(regexp_extract_all(html, '(?is)<(?:link|meta|base)[\s/](?:[^>=]|=\s*"[^"]*"|=\s*''[^'']*''|=\s*[^\s"''>])*(?:=\s*)?>')) AS tag FROM pages WHERE url IS NOT NULL
+), att AS (SELECT u, h, strpos(h, tag) AS place, lower(regexp_extract(tag, '^<([A-Za-z]+)', 1)) AS kind,
+    [lower(x) FOR x IN regexp_extract_all(tag, '([^\s"''<>/=]+)\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>][^\s>]*)', 1)] AS names,
+    [trim(regexp_replace(CASE WHEN x[1] IN ('"', '''') THEN x[2:-2] ELSE x END, '&(amp|#38|#x26);', '&', 'g')) FOR x IN regexp_extract_all(tag, '([^\s"''<>/=]+)\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>][^\s>]*)', 2)] AS vals FROM tag
+), val AS (SELECT *, vals[list_position(names, 'href')] AS href, vals[list_position(names, 'rel')] AS rel, vals[list_position(names, 'http-equiv')] AS equiv, vals[list_position(names, 'content')] AS content FROM att
+), doc AS (SELECT u, h, u AS a, arg_min(href, place) AS t FROM val WHERE kind = 'base' AND href <> '' GROUP BY ALL
+), {_sql_resolved("start", "doc")}, named AS (
+  SELECT v.u, v.h, coalesce('x://' || d.host || d.path || d.query, v.u) AS a, CASE WHEN kind = 'link' AND list_contains(string_split_regex(lower(rel), '\s+'), 'canonical') THEN href
+    WHEN kind = 'meta' AND lower(equiv) = 'refresh' THEN regexp_extract(content, '(?i)(?:^|[\s;,])url\s*=\s*["'']?([^"''\s]+)', 1) END AS t FROM val v LEFT JOIN start d ON d.u = v.u AND d.h = v.h
+), {_sql_resolved("clean", "named")}, edges AS (
+  SELECT DISTINCT b.host || CASE WHEN b.path = '' THEN '/' ELSE b.path END || b.query AS s, c.host || c.path || c.query AS t FROM clean c JOIN base b ON b.u = c.u WHERE b.host <> ''
 ), both_ways AS (SELECT s, t FROM edges WHERE s <> t UNION SELECT t, s FROM edges WHERE s <> t
 ), reach AS (SELECT s, t FROM both_ways UNION SELECT r.s, b.t FROM reach r JOIN both_ways b ON r.t = b.s
 ), nodes AS (SELECT DISTINCT t AS a, {_RULED.format(h="regexp_extract(t, '^[^/?]*')", p="regexp_extract(t, '(?s)^[^/?]*([^?]*)', 1)")} AS r FROM both_ways

@@ -24,6 +24,15 @@ ROWS = [
     (15, "ftp://example.com/en/", None),
     (16, "http://xnet/es/", None),
     (16, "http://xnet/es/", None),
+    (20, "http://k.org/1", '<link rel="alternate  Canonical" href="http://e.net/es/z">'),
+    (21, "http://k.org/2", '<base target=x><BASE href="//e.net/es/"><base href="http://d.com/"><link rel=canonical href=z>'),
+    (22, "http://k.org/3", '<link rel=canonical data-href="http://d.com/" href = "http://e.net/es/z"/>'),
+    (23, "http://k.org/4", "<link title='a > b' rel='canonical' href='http://e.net/es/z'>"),
+    (24, "http://k.org/5", '<link title="rel=canonical href=http://e.net/es/z" rel=next href=/n>'),
+    (25, "http://k.org/6", '<meta name=url content="0;url=http://e.net/es/z"><links rel=canonical href=http://e.net/es/z><link rel=canonical href>'),
+    (26, "http://k.org/a/7", '<base href="../b/"><link rel=canonical href="../b/./8?x&amp;y">'),
+    (27, "http://k.org/b/8?x&y", "<meta http-equiv=Refresh content=0;URL=http://e.net/es/z>"),
+    (28, "http://k.org/9", "<link rel=canonical"),
 ]
 
 
@@ -40,6 +49,7 @@ def test_verdicts(spark):
     assert got[9] == got[10] == ("", "", None, "allow")
     assert got[11] == ("net", "", None, "allow") and got[12] == ("q.com", "", None, "allow")
     assert got[14][:2] == ("y.org", "/a\nb") and got[16][2:] == (None, "allow")
+    assert [got[i][3] for i in (20, 21, 22, 23, 26, 27)] == ["block"] * 6 and [got[i][3] for i in (24, 25, 28)] == ["allow"] * 3
     con = duckdb.connect()
     con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
     con.executemany("INSERT INTO pages VALUES (?, ?, ?)", ROWS)
@@ -112,3 +122,12 @@ def test_references_and_row_order_against_sql(spark):
 def test_very_long_url(spark):
     rows = [(1, "http://l.org/" + "a/" * 20_000, C.format("http://z.net/es/"))]
     assert judge(spark.createDataFrame(rows, "page_id long, url string, html string")).first().verdict == "block"
+
+
+def test_open_tags_take_linear_time(spark):
+    import time
+
+    rows = [(1, "http://a.org/1", "<link " * 300_000), (2, "http://a.org/2", '<link href="' * 150_000), (3, "http://a.org/3", "<meta " + "a" * 1_000_000 + ">"), (4, "http://a.org/4", "<link rel=" + "=" * 500_000 + ">"), (5, "http://a.org/5", "<base a=' " * 200_000 + C.format("http://c.net/es/z"))]
+    began = time.monotonic()
+    assert len(judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()) == 5
+    assert time.monotonic() - began < 60
