@@ -47,18 +47,22 @@ def _unbase64(s: str) -> bytes | None:
         return None
 
 
-def der_fits(raw: bytes, deep: int = 0) -> bool:
-    """Whether raw is one DER value whose lengths nest exactly; sequences and sets are entered, eight deep at most."""
-    at = _der_end(raw, 0, len(raw))
-    if at != len(raw):
+def der_fits(raw: bytes) -> bool:
+    """Whether raw is one DER value whose lengths nest exactly; sequences and sets are entered, however deep they lie."""
+    if _der_end(raw, 0, len(raw)) != len(raw):
         return False
-    if raw[0] in (0x30, 0x31) and deep < 8:
-        i, stop = _der_body(raw), len(raw)
-        while i < stop:
-            j = _der_end(raw, i, stop)
-            if j is None or not der_fits(raw[i:j], deep + 1):
-                return False
-            i = j
+    todo = [(0, len(raw))]
+    while todo:
+        at, stop = todo.pop()
+        if raw[at] in (0x30, 0x31):
+            i = _der_body(raw, at)
+            while i < stop:
+                j = _der_end(raw, i, stop)
+                if j is None:
+                    return False
+                if raw[i] in (0x30, 0x31):
+                    todo.append((i, j))
+                i = j
     return True
 
 
@@ -113,31 +117,41 @@ def key_kind(raw: bytes | None) -> str | None:
     return None
 
 
-#: No header of a signed token is longer, in bytes.
-LONGEST_HEADER = 1 << 14
+_JSON_MARKS = re.compile(r'(\\*)"|[{}\[\]]')
+
+
+def _last_object(chars: str) -> int | None:
+    """Where the object begins that the last } closes; one pass back from the end, which lies outside of all strings.
+
+    In JSON backslashes stand in strings only, so a quote bounds a string if an even number of them precedes it.
+    """
+    depth, inside = 0, False
+    for m in reversed(list(_JSON_MARKS.finditer(chars))):
+        c = chars[m.end() - 1]
+        if c == '"':
+            inside ^= len(m[1]) % 2 == 0
+        elif not inside:
+            depth += 1 if c in "}]" else -1
+            if depth == 0:
+                return m.start() if c == "{" else None
+    return None
 
 
 def signed_header(s: str) -> int | None:
-    """Where in s the JSON header of a signed token begins that goes on to the end of s; it has LONGEST_HEADER bytes at most."""
-    cut = max(0, len(s) - LONGEST_HEADER * 4 // 3 - 8) // 4 * 4
-    if cut:
-        at = signed_header(s[cut:])
-        return None if at is None else cut + at
+    """Where in s the JSON header of a signed token begins that goes on to the end of s, however long it is."""
     for shift in range(min(4, len(s))):
         raw = _unbase64(s[shift:])
-        if raw is None:
+        if raw is None or not raw.rstrip().endswith(b"}"):
             continue
         chars = raw.decode("latin-1")
-        at = chars.find("{")
-        while at >= 0:
-            if at % 3 == 0:
-                try:
-                    head, end = _JSON.raw_decode(chars, at)
-                    if not chars[end:].strip() and isinstance(head.get("alg"), str):
-                        return shift + at // 3 * 4
-                except (ValueError, RecursionError):
-                    pass
-            at = chars.find("{", at + 1)
+        at = _last_object(chars)
+        if at is not None and at % 3 == 0:
+            try:
+                head, end = _JSON.raw_decode(chars, at)
+                if not chars[end:].strip() and isinstance(head.get("alg"), str):
+                    return shift + at // 3 * 4
+            except (ValueError, RecursionError):
+                pass
     return None
 
 
@@ -149,6 +163,67 @@ def _length_at(clean: str, i: int, k: int) -> int | None:
     return int.from_bytes(raw, "big") if len(raw) == 4 else None
 
 
+class _Values:
+    """Heads of DER values in encoded text, read where they stand; each row of values is walked once, and later rows that run into it share it."""
+
+    def __init__(self, clean: str):
+        self.clean = clean
+        self.rows: list[tuple[dict[int, int], tuple[int, int] | None]] = []  # a row's places with their numbers, and the row and place where it goes on
+        self.row: dict[tuple[int, int], int] = {}
+
+    def size(self, shift: int, at: int) -> int | None:
+        """How long the value at byte `at` is, counted in fours of characters from `shift` on."""
+        a = shift + at // 3 * 4
+        part = self.clean[a : a + 12]
+        head = (_unbase64(part[: len(part) // 4 * 4]) or b"")[at % 3 :][:6]
+        return _der_size(head + bytes(6 - len(head))) if len(head) >= 2 else None
+
+    def lead_to(self, shift: int, at: int, stop: int) -> bool:
+        """Whether the values that follow one another from `at` on end exactly at `stop`."""
+        new: dict[int, int] = {}
+        link = None
+        while True:
+            if (shift, at) in self.row:
+                link = (self.row[shift, at], at)
+                break
+            new[at] = len(new)
+            size = self.size(shift, at)
+            if size is None:
+                break
+            at += size
+        if new:
+            self.row.update(dict.fromkeys(((shift, i) for i in new), len(self.rows)))
+            self.rows.append((new, link))
+            link = (len(self.rows) - 1, next(iter(new)))
+        while link is not None:
+            number, since = link
+            places, link = self.rows[number]
+            if places.get(stop, -1) >= places[since]:
+                return True
+        return False
+
+
+def _openssh_end(clean: str, i: int) -> int | None:
+    """Where the OpenSSH key ends that begins at i, by its own lengths; None where they don't fit."""
+    k = 15
+    for _ in range(3):
+        size = _length_at(clean, i, k)
+        if size is None:
+            return None
+        k += 4 + size
+    keys = _length_at(clean, i, k)
+    if keys is None or not 1 <= keys <= 64:
+        return None
+    k += 4
+    for _ in range(keys + 1):
+        size = _length_at(clean, i, k)
+        if size is None:
+            return None
+        k += 4 + size
+    j = i + (4 * k + 2) // 3
+    return j if j <= len(clean) else None
+
+
 def _encoded_keys(run: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of the keys within a run of the alphabet that may have line breaks, each as decoding finds it.
 
@@ -170,6 +245,7 @@ def _encoded_keys(run: str) -> Iterator[tuple[int, int, str]]:
         clean = "".join(parts)
     else:
         clean, place, ends = bare, range(len(bare)), {len(bare)}
+    values = _Values(clean)
     stop = lambda i: i in ends or clean[i : i + 1] in tuple("+/-_")
     for m in _START.finditer(clean):
         i = m.start()
@@ -180,10 +256,14 @@ def _encoded_keys(run: str) -> Iterator[tuple[int, int, str]]:
         if head[:1] == b"0":
             size = _der_size(head)
             j = i + (4 * size + 2) // 3 if size else 0
-            if size and j <= len(clean) and stop(j) and key_kind(_unbase64(clean[i:j])) == "der":
-                found = (j, "der")
+            if size and j <= len(clean) and stop(j):
+                first = 2 + (head[1] & 0x7F if head[1] & 0x80 else 0)
+                byte = i // 4 * 3
+                # only what ends where its values end is decoded as a whole
+                if head[first : first + 1] in (b"\x02", b"\x30") and values.lead_to(i % 4, byte + first, byte + size) and key_kind(_unbase64(clean[i:j])) == "der":
+                    found = (j, "der")
         elif head.startswith(b"openssh-key-v1\0"):
-            found = (len(clean), "openssh")
+            found = (_openssh_end(clean, i) or len(clean), "openssh")
         elif 7 <= int.from_bytes(head[:4], "big") <= 40 and head[4:].startswith(_SSH):
             k, fields = 0, 0
             while (size := _length_at(clean, i, k)) is not None and (j := i + (4 * (k + 4 + size) + 2) // 3) <= len(clean):

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 from lithograph.llm.secrets_scan import key_kind, masked, scan, spans
 
@@ -153,3 +154,28 @@ def test_base_spans_against_a_plain_scan():
     for _ in range(4000):
         text = "".join(draw.choice(bits) for _ in range(draw.randrange(1, 14)))
         assert spans(text)[0] == _plain(text), text
+
+
+def test_claims_of_great_lengths_take_linear_time():
+    began = time.process_time()
+    for text in ("MIMEAAAC/" * 80_000, "MIIC" * 150_000, "b3BlbnNzaC1rZXktdjEA" * 30_000, "eyJh" * 200_000 + ".abc.def"):
+        spans(text)
+    assert time.process_time() - began < 20
+
+
+def test_long_headers_and_deep_values_are_kept():
+    head = base64.urlsafe_b64encode(('{"alg":"HS256","x":"' + "a}\\\\" * 10_000 + '"}').encode()).decode().rstrip("=")
+    assert [k for *_, k in spans(f"{head}.e30.sig")[1]] == ["token"]
+    raw = b"\x02\x01\x00"
+    for _ in range(40):
+        raw = b"\x30" + (bytes([len(raw)]) if len(raw) < 128 else b"\x82" + len(raw).to_bytes(2, "big")) + raw
+    assert key_kind(raw) == "der" and [k for *_, k in spans(base64.b64encode(raw).decode())[1]] == ["der"]
+    wrong = raw[:-3] + b"\x02\x05\x00"  # the innermost value, far below the eighth level, says more than there is
+    assert key_kind(wrong) is None and spans(base64.b64encode(wrong).decode())[1] == []
+
+
+def test_an_openssh_key_ends_by_its_own_lengths():
+    part = lambda b: len(b).to_bytes(4, "big") + b
+    raw = b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + (1).to_bytes(4, "big") + part(b"p" * 51) + part(b"s" * 131)
+    text = base64.b64encode(raw).decode().rstrip("=")
+    assert spans(f"{text}\nAnotherline\nof words")[1] == [(0, len(text), "openssh")]
