@@ -89,13 +89,20 @@ def _named(pairs: DataFrame, *kept: str) -> DataFrame:
     )
 
 
-def groups(rows: DataFrame) -> DataFrame:
+def groups(rows: DataFrame, touched: DataFrame | None = None) -> DataFrame:
     """(pass, key1, key2, distance, members, pairs and the columns of a report): each group with its exact number of pairs and one of them.
 
-    Grouped counts and joins of keys; nothing is paired but signatures that two similar names share.
+    Grouped counts and joins of keys; nothing is paired but signatures that two similar names share.  With touched (pass, key)
+    only the groups that have one of these keys.
     """
+    met = links(rows)
+    if touched is not None:
+        some = [touched.select("pass", F.col("key").alias(k), F.lit(True).alias(f"by_{k}")).distinct() for k in ("key1", "key2")]
+        met = met.join(some[0], ["pass", "key1"], "left").join(some[1], ["pass", "key2"], "left").where("by_key1 or by_key2").select("pass", "key1", "key2", "score", "distance")
+    met = cut(met)
+    if touched is not None:
+        rows = rows.join(met.select("pass", F.explode(F.array("key1", "key2")).alias("key")).distinct(), ["pass", "key"], "left_semi")
     sigs, keys = map(cut, _summaries(rows))
-    met = cut(links(rows))
     one, two = (keys.select("pass", *(F.col(c).alias(f"{c}{i}") for c in ("key", "n", "same", "top", "second"))) for i in (1, 2))
     both = met.join(one, ["pass", "key1"]).join(two, ["pass", "key2"])
     s1, s2 = (sigs.select("pass", "sig", F.col("key").alias(f"key{i}"), F.col("n").alias(f"c{i}")) for i in (1, 2))

@@ -1,6 +1,8 @@
 """A scan: sources to a snapshot of the model's tables, and a snapshot's tables to queries.
 
-A snapshot is a folder of its own.  It counts from the moment that its row is in the list of snapshots, so readers never
+What was found in a file is kept by file: rows carry their file's path and the batch that read it, and a snapshot says which batch of
+each file counts.  So a batch of changed files is parsed alone, and its rows take the place of what these files gave before.  A
+snapshot is a folder of its own.  It counts from the moment that its row is in the list of snapshots, so readers never
 see half a scan; notes are kept beside the snapshots and outlive them.
 """
 
@@ -13,12 +15,11 @@ from pyspark.sql import functions as F
 
 from lithograph.functions import model
 from lithograph.operators import catalog, graph, history, index, maintenance, reports, search
+from lithograph.operators.state import cut
 from lithograph.sources import git, java
 
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+#: What extraction gives for each file.
+_FOUND = ("types", "fields", "methods", "relationships", "declared")
 
 
 def _stored(rows: DataFrame, name: str) -> DataFrame:
@@ -38,25 +39,68 @@ def scan(spark: SparkSession, root: str, store: str) -> dict[str, int]:
 
 
 def publish(spark: SparkSession, files: DataFrame, store: str, repository: str | None = None) -> dict[str, int]:
-    """scan() of (path, content) rows."""
-    folder = f"{store}/{uuid.uuid4().hex}"
+    """scan() of (path, content) rows: they alone are the new snapshot."""
+    return _advance(spark, files, store, repository, None, None)
+
+
+def refresh(spark: SparkSession, files: DataFrame, store: str, repository: str | None = None, removed: DataFrame | None = None) -> dict[str, int]:
+    """The newest snapshot with the files (path, content) put in or replaced, and those of removed (path) gone; totals of all files.
+
+    Only the given files are parsed, and only reports on names of changed files are worked out again; the tables, the index and
+    the history are made of the kept rows.  The result is that of publish() with all files.  A path may stand in files once.
+    """
+    return _advance(spark, files, store, repository, _newest(spark, store), removed)
+
+
+def _live(spark: SparkSession, store: str, owners: DataFrame, name: str) -> DataFrame:
+    """The rows that the files of a snapshot gave."""
+    rows = spark.read.parquet(f"{store}/raw/{name}").withColumn("path", F.col("path" if name == "declared" else "ord.path"))
+    return rows.join(owners.select("path", "batch"), ["path", "batch"], "left_semi").drop("batch", *([] if name == "declared" else ["path"]))
+
+
+def _advance(spark: SparkSession, files: DataFrame, store: str, repository: str | None, before, removed: DataFrame | None) -> dict[str, int]:
+    number = f"b{uuid.uuid4().hex}"  # with a letter first, so that no number is read from the folder's name
+    folder = f"{store}/{number}"
     found = java.extract(files)
-    raw = {name: _written(found[name], f"{folder}/raw/{name}") for name in ("types", "fields", "methods", "relationships")}
-    for name, rows in (raw | {"packages": found["packages"]}).items():
+    for name in _FOUND:
+        found[name].write.parquet(f"{store}/raw/{name}/batch={number}")  # also without rows, as the file tells the columns
+    owners = found["files"].select("path", "ok", F.lit(number).alias("batch"))
+    old = spark.read.parquet(f"{before.folder}/owners") if before else None
+    if before:
+        changed = owners.select("path") if removed is None else owners.select("path").union(removed.select("path"))
+        owners = owners.union(old.join(changed, "path", "left_anti").select("path", "ok", "batch"))
+    owners.write.parquet(f"{folder}/owners")
+    owners = spark.read.parquet(f"{folder}/owners")
+    raw = {name: _live(spark, store, owners, name) for name in _FOUND}
+    packages = java.package_rows(raw["declared"], raw["types"], owners.select("path"))
+    for name, rows in ({n: raw[n] for n in ("types", "fields", "methods", "relationships")} | {"packages": packages}).items():
         _stored(rows, name).write.parquet(f"{folder}/{name}")
     # reports and the index see every row that was found, the stored tables the last of each id
-    reports.groups(_report_members(raw["methods"], raw["fields"])).write.parquet(f"{folder}/report_groups")
+    members = _report_members(raw["methods"], raw["fields"])
+    if before:
+        # names that a changed file has now or had before
+        new = owners.where(F.col("batch") == number)
+        gone = old.join(owners.select("path", "batch"), ["path", "batch"], "left_anti")
+        sides = [_report_members(_live(spark, store, o, "methods"), _live(spark, store, o, "fields")).select("pass", "key") for o in (new, gone)]
+        touched = cut(sides[0].union(sides[1]).distinct())
+        kept = spark.read.parquet(f"{before.folder}/report_groups")
+        for key in ("key1", "key2"):
+            kept = kept.join(touched.withColumnRenamed("key", key), ["pass", key], "left_anti")
+        again = reports.groups(members, touched)
+        kept.select(again.columns).union(again).write.parquet(f"{folder}/report_groups")
+    else:
+        reports.groups(members).write.parquet(f"{folder}/report_groups")
     index.write_entities(search.documents(raw["types"], raw["methods"], raw["fields"]), f"{folder}/index")
-    members = [raw[n].select("fqn", "declaring_type_fqn", "start_line", F.col("end_line") if n == "methods" else F.col("start_line").alias("end_line")) for n in ("methods", "fields")]
+    spans = [raw[n].select("fqn", "declaring_type_fqn", "start_line", F.col("end_line") if n == "methods" else F.col("start_line").alias("end_line")) for n in ("methods", "fields")]
     own = raw["types"].select("fqn", F.col("fqn").alias("declaring_type_fqn"), "start_line", "end_line")
-    entities = history.entity_files(members[0].unionByName(members[1]).unionByName(own).dropDuplicates(["fqn"]), raw["types"])
+    entities = history.entity_files(spans[0].unionByName(spans[1]).unionByName(own).dropDuplicates(["fqn"]), raw["types"])
     if repository:
         paths = raw["types"].select(F.col("source_file").alias("file"))
         meta = history.newest_change(entities, git.blame_lines(paths, repository), history.commit_counts(git.file_commits(paths, repository)))
     else:
         meta = spark.createDataFrame([], model.TABLES["git_meta"])
     _stored(meta, "git_meta").write.parquet(f"{folder}/git_meta")
-    totals = found["files"].agg(F.count("*").alias("total"), F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("failed")).first().asDict()
+    totals = owners.agg(F.count("*").alias("total"), F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("failed")).first().asDict()
     turn = (_newest(spark, store) or (0, ""))[0] + 1
     spark.createDataFrame([(turn, folder)], "turn int, folder string").write.mode("append").parquet(f"{store}/snapshots")
     return totals
@@ -87,7 +131,7 @@ def load(spark: SparkSession, store: str, name: str) -> DataFrame:
     """
     folder = _folder(spark, store)
     if name == "inconsistencies":
-        pairs = reports.expand(spark.read.parquet(f"{folder}/report_groups"), _members_of(spark, folder))
+        pairs = reports.expand(spark.read.parquet(f"{folder}/report_groups"), _members_of(spark, store, folder))
         return pairs.select(*(F.col(f.name).cast(f.dataType) for f in model.TABLES[name]))
     return spark.read.parquet(f"{folder}/index/docs").drop("shard") if name == "search" else spark.read.parquet(f"{folder}/{name}")
 
@@ -97,14 +141,15 @@ def find(spark: SparkSession, store: str, text: str | None, limit: int = 30) ->
     return index.search_entities(spark, f"{_folder(spark, store)}/index", text, limit)
 
 
-def _members_of(spark: SparkSession, folder: str) -> DataFrame:
-    return _report_members(spark.read.parquet(f"{folder}/raw/methods"), spark.read.parquet(f"{folder}/raw/fields"))
+def _members_of(spark: SparkSession, store: str, folder: str) -> DataFrame:
+    owners = spark.read.parquet(f"{folder}/owners")
+    return _report_members(_live(spark, store, owners, "methods"), _live(spark, store, owners, "fields"))
 
 
 def first_reports(spark: SparkSession, store: str, limit: int = 200, kind: str | None = None) -> DataFrame:
     """The first inconsistencies of the newest snapshot in the report's order, of one kind or all, without making the others."""
     folder = _folder(spark, store)
-    return reports.first(spark.read.parquet(f"{folder}/report_groups"), _members_of(spark, folder), limit, kind)
+    return reports.first(spark.read.parquet(f"{folder}/report_groups"), _members_of(spark, store, folder), limit, kind)
 
 
 def statistics(spark: SparkSession, store: str) -> DataFrame:

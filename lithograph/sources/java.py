@@ -336,13 +336,10 @@ def extract(files: DataFrame) -> dict[str, DataFrame]:
     relationships = uses.select(F.col("source").alias("from_entity_fqn"), F.col("target").alias("to_entity_fqn"), "kind", F.col("start_line").alias("source_line"), order).unionByName(
         inherits.select(F.col("fqn").alias("from_entity_fqn"), F.col("r.to").alias("to_entity_fqn"), F.col("r.kind").alias("kind"), F.lit(0).alias("source_line"), F.struct("path", "open", F.lit(-1).cast("long").alias("member"), F.lit(0).alias("n")).alias("ord"))
     )
-    type_counts = types.groupBy(F.col("package_fqn").alias("fqn")).agg(F.count("*").cast("int").alias("type_count"))
-    file_counts = catalog.package_file_counts(packages.select(F.col("package").alias("fqn")), files.select("path"))
     return {
         "files": status,
-        "packages": file_counts.join(type_counts, "fqn", "left").select(
-            F.col("fqn").alias("id"), "fqn", package_name("fqn").alias("name"), package_parent("fqn").alias("parent_fqn"), F.col("file_count").cast("int").alias("file_count"), F.coalesce("type_count", F.lit(0)).alias("type_count")
-        ),
+        "declared": packages.select("path", F.col("package").alias("fqn")),
+        "packages": package_rows(packages.select(F.col("package").alias("fqn")), types, files),
         "types": types.select(
             F.col("fqn").alias("id"), "fqn", F.col("name").alias("simple_name"), "package_fqn", "kind", "modifiers", "super_class", "interfaces", F.col("path").alias("source_file"), F.col("start_line").cast("int").alias("start_line"),
             F.col("end_line").cast("int").alias("end_line"), (F.col("end_line") - F.col("start_line") + 1).cast("int").alias("line_count"), F.lit(0).alias("field_count"), F.lit(0).alias("method_count"), F.struct("path", "open", F.lit(0).cast("long").alias("member"), F.lit(0).alias("n")).alias("ord"),
@@ -357,6 +354,14 @@ def extract(files: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def package_rows(declared: DataFrame, types: DataFrame, files: DataFrame) -> DataFrame:
+    """The packages that files declare (fqn, a row a file), with the numbers of their types (package_fqn) and files (path)."""
+    type_counts = types.groupBy(F.col("package_fqn").alias("fqn")).agg(F.count("*").cast("int").alias("type_count"))
+    return catalog.package_file_counts(declared.select("fqn"), files.select("path")).join(type_counts, "fqn", "left").select(
+        F.col("fqn").alias("id"), "fqn", package_name("fqn").alias("name"), package_parent("fqn").alias("parent_fqn"), F.col("file_count").cast("int").alias("file_count"), F.coalesce("type_count", F.lit(0)).alias("type_count")
+    )
+
+
 def _split_schema(schema: str) -> list[str]:
     """The columns of a schema string, by the commas outside its brackets."""
     out, depth = [""], 0

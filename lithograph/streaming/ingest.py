@@ -17,8 +17,8 @@ _FILES = "path string, modificationTime timestamp, length long, content binary"
 def ingest(spark: SparkSession, root: str, store: str, checkpoint: str, follow: bool = False) -> StreamingQuery:
     """Take in the .java files below root that are new since the checkpoint; with follow, those to come as well.
 
-    Each batch adds its files to store/sources, the newest text of a path counting, and publishes a snapshot over all of
-    them.  A batch that runs again after a failure adds the same rows again, which the newest-text rule takes up.
+    Each batch parses its own files alone, the newest text of a path counting, and publishes a snapshot in which they are
+    put in or replaced.  A batch that runs again after a failure replaces its files by the same once more.
     """
     files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", True).option("pathGlobFilter", "*.java").load(root)
     files = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("content").cast("string").alias("content"), F.col("modificationTime").alias("at"))
@@ -26,11 +26,8 @@ def ingest(spark: SparkSession, root: str, store: str, checkpoint: str, follow:
     def batch(new: DataFrame, number: int) -> None:
         if new.isEmpty():
             return
-        session = new.sparkSession
-        new.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{store}/sources")
-        known = session.read.parquet(f"{store}/sources")
-        latest = maintenance.last_wins(known, ["path"], ["at", "batch"]).select("path", "content")
-        scan.publish(session, latest, store)
+        latest = maintenance.last_wins(new, ["path"], ["at"]).select("path", "content")
+        scan.refresh(new.sparkSession, latest, store)
 
     query = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).queryName(f"ingest-{uuid.uuid4().hex}")
     return query.start() if follow else query.trigger(availableNow=True).start()

@@ -99,3 +99,25 @@ def test_stream(spark, tmp_path):
     before = spark.read.parquet(f"{at}/snapshots").count()
     ingest(spark, str(src), at, f"{tmp_path}/cp").awaitTermination()
     assert spark.read.parquet(f"{at}/snapshots").count() == before
+
+
+def test_a_changed_file_alone_is_parsed(spark, tmp_path, monkeypatch):
+    """A refresh gives what a scan of all files gives, and parses what changed: names go, come and appear from behind a later file's."""
+    from lithograph.sources import java
+
+    first = {"/s/shop/Desk.java": DESK, "/s/shop/Log.java": LOG, "/s/shop/Z.java": "package shop; class Log { void write(long x) { } int totals; }", "/s/Bad.java": "class Bad { void f( { }"}
+    change = {"/s/shop/Z.java": "package shop; class Zed { void writes(int x) { Log.write(x); } String total; }", "/s/Bad.java": "class Bad { }"}
+    df = lambda files: spark.createDataFrame(list(files.items()), "path string, content string")
+    one, all_ = f"{tmp_path}/one", f"{tmp_path}/all"
+    assert scan.publish(spark, df(first), one) == {"total": 4, "parsed": 3, "failed": 1}
+    parsed = []
+    extract = java.extract
+    monkeypatch.setattr(java, "extract", lambda files: (parsed.append(files.count()), extract(files))[1])
+    gone = spark.createDataFrame([("/s/shop/Desk.java",)], "path string")
+    assert scan.refresh(spark, df(change), one, removed=gone) == {"total": 3, "parsed": 3, "failed": 0}
+    assert parsed == [2]
+    left = {k: v for k, v in (first | change).items() if k != "/s/shop/Desk.java"}
+    scan.publish(spark, df(left), all_)
+    for name in ("packages", "types", "fields", "methods", "relationships", "inconsistencies", "search"):
+        rows = [sorted(map(str, scan.load(spark, s, name).collect())) for s in (one, all_)]
+        assert rows[0] == rows[1] and rows[0], name
