@@ -1,7 +1,7 @@
 """Java sources as rows of the code model.
 
 Spark does the structure: a regular expression makes tokens, running sums over each file give lines and nesting, windows
-give each token its block, its type and its member, and a running list gives each method the fields that stand before it.
+give each token its block, its type and its member, and a join gives each method the fields that stand before it.
 What is left for Python is the inside of one member: a header of a few tokens and the names in one body.
 """
 
@@ -137,7 +137,7 @@ def type_header(toks: list[str]) -> dict | None:
     return {"kind": rest[0].upper(), "name": rest[1], "modifiers": " ".join(mods), "super_class": supers[0] if supers else None, "interfaces": faces}
 
 
-def member_rows(toks: list[str], lines: list[int], type_name: str, type_fqn: str, known: list[str]) -> Iterator[dict]:
+def member_rows(toks: list[str], lines: list[int], type_name: str, type_fqn: str) -> Iterator[dict]:
     """The field, method and relationship rows of one member of a type."""
     mods, rest = _declared(toks)
     skip = len(toks) - len(rest)
@@ -146,7 +146,7 @@ def member_rows(toks: list[str], lines: list[int], type_name: str, type_fqn: str
     stop = next((i for i, t in enumerate(rest) if t in ("=", "(", "{", ";")), len(rest))
     modifiers = " ".join(mods)
     if rest[stop : stop + 1] == ["("]:
-        yield from _method_rows(rest, lines[skip:], lines[0], stop, modifiers, type_name, type_fqn, known)
+        yield from _method_rows(rest, lines[skip:], lines[0], stop, modifiers, type_name, type_fqn)
     elif stop > 1 and rest[stop : stop + 1] != ["{"]:
         body = rest[:-1] if rest[-1] == ";" else rest
         parts = _split(body)
@@ -164,7 +164,7 @@ def member_rows(toks: list[str], lines: list[int], type_name: str, type_fqn: str
             yield {"row": "field", "name": name, "type": _text(kind), "modifiers": modifiers, "initializer": init, "start_line": lines[0]}
 
 
-def _method_rows(rest, lines, first_line, stop, modifiers, type_name, type_fqn, known) -> Iterator[dict]:
+def _method_rows(rest, lines, first_line, stop, modifiers, type_name, type_fqn) -> Iterator[dict]:
     name, kind = rest[stop - 1], rest[: stop - 1]
     if not name.isidentifier() or (not kind and name != type_name) or kind[-1:] == [","]:
         return  # enum constants, or an initializer's call
@@ -187,7 +187,7 @@ def _method_rows(rest, lines, first_line, stop, modifiers, type_name, type_fqn,
         "row": "method", "name": simple, "fqn": fqn, "type": _text(kind) if kind else "void", "parameters": params, "modifiers": modifiers, "start_line": first_line, "end_line": lines[-1],
         "complexity": 1 + decisions, "hash": hashlib.sha256(" ".join(body).encode()).hexdigest()[:16] if body else None,
     }
-    yield from _uses(body, lines[len(rest) - len(body) :], fqn, type_fqn, frozenset(known))
+    yield from _uses(body, lines[len(rest) - len(body) :], fqn, type_fqn)
 
 
 def _scope_start(body: list[str], i: int) -> int:
@@ -226,8 +226,8 @@ def _ends_type(body: list[str], i: int) -> bool:
     return False
 
 
-def _uses(body: list[str], lines: list[int], method: str, type_fqn: str, known: frozenset[str]) -> Iterator[dict]:
-    """Calls, writes and reads in a body; a bag, one row for each occurrence."""
+def _uses(body: list[str], lines: list[int], method: str, type_fqn: str) -> Iterator[dict]:
+    """Calls, writes by this and names that may be fields in a body; a bag, one row for each occurrence."""
     made = lambda kind, to, line: {"row": "relationship", "source": method, "target": to, "kind": kind, "start_line": line}
     for i, t in enumerate(body):
         if not t.isidentifier():
@@ -247,10 +247,9 @@ def _uses(body: list[str], lines: list[int], method: str, type_fqn: str, known:
         typed = (before.isidentifier() and before not in KEYWORDS) or before == "]" or (before == ">" and _ends_type(body, i - 1))
         if after in ASSIGNS and before == "." and body[i - 2 : i - 1] == ["this"] and body[i - 3 : i - 2] != ["."]:
             yield made("WRITES_FIELD", f"{type_fqn}.{t}", 0)
-        if t in known and before not in (".", "::", "new", "@") and not typed and after != "->":
-            if after in ASSIGNS:
-                yield made("WRITES_FIELD", f"{type_fqn}.{t}", 0)
-            yield made("READS_FIELD", f"{type_fqn}.{t}", 0)
+        if t not in KEYWORDS and before not in (".", "::", "new", "@") and not typed and after != "->":
+            for kind in ("WRITES_FIELD", "READS_FIELD") if after in ASSIGNS else ("READS_FIELD",):
+                yield made(kind, f"{type_fqn}.{t}", 0) | {"row": "use", "name": t}
 
 
 # --- the tables --------------------------------------------------------------------------------------------------
@@ -316,22 +315,21 @@ def extract(files: DataFrame) -> dict[str, DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                for n, row in enumerate(member_rows(list(r.toks), list(r.lines), r.name, r.fqn, list(r.known))):
+                for n, row in enumerate(member_rows(list(r.toks), list(r.lines), r.name, r.fqn)):
                     out.append({"path": r.path, "open": r.open, "member": r.member, "n": n, **row})
             # columns of objects: pandas would make floats of missing values
             yield pd.DataFrame({c: pd.Series([x.get(c) for x in out], dtype=object) for c in columns})
 
     plain = members.select("path", "open", "name", "fqn", "member", F.transform("s", lambda x: x["tok"]).alias("toks"), F.transform("s", lambda x: x["line"].cast("int")).alias("lines"))
-    fields = plain.withColumn("known", F.array().cast("array<string>")).mapInPandas(rows, _MEMBER).where("row = 'field'")
+    found_rows = cut(plain.mapInPandas(rows, _MEMBER))
+    fields = found_rows.where("row = 'field'")
     # a method sees the fields of its type that stand before it
-    names = fields.groupBy("path", "open", "member").agg(F.collect_list("name").alias("names"))
-    before = Window.partitionBy("path", "open").orderBy("member").rowsBetween(Window.unboundedPreceding, -1)
-    aware = plain.join(names, ["path", "open", "member"], "left").withColumn("known", F.flatten(F.collect_list(F.coalesce("names", F.array().cast("array<string>"))).over(before))).drop("names")
-    found_rows = cut(aware.mapInPandas(rows, _MEMBER))
+    since = fields.groupBy("path", "open", "name").agg(F.min("member").alias("since"))
+    seen = found_rows.where("row = 'use'").join(since, ["path", "open", "name"]).where(F.col("since") < F.col("member"))
     place = types.select("path", "open", F.col("fqn").alias("declaring_type_fqn"))
     order = F.struct("path", "open", "member", "n").alias("ord")
     methods = found_rows.where("row = 'method'").join(place, ["path", "open"])
-    uses = found_rows.where("row = 'relationship'")
+    uses = found_rows.where("row = 'relationship'").unionByName(seen.select(found_rows.columns))
     inherits = types.select("path", "open", "fqn", F.explode(F.concat(F.when(F.col("super_class").isNotNull(), F.array(F.struct(F.col("super_class").alias("to"), F.lit("EXTENDS").alias("kind")))).otherwise(F.array().cast("array<struct<to:string,kind:string>>")), F.transform("interfaces", lambda i: F.struct(i.alias("to"), F.lit("IMPLEMENTS").alias("kind"))))).alias("r"))
     relationships = uses.select(F.col("source").alias("from_entity_fqn"), F.col("target").alias("to_entity_fqn"), "kind", F.col("start_line").alias("source_line"), order).unionByName(
         inherits.select(F.col("fqn").alias("from_entity_fqn"), F.col("r.to").alias("to_entity_fqn"), F.col("r.kind").alias("kind"), F.lit(0).alias("source_line"), F.struct("path", "open", F.lit(-1).cast("long").alias("member"), F.lit(0).alias("n")).alias("ord"))

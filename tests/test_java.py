@@ -107,7 +107,7 @@ def test_relationships(model):
 
 def test_headers_and_reading(spark, tmp_path):
     assert type_header("record R ( int a )".split()) is None and type_header("@ interface Mark".split()) is None
-    assert list(member_rows(["A", ",", "B", ";"], [1] * 4, "E", "p.E", [])) == []
+    assert list(member_rows(["A", ",", "B", ";"], [1] * 4, "E", "p.E")) == []
     with pytest.raises(ValueError):
         read_sources(spark, f"{tmp_path}/none")
     (tmp_path / "a").mkdir()
@@ -123,3 +123,12 @@ def test_a_literal_of_many_escapes(spark):
     rows = [("/A.java", f'class A {{ String s = "{long}"; char c = \'\\u0041\'; /* {"* " * 50_000} */ }}')]
     found = [r.tok for r in tokens(spark.createDataFrame(rows, "path string, content string")).collect()]
     assert f'"{long}"' in found and "'\\u0041'" in found and found[-1] == "}"
+
+
+def test_many_fields_in_a_type(spark):
+    """A method finds its fields among 20,000 before it by a join, and none behind it."""
+    n = 20_000
+    text = "class Wide {\n" + "".join(f"int f{i};\n" for i in range(n)) + f"void g() {{ f0 = f{n - 1}; late = f1; }}\nint late;\n}}"
+    found = extract(spark.createDataFrame([("/Wide.java", text)], "path string, content string"))
+    assert sorted((r.kind, r.to_entity_fqn) for r in found["relationships"].collect()) == [("READS_FIELD", "Wide.f0"), ("READS_FIELD", "Wide.f1"), ("READS_FIELD", f"Wide.f{n - 1}"), ("WRITES_FIELD", "Wide.f0")]
+    assert found["fields"].count() == n + 1
