@@ -80,7 +80,7 @@ def body_hash(text) -> Column:
 
 
 def signature_reason(name, return1, return2, count1, count2) -> Column:
-    """Why two methods of one name have divergent signatures."""
+    """Why two methods of one name have divergent signatures; the wording is a fixed value of the model."""
     name, return1, return2, count1, count2 = map(_col, (name, return1, return2, count1, count2))
     text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     returns = F.when(~return1.eqNullSafe(return2), F.concat(F.lit("return type ("), text(return1), F.lit(" vs "), text(return2), F.lit(") "))).otherwise("")

@@ -52,6 +52,30 @@ def refresh(spark: SparkSession, files: DataFrame, store: str, repository: str |
     return _advance(spark, files, store, repository, _newest(spark, store), removed)
 
 
+def clear(spark: SparkSession, store: str) -> None:
+    """Make an empty snapshot the newest one; notes stay."""
+    publish(spark, spark.createDataFrame([], "path string, content string"), store)
+
+
+def expire(spark: SparkSession, store: str, keep: int = 2) -> list[str]:
+    """Remove the folders of all but the newest `keep` snapshots, and the files' rows that no kept one counts; what was removed.
+
+    Who still reads a kept snapshot is not disturbed: `keep` says how many scans a reader may last.  The list of snapshots keeps its rows.
+    """
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(store).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    turns = [r.folder for r in spark.read.parquet(f"{store}/snapshots").orderBy(F.desc("turn"), "folder").select("folder").collect()]  # a row a scan
+    kept = turns[:keep]
+    # a row for each batch that some file's rows still come from
+    used = {r.batch for folder in kept for r in spark.read.parquet(f"{folder}/owners").select("batch").distinct().collect()} | {folder.rsplit("/", 1)[1] for folder in kept}
+    gone = [folder for folder in turns[keep:] if fs.exists(jvm.org.apache.hadoop.fs.Path(folder))]
+    old = [f"{store}/raw/{name}/batch={folder.rsplit('/', 1)[1]}" for name in _FOUND for folder in turns[keep:] if folder.rsplit("/", 1)[1] not in used]
+    removed = gone + [path for path in old if fs.exists(jvm.org.apache.hadoop.fs.Path(path))]
+    for path in removed:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+    return removed
+
+
 def _live(spark: SparkSession, store: str, owners: DataFrame, name: str) -> DataFrame:
     """The rows that the files of a snapshot gave."""
     rows = spark.read.parquet(f"{store}/raw/{name}").withColumn("path", F.col("path" if name == "declared" else "ord.path"))

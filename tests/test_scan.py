@@ -121,3 +121,27 @@ def test_a_changed_file_alone_is_parsed(spark, tmp_path, monkeypatch):
     for name in ("packages", "types", "fields", "methods", "relationships", "inconsistencies", "search"):
         rows = [sorted(map(str, scan.load(spark, s, name).collect())) for s in (one, all_)]
         assert rows[0] == rows[1] and rows[0], name
+
+
+def test_notes_clears_and_old_snapshots(spark, tmp_path):
+    """Notes survive clears; snapshots that are not kept go, with the rows that only they count, while a kept one is being read."""
+    from lithograph.plans import notes
+
+    at = str(tmp_path)
+    assert notes.load(spark, at).count() == 0 and not notes.delete(spark, at, "x")
+    one = notes.write(spark, at, "shop.Desk", "look", 5)
+    notes.write(spark, at, "shop.Log", "first", 6, "n")
+    notes.write(spark, at, "shop.Log", "second", 6, "n")
+    df = lambda *files: spark.createDataFrame(list(files), "path string, content string")
+    scan.publish(spark, df(("/Log.java", LOG), ("/Desk.java", DESK)), at)
+    scan.refresh(spark, df(("/Desk.java", "package shop; class Desk { }")), at)
+    scan.clear(spark, at)
+    assert scan.load(spark, at, "types").count() == 0
+    scan.publish(spark, df(("/Log.java", LOG)), at)
+    reader = scan.load(spark, at, "methods")
+    scan.refresh(spark, df(("/Bare.java", "class Bare { int f() { return 1; } }")), at)
+    removed = scan.expire(spark, at)
+    assert len([r for r in removed if "/raw/" not in r]) == 3 and scan.expire(spark, at) == []
+    assert reader.count() == 2 and scan.load(spark, at, "methods").count() == 3 and scan.load(spark, at, "inconsistencies").count() == 1
+    assert {tuple(r) for r in notes.load(spark, at).collect()} == {(one, "shop.Desk", "look", 5, 5), ("n", "shop.Log", "second", 6, 6)}
+    assert notes.delete(spark, at, one) and [r.id for r in notes.load(spark, at).collect()] == ["n"] and notes.load(spark, at, "shop.Desk").count() == 0
