@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithograph.operators.state import cut
+
 
 def by_id(rows: DataFrame, value: str, column: str = "id") -> DataFrame:
     """The row of an id."""
@@ -85,21 +87,50 @@ def package_type_counts(packages: DataFrame, types: DataFrame) -> DataFrame:
     return packages.select("fqn").join(n, "fqn", "left").select("fqn", F.coalesce("type_count", F.lit(0)).alias("type_count"))
 
 
+def _trie(paths: DataFrame, *kept: str) -> DataFrame:
+    """(id, parent, part, depth, above, last, kept) for each beginning of each path (an array of parts); the parent of a first part is ''.
+
+    An id is a hash of the parent's id and the part, so that what goes over the network grows with a path's length and not with
+    the sum of its beginnings' lengths.  above are the ids of the beginnings before; last says that the path ends here.
+    """
+    ids = F.aggregate("parts", F.array().cast("array<string>"), lambda ids, part: F.concat(ids, F.array(F.md5(F.concat(F.coalesce(F.try_element_at(ids, F.lit(-1)), F.lit("")), F.lit("/"), part)))))
+    each = paths.withColumn("ids", ids).select(*kept, "parts", "ids", F.posexplode("ids").alias("i", "id"))
+    above = F.slice("ids", F.lit(1), F.col("i"))
+    return each.select(*kept, "id", F.coalesce(F.try_element_at(above, F.lit(-1)), F.lit("")).alias("parent"), F.get("parts", "i").alias("part"), (F.col("i") + 1).alias("depth"), above.alias("above"), (F.col("i") + 1 == F.size("ids")).alias("last"))
+
+
 def package_file_counts(declared: DataFrame, files: DataFrame) -> DataFrame:
     """(fqn, file_count) of each package: files whose path holds the package's path, or files beyond the first that declare it, if more.
 
-    declared has a fqn for each file that declares it; files has a path for each file.  A path holds `a/b/` where a
-    part of it ends there, so every such part of every distinct directory meets the packages in one equi-join.
+    declared has a fqn for each file that declares it; files has a path for each file.  A path holds `a/b` where `a/b/` stands in it,
+    from within a folder's name on too.  Folders and packages are two tries, walked together: a package's first part meets the
+    ends of the distinct folder names, each further part the folders right below.  So a folder is met once for each beginning that
+    leads to it, and its files are a count kept in the trie.  Of places of one package below each other the outermost counts.
+    A null fqn is a package that no path holds.
     """
     again = declared.groupBy("fqn").agg((F.count("*") - 1).alias("again"))
     path = F.translate("path", "\\", "/")
     folders = files.select(F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1))).alias("folder")).groupBy("folder").agg(F.count("*").alias("n"))
-    ends = folders.select("folder", "n", F.posexplode(F.split("folder", "/")).alias("i", "part")).where("part <> ''")
-    prefix = F.expr("substring_index(folder, '/', i + 1)")
-    parts = ends.select("folder", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length(prefix)), lambda s: prefix.substr(s, F.length(prefix)))).alias("part")).distinct()
-    held = (
-        again.withColumn("part", F.translate("fqn", ".", "/")).join(parts, "part").groupBy("fqn").agg(F.sum("n").alias("held"))
-    )
+    parts = F.split("folder", "/")
+    nodes = _trie(folders.select("n", F.slice(parts, F.lit(1), F.size(parts) - 1).alias("parts")), "n")
+    nodes = cut(nodes.groupBy("id", "parent", "part", "above").agg(F.sum("n").alias("n")))
+    wanted = _trie(again.where("fqn is not null").select("fqn", F.split(F.translate("fqn", ".", "/"), "/").alias("parts")), "fqn")
+    wanted = cut(wanted.select("id", "parent", "part", "depth", F.when(F.col("last"), F.col("fqn")).alias("fqn")).distinct())
+    steps = wanted.groupBy(F.col("id").alias("package"), F.col("parent").alias("before"), F.col("part").alias("step")).agg(F.max("depth").alias("depth"))
+    name_ends = nodes.select("part").distinct().select("part", F.explode(F.transform(F.sequence(F.lit(1), F.length("part") + 1), lambda i: F.col("part").substr(i, F.length("part")))).alias("step"))
+    starts = name_ends.join(steps.where("before = ''"), "step").select("part", "package")
+    levels = [cut(nodes.join(starts, "part").select("package", "id"))]
+    for _ in range(1, wanted.agg(F.max("depth")).first()[0] or 0):
+        below = nodes.select(F.col("parent").alias("id"), F.col("id").alias("child"), F.col("part").alias("step")).join(levels[-1].withColumnRenamed("package", "before"), "id")
+        levels.append(cut(below.join(steps, ["before", "step"]).select("package", F.col("child").alias("id"))))
+        if levels[-1].isEmpty():
+            break
+    named = wanted.where("fqn is not null").select("fqn", F.col("id").alias("package"))
+    met = reduce(DataFrame.union, levels).join(named.select("package"), "package", "left_semi")
+    full = met.join(nodes.select("id", "above", "n"), "id")
+    outer = met.select("package", F.col("id").alias("up"))
+    within = full.select("package", "id", F.explode("above").alias("up")).join(outer, ["package", "up"], "left_semi").select("package", "id").distinct()
+    held = full.join(within, ["package", "id"], "left_anti").groupBy("package").agg(F.sum("n").alias("held")).join(named, "package").select("fqn", "held")
     return again.join(held, "fqn", "left").select("fqn", F.greatest("again", F.coalesce("held", F.lit(0))).alias("file_count"))
 
 
