@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithograph.functions.scalars import label, simple_method_name
@@ -12,6 +13,15 @@ from lithograph.operators.state import cut
 
 #: The roles of a node, the one that wins first.
 ROLES = ("root", "callee", "caller")
+#: The length of the runs of signs by which scopes find fqns.
+GRAM = 3
+
+
+class Adjacency(NamedTuple):
+    """The same edges (source, target) twice: `out` kept by source, `into` by target, so that a step either way moves no edges."""
+
+    out: DataFrame
+    into: DataFrame
 
 
 def resolve_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
@@ -19,7 +29,7 @@ def resolve_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
 
     Of several methods of the name the first by fqn whose fqn holds the scope, in any case, is taken, else the first.
     A target without the mark, or without a dot after it, stays or goes as it is: only the mark asks for resolution.
-    Both first candidates of a name are kept by one grouped minimum, so a common name is never paired with all its calls.
+    A common name's methods are never paired with all its calls or scopes: see hinted.
     """
     plain = calls.where(~F.col("target").startswith("~")).select("id", "source", "target")
     bare = F.substring("target", 2, 1 << 30)
@@ -28,13 +38,41 @@ def resolve_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
     )
     named = methods.select("fqn", simple_method_name("fqn").alias("name")).distinct()
     first = named.groupBy("name").agg(F.min("fqn").alias("first"))
-    # hints repeat much more than they differ, so they are matched once each
-    hints = open_.select("name", "scope").distinct()
-    hinted = (
-        hints.join(named, "name").where(F.lower("fqn").contains(F.col("scope"))).groupBy("name", "scope").agg(F.min("fqn").alias("hinted"))
-    )
-    found = open_.join(first, "name").join(hinted, ["name", "scope"], "left").select("id", "source", F.coalesce("hinted", "first").alias("target"))
-    return plain.unionByName(found)
+    found = open_.join(first, "name").join(hinted(open_.select("name", "scope"), named), ["name", "scope"], "left")
+    return plain.unionByName(found.select("id", "source", F.coalesce("hinted", "first").alias("target")))
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The different runs of size signs in text, none where it is shorter."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: text.substr(i, size))
+    return F.when(F.length(text) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def hinted(hints: DataFrame, named: DataFrame, slots: int = 32) -> DataFrame:
+    """(name, scope, hinted) for hints (name, scope in lower case): the first fqn of named (name, fqn) that holds the scope in any case.
+
+    An index of three signs (or as many as a shorter scope has) keeps how many of a name's fqns hold a gram, and the first of them.  What
+    holds a scope holds its grams, so no answer comes before the last of their first fqns; where that one holds the scope it is the answer,
+    as it is for each scope of three signs or fewer.  Only the other scopes read the fqns of their rarest gram, beyond the bound,
+    in `slots` parts.  A scope with a gram that no fqn of its name has, and an empty one, is not among the rows.
+    """
+    asked = hints.where("scope <> ''").distinct().withColumn("size", F.least(F.lit(GRAM), F.length("scope")))
+    sizes = asked.groupBy("name").agg(F.collect_set("size").alias("sizes"))  # at most GRAM numbers
+    low = F.lower("fqn")
+    of_fqn = F.flatten(F.transform("sizes", lambda n: _grams(low, n)))
+    postings = named.join(sizes, "name").select("name", "fqn", F.explode(of_fqn).alias("gram"))
+    index = postings.groupBy("name", "gram").agg(F.count("*").alias("n"), F.min("fqn").alias("least"))
+    each = asked.withColumn("grams", _grams(F.col("scope"), F.col("size"))).select("name", "scope", F.size("grams").alias("all"), F.explode("grams").alias("gram"))
+    met = each.join(index, ["name", "gram"]).groupBy("name", "scope", "all").agg(F.count("*").alias("held"), F.max("least").alias("bound"), F.min(F.struct("n", "gram")).alias("rarest"))
+    met = cut(met.where(F.col("held") == F.col("all")))
+    settled = F.lower("bound").contains(F.col("scope"))
+    first = met.where(settled).select("name", "scope", F.col("bound").alias("hinted"))
+    if met.where(~settled).isEmpty():
+        return first
+    rest = met.where(~settled).select("name", "scope", "bound", F.col("rarest.gram").alias("gram"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    dealt = postings.withColumn("slot", F.pmod(F.xxhash64("fqn"), F.lit(slots)).cast("int"))
+    later = dealt.join(rest, ["name", "gram", "slot"]).where((F.col("fqn") > F.col("bound")) & low.contains(F.col("scope")))
+    return first.union(later.groupBy("name", "scope").agg(F.min("fqn").alias("hinted")))
 
 
 def edges_of(resolved: DataFrame) -> DataFrame:
@@ -65,11 +103,12 @@ def reached(edges: DataFrame, root, depth: int) -> DataFrame:
     return reduce(DataFrame.union, seen).where("depth > 0")
 
 
-def callees(edges: DataFrame, root, depth: int) -> DataFrame:
-    return reached(edges, root, depth)
+def callees(edges: DataFrame | Adjacency, root, depth: int) -> DataFrame:
+    return reached(edges.out if isinstance(edges, Adjacency) else edges, root, depth)
 
 
-def callers(edges: DataFrame, root, depth: int) -> DataFrame:
+def callers(edges: DataFrame | Adjacency, root, depth: int) -> DataFrame:
+    edges = edges.into if isinstance(edges, Adjacency) else edges
     return reached(edges.select(F.col("target").alias("source"), F.col("source").alias("target")), root, depth)
 
 
@@ -79,14 +118,14 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("fqn", "source"), "source", "left_semi").join(ids.withColumnRenamed("fqn", "target"), "target", "left_semi")
 
 
-def view(edges: DataFrame, root, up: int, down: int) -> tuple[DataFrame, DataFrame]:
+def view(edges: DataFrame | Adjacency, root, up: int, down: int) -> tuple[DataFrame, DataFrame]:
     """(nodes (fqn, role, depth, label), edges) around root; a node that is both callee and caller is a callee.
 
-    An unknown root is the only node of its view.  The edges are worked out once for all levels.
+    An unknown root is the only node of its view.  The edges are worked out once for all levels, or read as they are kept.
     """
-    edges = cut(edges)
-    kind = edges.schema["source"].dataType
-    parts = [edges.sparkSession.range(1).select(F.lit(root).cast(kind).alias("fqn"), F.lit(0).alias("depth"), F.lit(0).alias("role"))]
+    edges = edges if isinstance(edges, Adjacency) else Adjacency(*[cut(edges)] * 2)
+    kind = edges.out.schema["source"].dataType
+    parts = [edges.out.sparkSession.range(1).select(F.lit(root).cast(kind).alias("fqn"), F.lit(0).alias("depth"), F.lit(0).alias("role"))]
     if down:
         parts.append(callees(edges, root, down).withColumn("role", F.lit(1)))
     if up:
@@ -94,16 +133,16 @@ def view(edges: DataFrame, root, up: int, down: int) -> tuple[DataFrame, DataFra
     first = reduce(DataFrame.unionByName, parts).groupBy("fqn").agg(F.min(F.struct("role", "depth")).alias("r"))
     roles = F.array(*map(F.lit, ROLES))
     nodes = first.select("fqn", roles[F.col("r.role")].alias("role"), F.col("r.depth").alias("depth"), label(F.col("fqn").cast("string")).alias("label"))
-    return nodes, induced(edges, nodes)
+    return nodes, induced(edges.out, nodes)
 
 
-def call_hierarchy(edges: DataFrame, root, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+def call_hierarchy(edges: DataFrame | Adjacency, root, depth: int = 3) -> tuple[DataFrame, DataFrame]:
     return view(edges, root, depth, depth)
 
 
-def callers_view(edges: DataFrame, root, depth: int = 4) -> tuple[DataFrame, DataFrame]:
+def callers_view(edges: DataFrame | Adjacency, root, depth: int = 4) -> tuple[DataFrame, DataFrame]:
     return view(edges, root, depth, 0)
 
 
-def callees_view(edges: DataFrame, root, depth: int = 4) -> tuple[DataFrame, DataFrame]:
+def callees_view(edges: DataFrame | Adjacency, root, depth: int = 4) -> tuple[DataFrame, DataFrame]:
     return view(edges, root, 0, depth)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithograph.functions import scalars as S
-from lithograph.operators import catalog, graph, history, impact, inconsistency, index, maintenance, reports, search
+from lithograph.operators import adjacency, catalog, graph, history, impact, inconsistency, index, maintenance, reports, search
 from lithograph.operators.state import cut, shared_folder
 from lithograph.plans.registry import query, table
 from lithograph.sources import java
@@ -531,6 +531,15 @@ def call_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.call_hierarchy(edges, edges.agg(F.min("source")).first()[0])[0].select("fqn", "role")
 
 
+@query("kept_hierarchy", _VIEW + " SELECT fqn, CASE p WHEN 0 THEN 'root' WHEN 1 THEN 'callee' ELSE 'caller' END AS role FROM n")
+def kept_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hierarchy walked over edges that are kept in buckets by each end."""
+    path = f"{shared_folder(spark)}/calls-{uuid.uuid4().hex}"
+    adjacency.write(part_edges(spark, sf_dir), path)
+    both = adjacency.read(spark, path)
+    return graph.call_hierarchy(both, both.out.agg(F.min("source")).first()[0])[0].select("fqn", "role")
+
+
 @query("callees_view", _reach(_EDGES, 4) + " SELECT fqn, CASE min(depth) WHEN 0 THEN 'root' ELSE 'callee' END AS role, min(depth) AS depth FROM r GROUP BY fqn")
 def callees_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = part_edges(spark, sf_dir)

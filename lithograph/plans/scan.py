@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithograph.functions import model
-from lithograph.operators import catalog, graph, history, index, maintenance, reports, search
+from lithograph.operators import adjacency, catalog, graph, history, index, maintenance, reports, search
 from lithograph.operators.state import cut
 from lithograph.sources import git, java
 
@@ -99,6 +99,7 @@ def _advance(spark: SparkSession, files: DataFrame, store: str, repository: str
     packages = java.package_rows(raw["declared"], raw["types"], owners.select("path"))
     for name, rows in ({n: raw[n] for n in ("types", "fields", "methods", "relationships")} | {"packages": packages}).items():
         _stored(rows, name).write.parquet(f"{folder}/{name}")
+    adjacency.write(_call_edges(*(spark.read.parquet(f"{folder}/{n}") for n in ("relationships", "methods"))), f"{folder}/calls")
     # reports and the index see every row that was found, the stored tables the last of each id
     members = _report_members(raw["methods"], raw["fields"])
     if before:
@@ -183,8 +184,16 @@ def statistics(spark: SparkSession, store: str) -> DataFrame:
     return catalog.counts(tables).unionByName(found.select(F.lit("inconsistencies").alias("table_name"), "n"))
 
 
+def _call_edges(relationships: DataFrame, methods: DataFrame) -> DataFrame:
+    calls = relationships.where("kind = 'CALLS'").select("id", F.col("from_entity_fqn").alias("source"), F.col("to_entity_fqn").alias("target"))
+    return graph.edges_of(graph.resolve_calls(calls, methods.select("fqn")))
+
+
+def call_graph(spark: SparkSession, store: str) -> graph.Adjacency:
+    """The call graph of the newest snapshot as it is kept, for walks either way: distinct (source, target), calls put to methods."""
+    return adjacency.read(spark, f"{_folder(spark, store)}/calls")
+
+
 def call_edges(spark: SparkSession, store: str) -> DataFrame:
-    """The call graph of the newest snapshot: distinct (source, target), calls put to methods."""
-    calls = load(spark, store, "relationships").where("kind = 'CALLS'")
-    calls = calls.select("id", F.col("from_entity_fqn").alias("source"), F.col("to_entity_fqn").alias("target"))
-    return graph.edges_of(graph.resolve_calls(calls, load(spark, store, "methods").select("fqn")))
+    """The kept edges of call_graph(), by source."""
+    return call_graph(spark, store).out

@@ -65,6 +65,7 @@ def test_calls_impact_and_search(spark, store):
     edges = scan.call_edges(spark, store)
     assert {(r.source, r.target) for r in edges.collect()} == {("shop.Desk.add(int)", "shop.Desk.note"), ("shop.Desk.note(int)", "shop.Log.write(int)")}
     assert [r.fqn for r in graph.callees(edges, "shop.Desk.note(int)", 4).collect()] == ["shop.Log.write(int)"]
+    assert [r.fqn for r in graph.callers(scan.call_graph(spark, store), "shop.Log.write(int)", 4).collect()] == ["shop.Desk.note(int)"]
     found = impact.impact(scan.load(spark, store, "relationships"), "shop.Desk.total").collect()
     assert {(r.method_fqn, r.role) for r in found} == {("shop.Desk.add(int)", "writer"), ("shop.Desk.note(int)", "reader"), ("shop.Desk.note(int)", "propagator")}
     hits = search.search(scan.load(spark, store, "search"), "writ").collect()
