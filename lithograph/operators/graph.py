@@ -56,7 +56,8 @@ def hinted(hints: DataFrame, named: DataFrame, slots: int = 32) -> DataFrame:
     as it is for each scope of three signs or fewer.  Only the other scopes read the fqns of their rarest gram, beyond the bound,
     in `slots` parts.  A scope with a gram that no fqn of its name has, and an empty one, is not among the rows.
     """
-    asked = hints.where("scope <> ''").distinct().withColumn("size", F.least(F.lit(GRAM), F.length("scope")))
+    # hints repeat much more than they differ, and are read three times
+    asked = cut(hints.where("scope <> ''").distinct().withColumn("size", F.least(F.lit(GRAM), F.length("scope"))))
     sizes = asked.groupBy("name").agg(F.collect_set("size").alias("sizes"))  # at most GRAM numbers
     low = F.lower("fqn")
     of_fqn = F.flatten(F.transform("sizes", lambda n: _grams(low, n)))
