@@ -268,7 +268,8 @@ def extract(files: DataFrame) -> dict[str, DataFrame]:
     with errors give no rows.  Null or empty content gives no rows and is no error.
     """
     every = cut(tokens(files))
-    status = syntax.parsed(files, every)
+    # a row a file, which every table asks for: the check of all tokens runs once
+    status = cut(syntax.parsed(files, every))
     code = every.join(status.where("ok").select("path"), "path", "left_semi")
     file = Window.partitionBy("path").orderBy("k")
     # statements end at ; { } outside parentheses; a block's header is the statement that its brace ends
@@ -295,7 +296,8 @@ def extract(files: DataFrame) -> dict[str, DataFrame]:
     types = found.join(heads.select("path", "open", "start_line"), ["path", "open"]).join(pairs.select("path", "open", "close", "end_line"), ["path", "open"])
     package = F.coalesce("package", F.lit(""))
     fqn = F.when(package == "", F.col("name")).otherwise(F.concat(package, F.lit("."), F.col("name")))
-    types = types.join(packages, "path", "left").withColumn("package_fqn", package).withColumn("fqn", fqn)
+    # a row a type, read by every table too
+    types = cut(types.join(packages, "path", "left").withColumn("package_fqn", package).withColumn("fqn", fqn))
 
     # each token's type is the innermost around it; a type's own braces are its parent's, and end a member there
     inside = code.join(types.select("path", "open", "close", "name", "fqn"), "path").where("k > open and k < close")

@@ -77,7 +77,8 @@ def errors(code: DataFrame) -> DataFrame:
     brackets = Window.partitionBy("path", "depth").orderBy("k")
     paired = rows.where(opens | closes).select("path", "k", F.lag(F.struct("tok", "lead_in", "mark")).over(brackets).alias("opener"), F.lead("tok").over(brackets).alias("closer"))
     rows = rows.join(paired, ["path", "k"], "left")
-    pair = F.concat_ws(" ", "before", "c")
+    # as one expression: hundreds of literals, each sent to the JVM by itself, take seconds
+    pair = F.expr(f"concat_ws(' ', before, c) IN ({', '.join(map(repr, _PAIRS))})")
     plain = ~F.col("tok").isin(*CONTEXTUAL) & ~F.col("told").isin(*CONTEXTUAL) & ~F.col("told2").isin(*CONTEXTUAL)
     array = F.col("opener.lead_in").isin("=", "]", ",", "(", "default")
     ends = F.col("before").isin(";", "}", "{", ":") | ((F.col("opener.mark") == "enum") & F.col("before").isin("name", ")", ","))
@@ -97,7 +98,7 @@ def errors(code: DataFrame) -> DataFrame:
         .when(closes & F.col("opener").isNull(), "closes nothing")
         .when(closes & ~F.concat("opener.tok", "tok").isin("()", "[]", "{}"), "closes another bracket")
         .when(opens & F.col("closer").isNull(), "is never closed")
-        .when(pair.isin(*_PAIRS), "can't follow what stands before it")
+        .when(pair, "can't follow what stands before it")
         .when(F.coalesce(follow, F.lit(False)), "is followed by something else than it needs")
         .when(F.coalesce(demanded(F.col("c"), PRECEDES, F.coalesce("before", F.lit(""))), F.lit(False)), "doesn't belong here")
         .when((F.col("c") == "name") & (F.col("before") == "name") & F.col("two").isin("name", "prim") & plain, "one name too many")
