@@ -141,3 +141,9 @@ def entity_id(*parts) -> Column:
 def spaced_camel(text) -> Column:
     """`placeOrder` -> `place Order`."""
     return F.trim(F.regexp_replace(_col(text), "([A-Z])", " $1"))
+
+
+def grams(text: Column, size: Column) -> Column:
+    """The different runs of size signs in text, none where it is shorter."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: text.substr(i, size))
+    return F.when(F.length(text) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))

@@ -42,3 +42,9 @@ def read(spark: SparkSession, path: str) -> Adjacency:
             spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({column}) SORTED BY ({column}) INTO {buckets} BUCKETS LOCATION '{path}/{side}'")
         sides.append(spark.table(name).select(F.col("source"), F.col("target")))
     return Adjacency(*sides)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Take the edges of a path out of the session's catalog; their files stay."""
+    for side in _SIDES:
+        spark.sql(f"DROP TABLE IF EXISTS {_table(path, side)}")

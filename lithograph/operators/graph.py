@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithograph.functions.scalars import label, simple_method_name
+from lithograph.functions.scalars import grams, label, simple_method_name
 from lithograph.operators.state import cut
 
 #: The roles of a node, the one that wins first.
@@ -42,12 +42,6 @@ def resolve_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
     return plain.unionByName(found.select("id", "source", F.coalesce("hinted", "first").alias("target")))
 
 
-def _grams(text: Column, size: Column) -> Column:
-    """The different runs of size signs in text, none where it is shorter."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: text.substr(i, size))
-    return F.when(F.length(text) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
-
-
 def hinted(hints: DataFrame, named: DataFrame, slots: int = 32) -> DataFrame:
     """(name, scope, hinted) for hints (name, scope in lower case): the first fqn of named (name, fqn) that holds the scope in any case.
 
@@ -60,10 +54,10 @@ def hinted(hints: DataFrame, named: DataFrame, slots: int = 32) -> DataFrame:
     asked = cut(hints.where("scope <> ''").distinct().withColumn("size", F.least(F.lit(GRAM), F.length("scope"))))
     sizes = asked.groupBy("name").agg(F.collect_set("size").alias("sizes"))  # at most GRAM numbers
     low = F.lower("fqn")
-    of_fqn = F.flatten(F.transform("sizes", lambda n: _grams(low, n)))
+    of_fqn = F.flatten(F.transform("sizes", lambda n: grams(low, n)))
     postings = named.join(sizes, "name").select("name", "fqn", F.explode(of_fqn).alias("gram"))
     index = postings.groupBy("name", "gram").agg(F.count("*").alias("n"), F.min("fqn").alias("least"))
-    each = asked.withColumn("grams", _grams(F.col("scope"), F.col("size"))).select("name", "scope", F.size("grams").alias("all"), F.explode("grams").alias("gram"))
+    each = asked.withColumn("grams", grams(F.col("scope"), F.col("size"))).select("name", "scope", F.size("grams").alias("all"), F.explode("grams").alias("gram"))
     met = each.join(index, ["name", "gram"]).groupBy("name", "scope", "all").agg(F.count("*").alias("held"), F.max("least").alias("bound"), F.min(F.struct("n", "gram")).alias("rarest"))
     met = cut(met.where(F.col("held") == F.col("all")))
     settled = F.lower("bound").contains(F.col("scope"))

@@ -12,7 +12,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from lithograph.functions.scalars import grams
 from lithograph.operators.search import BOOSTS, MOST_HITS, tokens
 from lithograph.operators.state import cut
 
@@ -121,6 +123,7 @@ def write_entities(docs: DataFrame, path: str, shard_rows: int = 1024, parts: in
     held = reduce(DataFrame.unionByName, each).groupBy("token", "shard", "id").agg(F.bit_or("bit").alias("fields"))
     blocks = held.groupBy("token", "shard").agg(F.count("*").alias("n"), F.bit_or("fields").alias("fields"), F.collect_list(F.struct("id", "fields")).alias("rows"))
     _write_blocks(blocks, path, parts)
+    _write_grams(kept, ["search"], path, parts)
 
 
 def _boosts(fields: Column) -> Column:
@@ -163,7 +166,7 @@ def search_entities(spark: SparkSession, path: str, text: str | None, limit: int
     """What search.search gives, from the index: (id, kind, label, fqn, declaring_type, score).
 
     The `first` shards by bound, then by order, are scored; of the rest those that can still bring a hit: with a higher bound than the
-    last of the hits, or an equal one and an earlier place.  A search by signs, without a token, reads all rows.
+    last of the hits, or an equal one and an earlier place.  A search by signs, without a token, reads the shards that hold their grams.
     """
     shown = ["id", "kind", "label", "fqn", "declaring_type"]
     docs = spark.read.parquet(f"{path}/docs")
@@ -173,7 +176,8 @@ def search_entities(spark: SparkSession, path: str, text: str | None, limit: int
     best = lambda rows: rows.orderBy(F.desc("score"), "kind", "fqn", "id").limit(limit)
     terms = _terms(text)
     if not terms:
-        return best(docs.where(F.lower("search").contains(text.strip().lower())).select(*shown, F.lit(BOOSTS["search"]).alias("score")))
+        signs = text.strip().lower()
+        return best(_first_holding(docs, path, [signs], F.lower("search").contains(signs), limit, parts).select(*shown, F.lit(BOOSTS["search"]).alias("score")))
     # one number a shard, about a thousandth of the rows
     bounds = cut(entity_bounds(spark, path, text, parts))
     early = [r.shard for r in bounds.orderBy(F.desc("bound"), "shard").limit(first).collect()]
@@ -184,3 +188,81 @@ def search_entities(spark: SparkSession, path: str, text: str | None, limit: int
         more = more.where((F.col("bound") > last.score) | ((F.col("bound") == last.score) & (F.col("shard") <= last.shard)))
     rest = [r.shard for r in more.select("shard").collect()]
     return best(_entity_scores(spark, path, terms, early + rest, parts).select(*shown, "score"))
+
+
+# --- parts of texts, by runs of one to three signs ------------------------------------------------------------------
+
+#: The longest run of signs that is filed.
+GRAM = 3
+
+
+def _write_grams(kept: DataFrame, columns: list[str], path: str, parts: int) -> None:
+    """File which shards hold a run of up to GRAM signs, in any case, and in which columns (bits): at most a row for each run of a shard."""
+    each = []
+    for i, column in enumerate(columns):
+        runs = F.flatten(F.array(*(grams(F.lower(column), F.lit(n)) for n in range(1, GRAM + 1))))
+        each.append(kept.select("shard", F.lit(1 << i).alias("bit"), F.explode(runs).alias("token")))
+    held = reduce(DataFrame.unionByName, each).groupBy("token", "shard").agg(F.bit_or("bit").alias("fields"))
+    _write_blocks(held, f"{path}/grams", parts)
+
+
+def _literal_runs(pattern: str) -> list[str]:
+    """What a LIKE pattern asks for as it stands: the runs between its wildcards; a backslash makes a sign stand for itself."""
+    runs, i = [""], 0
+    while i < len(pattern):
+        if pattern[i] in "%_":
+            runs.append("")
+        else:
+            i += pattern[i] == "\\"
+            runs[-1] += pattern[i : i + 1]
+        i += 1
+    return [r for r in runs if r]
+
+
+def holding_shards(docs: DataFrame, path: str, runs: list[str], parts: int = 16) -> DataFrame:
+    """(shard): those of the indexed docs in which some column has all grams of the runs.  No other shard has a row that holds them."""
+    wanted = sorted({r[i : i + GRAM] for r in runs for i in range(max(1, len(r) - GRAM + 1))})
+    if not wanted:
+        return docs.select("shard").distinct()
+    one_of = reduce(lambda a, b: a | b, ((F.col("part") == _part(F.lit(g), parts)) & (F.col("token") == g) for g in wanted))
+    met = _blocks(docs.sparkSession, f"{path}/grams").where(one_of).groupBy("shard").agg(F.count("*").alias("n"), F.bit_and("fields").alias("fields"))
+    return met.where((F.col("n") == len(wanted)) & (F.col("fields") > 0)).select("shard")
+
+
+def _first_holding(docs: DataFrame, path: str, runs: list[str], holds: Column, limit: int, parts: int, first: int = 4) -> DataFrame:
+    """Rows for which `holds` is true, the first `limit` of them in the shards' order among them.
+
+    Shards are ranges in that order, so they are read from the first on, twice as many each time, until there are enough rows.
+    """
+    shards = cut(holding_shards(docs, path, runs, parts))
+    read, have, step = [], 0, first
+    while True:
+        turn = [r.shard for r in shards.where(F.col("shard") > (read[-1] if read else -1)).orderBy("shard").limit(step).collect()]
+        read += turn
+        have += docs.where(F.col("shard").isin(turn) & holds).limit(limit).count() if turn else 0
+        if have >= limit or len(turn) < step:
+            return docs.where(F.col("shard").isin(read) & holds)
+        step *= 2
+
+
+def write_types(types: DataFrame, path: str, shard_rows: int = 4096, parts: int = 16) -> None:
+    """Index types (id, fqn, simple_name and more, but no column `shard`) for searches by parts of their names.
+
+    A shard is a folder, a range in the order in which types are shown: simple_name, id.
+    """
+    n = max(1, -(-types.count() // shard_rows))
+    dealt = types.repartitionByRange(n, "simple_name", "id").withColumn("shard", F.spark_partition_id())
+    dealt.limit(0).drop("shard").write.mode("overwrite").parquet(f"{path}/columns")
+    dealt.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/docs")
+    kept = types.sparkSession.read.schema(dealt.schema).parquet(f"{path}/docs")
+    _write_grams(kept, ["fqn", "simple_name"], path, parts)
+
+
+def search_types(spark: SparkSession, path: str, text: str, limit: int = 50, parts: int = 16) -> DataFrame:
+    """What catalog.search_types gives, from write_types(): only folders that hold every run of signs of the text are read."""
+    pattern = f"%{text.lower()}%"
+    columns = spark.read.parquet(f"{path}/columns").schema
+    docs = spark.read.schema(StructType([*columns, StructField("shard", IntegerType())])).parquet(f"{path}/docs")
+    holds = F.lower("fqn").like(pattern) | F.lower("simple_name").like(pattern)
+    found = _first_holding(docs, path, _literal_runs(pattern), holds, limit, parts)
+    return found.select(columns.names).orderBy(F.asc_nulls_first("simple_name"), "id").limit(limit)

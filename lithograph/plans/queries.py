@@ -695,6 +695,24 @@ def index_terms_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search_entities(spark, path, "brand Bo").select("id", "kind", "fqn", "score")
 
 
+@query(
+    "index_wildcard_search",
+    "SELECT p_partkey AS id, p_name AS simple_name FROM part WHERE lower(p_type) LIKE '%b_l%t%' OR lower(p_name) LIKE '%b_l%t%' ORDER BY p_name, p_partkey LIMIT 50",
+)
+def index_wildcard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """wildcard_search from a stored index of runs of signs, which reads the folders that hold them."""
+    path = _built(spark)
+    index.write_types(part_types(spark, sf_dir), path, shard_rows=1024)
+    return index.search_types(spark, path, "B_l%t").select("id", "simple_name")
+
+
+@query("index_signs_search", f"{_SEARCHED}, x AS (SELECT *, 1.0 AS score FROM d WHERE contains(fqn, '#')) {_HITS}")
+def index_signs_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _built(spark)
+    index.write_entities(searched_parts(spark, sf_dir), path)
+    return index.search_entities(spark, path, " # ").select("id", "kind", "fqn", "score")
+
+
 @query("index_ranked_search", _RANKED)
 def index_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ranked_search from a stored index of the documents."""

@@ -71,6 +71,8 @@ def expire(spark: SparkSession, store: str, keep: int = 2) -> list[str]:
     gone = [folder for folder in turns[keep:] if fs.exists(jvm.org.apache.hadoop.fs.Path(folder))]
     old = [f"{store}/raw/{name}/batch={folder.rsplit('/', 1)[1]}" for name in _FOUND for folder in turns[keep:] if folder.rsplit("/", 1)[1] not in used]
     removed = gone + [path for path in old if fs.exists(jvm.org.apache.hadoop.fs.Path(path))]
+    for folder in gone:
+        adjacency.forget(spark, f"{folder}/calls")
     for path in removed:
         fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
     return removed
@@ -116,6 +118,7 @@ def _advance(spark: SparkSession, files: DataFrame, store: str, repository: str
     else:
         reports.groups(members).write.parquet(f"{folder}/report_groups")
     index.write_entities(search.documents(raw["types"], raw["methods"], raw["fields"]), f"{folder}/index")
+    index.write_types(spark.read.parquet(f"{folder}/types"), f"{folder}/type_names")
     spans = [raw[n].select("fqn", "declaring_type_fqn", "start_line", F.col("end_line") if n == "methods" else F.col("start_line").alias("end_line")) for n in ("methods", "fields")]
     own = raw["types"].select("fqn", F.col("fqn").alias("declaring_type_fqn"), "start_line", "end_line")
     entities = history.entity_files(spans[0].unionByName(spans[1]).unionByName(own).dropDuplicates(["fqn"]), raw["types"])
@@ -166,6 +169,13 @@ def find(spark: SparkSession, store: str, text: str | None, limit: int = 30) ->
     return index.search_entities(spark, f"{_folder(spark, store)}/index", text, limit)
 
 
+def find_types(spark: SparkSession, store: str, text: str | None, limit: int = 50) -> DataFrame:
+    """The newest snapshot's types whose fqn or simple name holds a text in any case, from its index; all by fqn where the text is blank."""
+    if not text or not text.strip():
+        return catalog.in_order(load(spark, store, "types"))
+    return index.search_types(spark, f"{_folder(spark, store)}/type_names", text, limit)
+
+
 def _members_of(spark: SparkSession, store: str, folder: str) -> DataFrame:
     owners = spark.read.parquet(f"{folder}/owners")
     return _report_members(_live(spark, store, owners, "methods"), _live(spark, store, owners, "fields"))

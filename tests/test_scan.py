@@ -71,6 +71,7 @@ def test_calls_impact_and_search(spark, store):
     hits = search.search(scan.load(spark, store, "search"), "writ").collect()
     assert {h.fqn for h in hits} >= {"shop.Log.write(int)", "shop.Log.write(int,int)"}
     assert [tuple(h) for h in scan.find(spark, store, "writ").collect()] == [tuple(h) for h in hits]
+    assert [r.fqn for r in scan.find_types(spark, store, "P.%ES_").collect()] == ["shop.Desk"] and [r.fqn for r in scan.find_types(spark, store, " ").collect()] == ["shop.Desk", "shop.Log"]
     assert [(r.kind, r.entity2_fqn) for r in scan.first_reports(spark, store).collect()] == [("DIVERGENT_SIGNATURE", "shop.Log.write(int,int)")]
     assert {r.table_name: r.n for r in scan.statistics(spark, store).collect()} == {"packages": 1, "types": 2, "fields": 1, "methods": 4, "relationships": 4, "inconsistencies": 1}
 
@@ -141,7 +142,10 @@ def test_notes_clears_and_old_snapshots(spark, tmp_path):
     scan.publish(spark, df(("/Log.java", LOG)), at)
     reader = scan.load(spark, at, "methods")
     scan.refresh(spark, df(("/Bare.java", "class Bare { int f() { return 1; } }")), at)
+    kept_edges = lambda: sum(t.name.startswith("edges_") for t in spark.catalog.listTables())
+    before = kept_edges()
     removed = scan.expire(spark, at)
+    assert kept_edges() == before - 6
     assert len([r for r in removed if "/raw/" not in r]) == 3 and scan.expire(spark, at) == []
     assert reader.count() == 2 and scan.load(spark, at, "methods").count() == 3 and scan.load(spark, at, "inconsistencies").count() == 1
     assert {tuple(r) for r in notes.load(spark, at).collect()} == {(one, "shop.Desk", "look", 5, 5), ("n", "shop.Log", "second", 6, 6)}
