@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithograph.functions.scalars import spaced_camel
+from lithograph.operators.state import cut
 
 #: What a match in each field weighs, and the most hits a search gives.
 BOOSTS = {"simple_name": 3.0, "fqn": 2.0, "search": 1.0}
 MOST_HITS = 100
-TOKEN = r"([\p{L}\p{N}_]+(?:\.[\p{L}\p{N}_]+)*)"
+#: Possessive: no part of a word can begin another match, so none is tried again.
+TOKEN = r"([\p{L}\p{N}_]++(?:\.[\p{L}\p{N}_]++)*+)"
+#: So many tokens of queries, each once a query, are sent to all tasks.
+MOST_SENT = 200_000
 
 
 def tokens(text: Column) -> Column:
@@ -84,17 +88,20 @@ def search(docs: DataFrame, text: str | None, limit: int = 30) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score) of queries (query_id, text) against docs (doc_id, text) by BM25, all documents that share a token.
 
-    Only tokens of some query travel: the posting list is cut down by a semi-join before it is joined.
+    Only tokens of some query travel, counted by document.  All of a document's meet in one task, which adds up its scores, so that
+    no part of a score travels; the queries' tokens are sent to it, if they are MOST_SENT at most.
     """
     words = tokens(F.col("text"))
     asked = queries.select("query_id", F.explode(F.array_distinct(words)).alias("token"))
+    sent = F.broadcast if asked.limit(MOST_SENT + 1).count() <= MOST_SENT else lambda df: df
     # sizes first: beside a generator they would be worked out again for each of its rows
     split = docs.select("doc_id", words.alias("w"))
     size = split.select("doc_id", F.size("w").alias("size"), "w").select("doc_id", "size", F.explode("w").alias("token"))
-    held = size.join(asked.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "size", "token").agg(F.count("*").alias("tf"))
+    held = cut(size.join(sent(asked.select("token").distinct()), "token", "left_semi").groupBy("doc_id", "size", "token").agg(F.count("*").alias("tf")))
     total = docs.agg(F.count("*").alias("docs"), F.avg(F.size(words)).alias("mean"))  # one row
-    df = held.groupBy("token").agg(F.count("*").alias("df"))
+    df = held.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    joined = held.join(df, "token").join(asked, "token").crossJoin(F.broadcast(total))
+    weights = df.select("token", idf.alias("idf"), "mean").join(asked, "token")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
+    joined = held.repartition("doc_id").join(sent(weights), "token")
     return joined.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
