@@ -85,6 +85,11 @@ def search(docs: DataFrame, text: str | None, limit: int = 30) -> DataFrame:
     return scored.orderBy(F.desc("score"), "kind", "fqn", "id").limit(limit)
 
 
+def sender(asked: DataFrame):
+    """How what goes with queries' tokens (query_id, token) is joined: sent to all tasks, if there are MOST_SENT of them at most."""
+    return F.broadcast if asked.limit(MOST_SENT + 1).count() <= MOST_SENT else lambda df: df
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score) of queries (query_id, text) against docs (doc_id, text) by BM25, all documents that share a token.
 
@@ -93,7 +98,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     """
     words = tokens(F.col("text"))
     asked = queries.select("query_id", F.explode(F.array_distinct(words)).alias("token"))
-    sent = F.broadcast if asked.limit(MOST_SENT + 1).count() <= MOST_SENT else lambda df: df
+    sent = sender(asked)
     # sizes first: beside a generator they would be worked out again for each of its rows
     split = docs.select("doc_id", words.alias("w"))
     size = split.select("doc_id", F.size("w").alias("size"), "w").select("doc_id", "size", F.explode("w").alias("token"))
