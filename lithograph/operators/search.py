@@ -17,6 +17,8 @@ MOST_HITS = 100
 TOKEN = r"([\p{L}\p{N}_]++(?:\.[\p{L}\p{N}_]++)*+)"
 #: So many tokens of queries, each once a query, are sent to all tasks.
 MOST_SENT = 200_000
+#: So many tokens of documents, each once a document, are scored by one task.
+_HELD = 200_000
 
 
 def tokens(text: Column) -> Column:
@@ -108,5 +110,6 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.select("token", idf.alias("idf"), "mean").join(asked, "token")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    joined = held.repartition("doc_id").join(sent(weights), "token")
+    # a row of held meets all queries that have its token, so the tasks' input says little of their work
+    joined = held.repartition(held.count() // _HELD + 1, "doc_id").join(sent(weights), "token")
     return joined.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
