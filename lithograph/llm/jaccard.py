@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithograph.llm import words as W
-from lithograph.llm.common import components, cut, small_batches, table
+from lithograph.llm.common import components, cut, giving_back, small_batches, table
 
 #: How many n-grams more than needed are filed, beside three of four of those that a set can do without.
 SPARE = 16
@@ -266,6 +266,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key
     kept = _sharing(grams, ["group"], F.col("size") - F.ceil(F.col("size") * percent / 100) + 1, F.col("size"))
     groups = cut(marked.where("not large").drop("large").unionByName(kept.join(suspects.drop("component"), "c")))
 
+    @giving_back
     def run(rows: pa.Table) -> pa.Table:
         """Links (a, b), and (a, null, near): what a class's row counts in this pair of blocks."""
         c, block = np.asarray(rows.column("c")), np.asarray(rows.column("b"))

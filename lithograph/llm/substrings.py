@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithograph.llm import words as W
-from lithograph.llm.common import table
+from lithograph.llm.common import giving_back, table
 
 _U = np.uint64
 _PACKET = "bucket long, chunk long, data binary"
@@ -316,6 +316,7 @@ def repeats(
     dealt = _chunks(bare, chunks)
     steps = lengths(window)
 
+    @giving_back
     def prefixes(name: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         c = Chunk(rows, window)
         out = np.empty(len(c.own), _COUNT)
@@ -323,6 +324,7 @@ def repeats(
         out["hash"], out["n"] = c.own, np.bincount(np.searchsorted(c.own, c.prefix[first]), minlength=len(c.own))
         return _dealt(c.own, name[0].as_py(), chunks, out)
 
+    @giving_back
     def shared(packets: pa.Table) -> pa.Table:
         """Which prefixes another chunk holds too, and which have too many windows for one group."""
         chunk, e = _gathered(packets, _COUNT)
@@ -332,6 +334,7 @@ def repeats(
         level = np.repeat([SHARED, HEAVY], [more.sum(), heavy.sum()])
         return _replies(np.concatenate([chunk[more], chunk[heavy]]), np.concatenate([e["hash"][more], e["hash"][heavy]]), level)
 
+    @giving_back
     def heavy_counts(name: tuple[pa.Scalar, ...], rows: pa.Table, replies: pa.Table) -> pa.Table:
         """Of the heavy prefixes, how many windows the chunk files under each longer one."""
         found = _by_level(replies)
@@ -349,6 +352,7 @@ def repeats(
         every = np.concatenate(parts) if parts else np.zeros(0, _LONGER)
         return _dealt(every["prefix"], name[0].as_py(), chunks, every)
 
+    @giving_back
     def chosen(packets: pa.Table) -> pa.Table:
         """For each heavy prefix the least length whose groups all fit, as a reply of that level to the chunks that hold it."""
         chunk, e = _gathered(packets, _LONGER)
@@ -366,6 +370,7 @@ def repeats(
         names[back] = e["prefix"]
         return _replies(who[0], names[who[1]], np.array(steps)[best[who[1]]])
 
+    @giving_back
     def suffixes(name: tuple[pa.Scalar, ...], rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _dealt(np.zeros(0, np.uint64), 0, chunks, np.zeros(0, _COUNT))
@@ -373,6 +378,7 @@ def repeats(
         _, _, some, heavy = c.found(_by_level(replies))
         return _packed(*_runs(c, some, c.group(some, heavy)), name[0].as_py(), chunks)
 
+    @giving_back
     def deep(packets: pa.Table) -> pa.Table:
         chunk, at = later_suffixes(*_unpacked(packets), window)
         return _replies(chunk, at.astype("<u4"), np.full(len(at), REPEAT))
@@ -381,6 +387,7 @@ def repeats(
     kept_type += "".join(f", carry{i} {bare.schema[f'carry{i}'].dataType.simpleString()}" for i in range(len(carry)))
     carried = [f"carry{i}" for i in range(len(carry))]
 
+    @giving_back
     def finish(rows: pa.Table, replies: pa.Table) -> pa.Table:
         names = ["k", "n_words", "n_removed", "kept_sha256", "kept", "spans"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]

@@ -1,8 +1,11 @@
+import inspect
 import random
+import sys
 
 import pyarrow as pa
+import pytest
 
-from lithograph.llm.common import components, small_batches
+from lithograph.llm.common import components, giving_back, small_batches
 
 
 def _least(edges):
@@ -37,3 +40,30 @@ def test_small_batches():
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * 5, None, "", "b" * 50, "c", "d" * 9])], names=["text"])
     parts = list(small_batches(iter([batch, batch.slice(0, 0)]), most_bytes=10))
     assert [x for p in parts for x in p.column(0).to_pylist()] == batch.column(0).to_pylist() and len(parts) > 2
+
+
+def _resident() -> int:
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="the GNU C library's free memory")
+def test_free_memory_goes_back():
+    def leave_free():
+        held = [b"x" * (1000 + i % 7) for i in range(100_000)]
+        return held[-1000:]  # above the others, so that the heap does not shrink by itself
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b"])], names=["text"])
+    for ends in (lambda: list(small_batches(iter([batch]))), lambda: giving_back(lambda rows: rows)(batch)):
+        top = leave_free()
+        before = _resident()
+        ends()
+        assert before - _resident() > 50_000_000 and len(top) == 1000
+
+
+def test_giving_back_keeps_arguments():
+    @giving_back
+    def both(name, rows, replies):
+        return rows + replies
+
+    assert inspect.getfullargspec(both).args == ["name", "rows", "replies"] and both(0, 1, 2) == 3

@@ -2,6 +2,7 @@ import random
 import re
 
 import public_tokenizers
+import pyarrow as pa
 
 import corpus_pipeline as P
 from lithograph.llm.packing import token_ids
@@ -88,3 +89,20 @@ def test_run(spark, tmp_path):
     out = P.run(spark, str(tmp_path))
     assert out.count() > 0 and "sequence_id" in out.columns
     assert [len(P.STAGES)] == [5]
+
+
+def test_stages_send_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id doc_id", "repeat('word ', 1000) text", "'en' lang", "'a' source", "5000L n_chars")
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        P.secrets(spark, docs, "")
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < P.BATCH_BYTES + 100_000
+        spark.conf.set(limit, "3000000")
+        P.secrets(spark, docs, "")
+        assert spark.conf.get(limit) == "3000000"
+    finally:
+        spark.conf.unset(limit)
